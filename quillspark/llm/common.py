@@ -65,8 +65,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
-    """About `bound` rows at most, picked by a hash of the key, the same rows each time; all rows where there are no more."""
-    total = rows.count()
-    if total <= bound:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int(bound / total * (1 << 30)))
+    """At most `bound` rows, the first by a hash of the key: the same keys each time; all rows where there are no more."""
+    return rows.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), key).limit(bound)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int) -> DataFrame:
+    """doc_id, text, label of at most `bound` labelled documents for which `keep` (over doc_id) holds.
+
+    Only the labels are sampled and sent to the texts, so no text moves but those that are learned from. Null labels and
+    null ids are left out; of an id with several labels the largest counts.
+    """
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where("doc_id is not null and label is not null")
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).where(keep)
+    return texts_of(docs).join(F.broadcast(bounded_sample(known, "doc_id", bound)), "doc_id")
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """One large-star step and one small-star step over edges hi > lo."""
+    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+    small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    return small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges a, b (longs) to node, root: the least node that each node can reach. Nodes without an edge to another are left out.
+
+    Large-star and small-star steps until nothing changes; each step is a table in the shared folder, so no lineage
+    grows and a lost executor costs one step. No list of neighbours is gathered: a step is a minimum and a join by node.
+    """
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    seen = None
+    while True:
+        now = stored(_stars(now), "stars")
+        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
+        if state == seen or not state[0]:
+            break
+        seen = state
+    roots = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

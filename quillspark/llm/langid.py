@@ -60,7 +60,9 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """labelled: doc_id, text, lang. Returns the languages, and by n (0: words) each gram's log frequencies."""
     from pyspark.sql import Window
 
-    rows = bounded_sample(labelled.where("text is not null and lang is not null"), "doc_id", fit_rows).select("lang", "text")
+    known = labelled.where("text is not null and lang is not null")
+    picked = bounded_sample(known.select("doc_id").where("doc_id is not null").distinct(), "doc_id", fit_rows)
+    rows = known.join(F.broadcast(picked), "doc_id").select("lang", "text")
     counts = _counts(rows)
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram"))
     total = Window.partitionBy("lang", "n")
