@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a task turns into Python objects at a time.
@@ -58,9 +59,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: later steps neither compute it again nor need this executor."""
+    """Write a table to the shared folder and read it again: later steps neither compute it again nor need this executor.
+
+    What was shuffled to make it can go: the driver collects its garbage, so that Spark's cleaner drops those files now
+    and not at some later time.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -106,3 +113,18 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
     roots = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, id, tie, text: id is doc_id (null: the largest long), tie tells apart different texts that share an id.
+
+    Rows of one id and one text keep one key: they count as one document.
+    """
+    rows = texts_of(docs).withColumn("id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    shared = rows.groupBy("id").count().where("count > 1").select("id")
+    if not shared.limit(1).count():
+        return rows.select("doc_id", "id", F.lit(0).alias("tie"), "text")
+    rows = rows.withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
+    versions = rows.join(shared, "id", "left_semi").select("id", "version").distinct()
+    ties = versions.withColumn("tie", F.dense_rank().over(Window.partitionBy("id").orderBy("version")) - 1)
+    return rows.join(ties, ["id", "version"], "left").select("doc_id", "id", F.coalesce("tie", F.lit(0)).alias("tie"), "text")

@@ -1,7 +1,8 @@
 """Quality by votes of the nearest labelled documents in a latent semantic space.
 
 A text's features are its UTF-8 bytes' trigrams, hashed to `FEATURES` columns, weighted by 1 + ln(count) and the inverse
-document frequency over all documents. The right singular vectors of the labelled rows' matrix (randomised, fixed seed)
+document frequency over all documents, and style columns: the share of words that repeat the word before them and the
+share of upper-case letters. The right singular vectors of the labelled rows' matrix (randomised, fixed seed)
 span the latent space. The labelled rows' unit vectors (at most `FIT_ROWS`) are broadcast; every document's cosines to all
 of them are exact products in blocks, and its `NEIGHBOURS` nearest vote with weights that grow with the cosine.
 
@@ -23,6 +24,9 @@ FEATURES, DIMENSIONS = 4096, 48
 NEIGHBOURS = 15
 #: A neighbour's weight is its cosine, raised to this power.
 SHARPNESS = 8
+#: Style columns, and what a share of one weighs there; a text's trigrams have a norm of about 100 together.
+STYLES, STYLE_WEIGHT = 2, 60.0
+COLUMNS = FEATURES + STYLES
 SLICE = 1 << 20
 
 
@@ -39,7 +43,16 @@ def counts_of(text: str | None) -> np.ndarray:
 
 def matrix(texts: list[str | None]) -> np.ndarray:
     counts = np.stack([counts_of(x) for x in texts]).astype(np.float32)
-    return np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32)
+    terms = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32)
+    return np.hstack([terms, np.array([style_of(x) for x in texts], np.float32) * np.float32(STYLE_WEIGHT)])
+
+
+def style_of(text: str | None) -> tuple[float, float]:
+    words = (text or "").split()
+    again = sum(map(str.__eq__, words, words[1:])) / len(words) if words else 0.0
+    b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    upper, letters = int(((b >= 65) & (b <= 90)).sum()), int(((b | 32) >= 97).sum() - ((b | 32) > 122).sum()) if len(b) else 0
+    return again, upper / letters if letters else 0.0
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -55,7 +68,8 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
     rows = texts_of(docs).select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     by = {r["at"]: r["n"] for r in rows}
-    return np.log((1 + by.get(-1, 0)) / (1 + np.array([by.get(i, 0) for i in range(FEATURES)], float))).astype(np.float32) + 1
+    terms = np.log((1 + by.get(-1, 0)) / (1 + np.array([by.get(i, 0) for i in range(FEATURES)], float))).astype(np.float32) + 1
+    return np.concatenate([terms, np.ones(STYLES, np.float32)])
 
 
 def space(x: np.ndarray, dimensions: int) -> np.ndarray:
@@ -84,7 +98,7 @@ def fit(docs: DataFrame, rows: DataFrame, dimensions: int = DIMENSIONS) -> dict:
     known = sorted(map_texts(rows.select("doc_id", "text", "label"), start, "doc_id long, label int, x binary").collect(), key=lambda r: (r.doc_id, r.label, r.x))
     if not known:
         return {"weights": weights, "vectors": None, "share": 0.5}
-    x = np.frombuffer(b"".join(r.x for r in known), np.float16).reshape(len(known), FEATURES).astype(np.float32)
+    x = np.frombuffer(b"".join(r.x for r in known), np.float16).reshape(len(known), COLUMNS).astype(np.float32)
     x = unit(x * weights)
     basis = space(x, dimensions)
     labels = np.array([r.label for r in known], np.float32)

@@ -6,8 +6,9 @@ from quillspark.llm.bpe import op9_bpe
 from quillspark.llm.langid import op3_langid
 from quillspark.llm.media import op1_media
 from quillspark.llm.quality import op10_quality
+from quillspark.llm.repeats import op8_suffix_dedup
 from quillspark.llm.simhash import op4_simhash
 from quillspark.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_langid, op4_simhash, op5_toxicity, op9_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_media, op3_langid, op4_simhash, op5_toxicity, op8_suffix_dedup, op9_bpe, op10_quality)}
 SQL: dict[str, str] = {}
