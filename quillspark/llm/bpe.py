@@ -16,6 +16,8 @@ import re
 import struct
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -161,14 +163,25 @@ def default_path() -> str:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int) of each document."""
+    """doc_id, ids (array of int), n_tokens, round_trip (whether the ids decode to the text) of each document."""
     path = path or default_path()
 
     def start():
         t = tokenizer(path)
-        return lambda doc_id, text: {"doc_id": doc_id, "ids": [memoryview(t.encode(x or "")).cast("I").tolist() for x in text]}
 
-    return map_texts(texts_of(docs), start, "doc_id long, ids array<int>")
+        def work(doc_id, text):
+            ids = [t.encode(x or "") for x in text]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            return {
+                "doc_id": doc_id,
+                "ids": pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), np.int32)),
+                "n_tokens": np.diff(ends).astype(np.int64),
+                "round_trip": [t.decode(a) == (b or "") for a, b in zip(ids, text, strict=True)],
+            }
+
+        return work
+
+    return map_texts(texts_of(docs), start, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(ids: DataFrame, path: str | None = None) -> DataFrame:

@@ -115,16 +115,16 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, id, tie, text: id is doc_id (null: the largest long), tie tells apart different texts that share an id.
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, id, tie, text and more columns: id is doc_id (null: the largest long), tie tells apart different texts that share an id.
 
     Rows of one id and one text keep one key: they count as one document.
     """
-    rows = texts_of(docs).withColumn("id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    rows = texts_of(docs, *more).withColumn("id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     shared = rows.groupBy("id").count().where("count > 1").select("id")
     if not shared.limit(1).count():
-        return rows.select("doc_id", "id", F.lit(0).alias("tie"), "text")
+        return rows.select("doc_id", "id", F.lit(0).alias("tie"), "text", *more)
     rows = rows.withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
     versions = rows.join(shared, "id", "left_semi").select("id", "version").distinct()
     ties = versions.withColumn("tie", F.dense_rank().over(Window.partitionBy("id").orderBy("version")) - 1)
-    return rows.join(ties, ["id", "version"], "left").select("doc_id", "id", F.coalesce("tie", F.lit(0)).alias("tie"), "text")
+    return rows.join(ties, ["id", "version"], "left").select("doc_id", "id", F.coalesce("tie", F.lit(0)).alias("tie"), "text", *more)

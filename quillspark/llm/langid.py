@@ -15,6 +15,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,6 @@ def _counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-        import pyarrow as pa
-
         for lang, known in words.items():
             by: list[Counter] = [known, *(Counter() for _ in range(LONGEST))]
             for word, k in known.items():
@@ -147,6 +146,20 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     return map_texts(texts_of(docs), start, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose language is told with a score of `least` or more. No row is moved."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        p = Predictor(sent.value)
+        for batch in batches:
+            ok = [lang != "und" and score >= least for lang, score in (p.predict(x.as_py()) for x in batch.column(at))]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_documents(docs: DataFrame) -> dict:
     """Learn from rows whose crc32(doc_id as text) mod 4 is not 2."""
     return fit(texts_of(docs, "lang").withColumn("lang", F.col("lang").cast("string")).where(crc_of(F.col("doc_id")) % 4 != 2))

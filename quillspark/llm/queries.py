@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from quillspark.llm import decontam, warc
 from quillspark.llm.bpe import op9_bpe
+from quillspark.llm.decontam import op6_decontam
 from quillspark.llm.langid import op3_langid
+from quillspark.llm.licenses import op2_licenses
 from quillspark.llm.media import op1_media
 from quillspark.llm.quality import op10_quality
 from quillspark.llm.repeats import op8_suffix_dedup
 from quillspark.llm.simhash import op4_simhash
 from quillspark.llm.toxicity import op5_toxicity
+from quillspark.llm.warc import op7_warc
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_langid, op4_simhash, op5_toxicity, op8_suffix_dedup, op9_bpe, op10_quality)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_media, op2_licenses, op3_langid, op4_simhash, op5_toxicity, op6_decontam, op7_warc, op8_suffix_dedup, op9_bpe, op10_quality)}
+SQL: dict[str, str] = {"op6_decontam": decontam.SQL, "op7_warc": warc.SQL}

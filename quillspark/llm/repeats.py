@@ -382,9 +382,9 @@ def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    rows = keyed(docs)
-    return rows.join(removed(rows, length), ["id", "tie"], "left").select("doc_id", "text", "spans")
+def _with_spans(docs: DataFrame, length: int, *more: str) -> DataFrame:
+    rows = keyed(docs, *more)
+    return rows.join(removed(rows, length), ["id", "tie"], "left").select("doc_id", "text", "spans", *more)
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -404,8 +404,10 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return _with_spans(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text (without the repeats; characters that a repeat holds in part stay), n_removed. One row for each row."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (without the repeats; characters that a repeat holds in part stay), n_removed, and columns to keep. One row for each row."""
+    rows = _with_spans(docs, length, *keep)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         for batch in batches:
@@ -415,10 +417,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rest = kept(raw, whole_characters(raw, merged(spans.as_py())))
                 texts.append(None if text.as_py() is None else rest.decode())
                 n.append(len(raw) - len(rest))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": texts, "n_removed": n}, schema=schema)
+            columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_removed", *keep])
 
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
-    return _with_spans(docs, length).mapInArrow(run, "doc_id long, text string, n_removed long")
+    return rows.mapInArrow(run, "doc_id long, text string, n_removed long" + (f", {kinds}" if kinds else ""))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, map_texts, stored, table, texts_of
+from quillspark.llm.common import components, keyed, map_texts, stored, table, texts_of
 
 SEED = 42
 WIDTH = 3
@@ -237,3 +237,111 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near-duplicate texts of a given similarity.
+#
+# A few edits of a text move its fingerprint further than any radius that prunes. Pieces help: a piece ends where a
+# shingle's hash says so, has a fingerprint of its own, and an edit changes one or two of them. Texts that link by
+# fingerprint, or that share one of their rarest pieces, are compared in full: only a Jaccard similarity of the shingle
+# sets of `similarity` or more counts. A piece's texts are compared with two of them, not with each other.
+
+PIECE = 32
+RAREST = 6
+#: Texts of the similarity asked for differ in fewer bits; further apart, the texts aren't read.
+FAR = 24
+
+
+def _shingles(text: str | None, width: int) -> np.ndarray:
+    """Their hashes, repeats included."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    k = max(1, len(words) - width + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip([0, *ends[: k - 1].tolist()], (ends[min(width, len(words)) - 1 :] - 1).tolist(), strict=True)]), ">u8").astype(np.uint64)
+
+
+def _pieces(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """The whole fingerprint and the pieces' distinct ones."""
+    if not len(h):
+        return 0, np.zeros(0, np.int64)
+    start = np.flatnonzero(np.append(True, (h[:-1] & np.uint64(PIECE - 1)) == 0))
+    sums = np.zeros((len(start), 64), np.int64)
+    size = np.diff(np.append(start, len(h)))
+    for at in range(0, len(start), 512):
+        to = start[at + 512] if at + 512 < len(start) else len(h)
+        part = h[start[at] : to]
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        sums[at : at + 512] = np.add.reduceat(bits, start[at : at + 512] - start[at], axis=0, dtype=np.int64)
+    whole = np.packbits(sums.sum(axis=0) * 2 > len(h)).view(">i8")[0]
+    own = np.packbits(sums * 2 > size[:, None], axis=1).reshape(-1, 8).copy().view(">i8").ravel().astype(np.int64)
+    return int(whole), np.unique(own)
+
+
+def _sketches(rows: DataFrame, width: int) -> DataFrame:
+    def start():
+        def work(*columns):
+            ids, ties, texts = columns
+            got = [_pieces(_shingles(x, width)) for x in texts]
+            return {"id": ids, "tie": ties, "copy": [xxhash.xxh3_128_hexdigest((x or "").encode("utf-8", "replace")) for x in texts], "fp": [a for a, _ in got], "pieces": [b.tolist() for _, b in got]}
+
+        return work
+
+    return map_texts(rows.select("id", "tie", "text"), start, "id long, tie int, copy string, fp long, pieces array<long>")
+
+
+def _similar(pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """a, b of the rows a, b, left, right (texts) that are as similar as asked for."""
+
+    def start():
+        def work(a, b, left, right):
+            keep = []
+            for k, (x, y) in enumerate(zip(left, right, strict=True)):
+                s, t = (np.unique(_shingles(z, width)) for z in (x, y))
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if both >= similarity * (len(s) + len(t) - both) - 1e-9 or not len(s) + len(t):
+                    keep.append(k)
+            return {"a": [a[k] for k in keep], "b": [b[k] for k in keep]}
+
+        return work
+
+    return map_texts(pairs.select("a", "b", "left", "right"), start, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """The rows of documents of which one of each near-duplicate group stays (the smallest doc_id), with all their columns.
+
+    Rows of one id and one text are one document and both stay or go, as it would.
+    """
+    names = docs.columns
+    rows = keyed(docs, *(c for c in names if c not in ("doc_id", "text")))
+    seen = stored(_sketches(rows, width), "sketches")
+    shared = bool(seen.where("tie > 0").limit(1).count())
+    node = F.xxhash64("copy") if shared else F.min("id")
+    texts = seen.groupBy("copy").agg(F.min(F.struct("id", "tie")).alias("stays"), F.first("fp").alias("fp"), F.first("pieces").alias("pieces"), *([] if shared else [node.alias("node")]))
+    texts = stored(texts.withColumn("node", node) if shared else texts, "texts")
+    # texts linked by fingerprint: each to the least of its own fingerprint, and that to the group's
+    fps = texts.groupBy("fp").agg(F.min("node").alias("least"))
+    roots = components(links(fps.select("fp"), radius))
+    named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
+    own = texts.join(fps, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    wide = named.join(fps.select(F.col("fp").alias("root"), F.col("least").alias("b")), "root").select(F.col("least").alias("a"), "b")
+    # texts that share one of their rarest pieces: each to two of those that have it
+    pieces = stored(texts.select("node", F.explode("pieces").alias("piece")), "pieces")
+    often = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.min(F.struct(F.xxhash64("node", "piece"), "node")).alias("other")).where("n > 1")
+    held = pieces.join(often, "piece").groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "piece", "first", F.col("other.node").alias("other")))), 1, RAREST).alias("held"))
+    with_one = held.select(F.col("node").alias("a"), F.explode("held").alias("held")).select("a", F.explode(F.array("held.first", "held.other")).alias("b"))
+    pairs = own.unionByName(wide).unionByName(with_one).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    prints = texts.select("node", "fp")
+    pairs = pairs.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR).select("a", "b")
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "stays.*"), "node")
+    read = stored(rows.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("node", "text").dropDuplicates(["node"]), "read")
+    both = pairs.join(read.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(read.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    roots = components(stored(_similar(both, width, similarity), "links"))
+    stays = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("stays").alias("stays")).select("stays.*")
+    goes = stored(seen.select("id", "tie").distinct().join(stays, ["id", "tie"], "left_anti"), "goes")
+    return rows.join(goes, ["id", "tie"], "left_anti").select(*names)
