@@ -44,6 +44,11 @@ def seeds_of(words: Column) -> Column:
     return F.when(F.size(words) >= SPAN, found)
 
 
+def once(value: Column) -> Column:
+    """A generator of one row: what is built on its column doesn't compute it again, as a projection's would."""
+    return F.explode(F.array(value))
+
+
 def allowed(window: Column) -> Column:
     return F.when(window >= WINDOW, MOST_CHANGED).when(window >= 10, 1).otherwise(0)
 
@@ -61,10 +66,10 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = seeds.join(asked, "seed").select("doc_id", "version", "item_id", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     hits = hits.withColumnsRenamed({"doc_id": "hit_id", "version": "hit_version"})
     both = texts.join(hits, texts["doc_id"].eqNullSafe(hits["hit_id"]) & (texts["version"] == hits["hit_version"]))
-    compared = both.select("doc_id", "version", "item_id", "shift", "item", F.slice(words_of(F.col("text")), F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item")).alias("there"), F.least(F.col("shift"), F.lit(0)).alias("skipped"))
-    same = compared.select("doc_id", "version", "item_id", "shift", F.transform("item", lambda w, q: F.when(F.get("there", q + F.col("skipped")) == w, 1).otherwise(0)).alias("same"))
+    compared = both.select("doc_id", "version", "item_id", "shift", "item", F.least(F.col("shift"), F.lit(0)).alias("skipped"), once(F.slice(words_of(F.col("text")), F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item"))).alias("there"))
+    same = compared.select("doc_id", "version", "item_id", "shift", once(F.transform("item", lambda w, q: F.when(F.get("there", q + F.col("skipped")) == w, 1).otherwise(0))).alias("same"))
     width = F.least(F.lit(WINDOW), F.size("same"))
-    sums = same.select("doc_id", "version", "item_id", "shift", width.alias("width"), F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - width + 1), lambda k: F.aggregate(F.slice("same", k, width), F.lit(0), lambda a, x: a + x))).alias("equal"))
+    sums = same.select("doc_id", "version", "item_id", "shift", width.alias("width"), once(F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - width + 1), lambda k: F.aggregate(F.slice("same", k, width), F.lit(0), lambda a, x: a + x)))).alias("equal"))
     return sums.where(F.col("equal") >= F.col("width") - allowed(F.col("width"))).groupBy("doc_id", "version", "item_id").agg(F.max("equal").alias("best_equal"), F.count_distinct("shift").alias("n_places"))
 
 
