@@ -38,6 +38,8 @@ LEVELS = 64 // GROUP_BITS
 #: Fingerprints that a shard is meant to hold; more than SHARD_MOST at home, and the shard is dealt out again.
 SHARD_ROWS, SHARD_MOST = 20_000, 100_000
 DEEPER, LOCAL = 6, 5
+#: Levels that deal out in any case, so that small and large inputs are searched alike.
+LEAST_LEVELS = 4
 #: Pairs that are compared at once.
 BLOCK_PAIRS = 1 << 21
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -204,7 +206,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     seen = fps.agg(F.count(F.lit(1)), F.min("fp")).first()
     if not seen[0]:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    vantage, levels = seen[1], min(LEVELS - DEEPER - 1, max(2, math.ceil(math.log(max(1, seen[0] / SHARD_ROWS), 3)) + 1))
+    vantage, levels = seen[1], min(LEVELS - DEEPER - 1, max(LEAST_LEVELS, math.ceil(math.log(max(1, seen[0] / SHARD_ROWS), 3)) + 1))
     rows = dealt(fps, vantage, levels, radius)
     cells = fps.mapInArrow(_cells(vantage, levels), "cell long").groupBy("cell").count().where(F.col("count") > SHARD_MOST).select("cell")
     large = [x[0] for x in cells.limit(10_001).collect()] if seen[0] > SHARD_MOST else []
