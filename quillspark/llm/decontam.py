@@ -61,10 +61,11 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
     tests = items.select(items["item_id"].cast("long").alias("item_id"), words_of(items["text"]).alias("item")).distinct().where(F.size("item") >= SPAN)
-    asked = tests.select("item_id", "item", F.posexplode(seeds_of(F.col("item"))).alias("at", "seed")).select("seed", "item_id", "item", F.expr(f"at div {len(MASKS)}").alias("item_at"))
+    tests = tests.withColumn("test", F.xxhash64("item_id", "item"))
+    asked = tests.select("test", F.posexplode(seeds_of(F.col("item"))).alias("at", "seed")).select("seed", "test", F.expr(f"at div {len(MASKS)}").alias("item_at"))
     seeds = texts.select("doc_id", "version", F.posexplode(seeds_of(words_of(F.col("text")))).alias("at", "seed")).select("seed", "doc_id", "version", F.expr(f"at div {len(MASKS)}").alias("doc_at"))
-    hits = seeds.join(asked, "seed").select("doc_id", "version", "item_id", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
-    hits = hits.withColumnsRenamed({"doc_id": "hit_id", "version": "hit_version"})
+    hits = seeds.join(asked, "seed").select("doc_id", "version", "test", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    hits = hits.join(tests, "test").drop("test").withColumnsRenamed({"doc_id": "hit_id", "version": "hit_version"})
     both = texts.join(hits, texts["doc_id"].eqNullSafe(hits["hit_id"]) & (texts["version"] == hits["hit_version"]))
     compared = both.select("doc_id", "version", "item_id", "shift", "item", F.least(F.col("shift"), F.lit(0)).alias("skipped"), once(F.slice(words_of(F.col("text")), F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item"))).alias("there"))
     same = compared.select("doc_id", "version", "item_id", "shift", once(F.transform("item", lambda w, q: F.when(F.get("there", q + F.col("skipped")) == w, 1).otherwise(0))).alias("same"))
