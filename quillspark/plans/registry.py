@@ -2,6 +2,311 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.operators import ledger, records, schedule, scores, text
+from quillspark.sources import records as source
+from quillspark.sources.records import charges, payments, table, visits
+
+TODAY = "2001-06-15"
+FLAGSHIP = "debt_ageing"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "patient_balance"
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = f"WITH {source.SQL}{sql}" if sql.lstrip().startswith((",", "SELECT")) else sql
+        return f
+
+    return put
+
+
+def _three(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return visits(spark, d), charges(spark, d), payments(spark, d)
+
+
+CHARGED = """, vc AS (SELECT *, CASE WHEN status = 'held' OR (status IN ('cancelled', 'no_show') AND charge_missed) THEN greatest(coalesce(fee, 0), 0) ELSE 0 END AS charge FROM visits),
+charged AS (SELECT patient_id, date, charge AS amount FROM vc WHERE charge > 0 UNION ALL SELECT patient_id, date, amount FROM charges WHERE NOT voided)"""
+BALANCE = f"""{CHARGED}, balance AS (SELECT patient_id, CAST(sum(c) AS BIGINT) AS charged, CAST(sum(p) AS BIGINT) AS paid, CAST(sum(c) - sum(p) AS BIGINT) AS due
+  FROM (SELECT patient_id, amount AS c, 0 AS p FROM charged UNION ALL SELECT patient_id, 0, amount FROM payments WHERE NOT voided) GROUP BY patient_id)"""
+UNCOVERED = f"""{CHARGED}, days AS (SELECT patient_id, date, sum(amount) AS amount FROM charged GROUP BY ALL),
+paid AS (SELECT patient_id, sum(amount) AS paid FROM payments WHERE NOT voided GROUP BY patient_id),
+run AS (SELECT d.patient_id, date, sum(amount) OVER (PARTITION BY d.patient_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS c, coalesce(paid, 0) AS paid FROM days d LEFT JOIN paid ON d.patient_id = paid.patient_id),
+uncovered AS (SELECT patient_id, CAST(max(c) - min(paid) AS BIGINT) AS due, min(date) AS oldest FROM run WHERE c > paid GROUP BY patient_id)"""
+
+
+@query(f"{BALANCE} SELECT * FROM balance")
+def patient_balance(spark, d):
+    return ledger.balances(*_three(spark, d))
+
+
+@query(f"{BALANCE} SELECT CAST(coalesce(sum(greatest(due, 0)), 0) AS BIGINT) AS total_due, count(*) FILTER (due > 0) AS in_debt FROM balance")
+def total_due(spark, d):
+    return ledger.total_due(ledger.balances(*_three(spark, d)))
+
+
+@query(f"{UNCOVERED} SELECT * FROM uncovered")
+def oldest_uncovered(spark, d):
+    return ledger.oldest_uncovered(*_three(spark, d))
+
+
+@query(f"""{UNCOVERED} SELECT CAST(s.f AS INTEGER) AS from_day, count(patient_id) AS n, CAST(coalesce(sum(due), 0) AS BIGINT) AS amount FROM (SELECT unnest([0, 31, 61, 91]) AS f) s
+LEFT JOIN (SELECT *, CASE WHEN DATE '{TODAY}' - oldest >= 91 THEN 91 WHEN DATE '{TODAY}' - oldest >= 61 THEN 61 WHEN DATE '{TODAY}' - oldest >= 31 THEN 31 ELSE 0 END AS f FROM uncovered) u ON s.f = u.f GROUP BY s.f""")
+def debt_ageing(spark, d):
+    return ledger.debt_ageing(ledger.oldest_uncovered(*_three(spark, d)), TODAY)
+
+
+@query(" SELECT strftime(date, '%Y-%m') AS month, CAST(sum(amount) AS BIGINT) AS received, count(*) AS n FROM payments WHERE NOT voided GROUP BY 1")
+def month_received(spark, d):
+    return ledger.month_received(payments(spark, d))
+
+
+@query(f"""{CHARGED}, rows AS (SELECT date, CAST(status = 'held' AS INTEGER) AS h, CAST(status = 'cancelled' AS INTEGER) AS x, charge AS c, 0 AS r FROM vc UNION ALL SELECT date, 0, 0, amount, 0 FROM charges WHERE NOT voided UNION ALL SELECT date, 0, 0, 0, amount FROM payments WHERE NOT voided)
+SELECT CAST(m.m AS INTEGER) AS month, CAST(coalesce(sum(h), 0) AS BIGINT) AS held, CAST(coalesce(sum(x), 0) AS BIGINT) AS cancelled, CAST(coalesce(sum(c), 0) AS BIGINT) AS charged, CAST(coalesce(sum(r), 0) AS BIGINT) AS received
+FROM (SELECT unnest(range(1, 13)) AS m) m LEFT JOIN (SELECT * FROM rows WHERE year(date) = 1998) ON month(date) = m.m GROUP BY m.m""")
+def income_year(spark, d):
+    return ledger.income_year(*_three(spark, d), 1998)
+
+
+@query(f"""{CHARGED}, rows AS (SELECT date, 1 AS v, 0 AS c, 0 AS p, charge AS a, 0 AS r FROM vc WHERE status <> 'planned' UNION ALL SELECT date, 0, 1, 0, amount, 0 FROM charges WHERE NOT voided UNION ALL SELECT date, 0, 0, 1, 0, amount FROM payments WHERE NOT voided)
+SELECT date, CAST(sum(v) AS BIGINT) AS n_visits, CAST(sum(c) AS BIGINT) AS n_charges, CAST(sum(p) AS BIGINT) AS n_payments, CAST(sum(a) AS BIGINT) AS charged, CAST(sum(r) AS BIGINT) AS received FROM rows WHERE date BETWEEN DATE '1999-03-01' AND DATE '1999-03-31' GROUP BY date""")
+def diary_month(spark, d):
+    return ledger.diary_month(*_three(spark, d), "1999-03")
+
+
+@query(""" SELECT coalesce(month, 'all') AS month, coalesce(method, 'all') AS method, CAST(sum(amount) AS BIGINT) AS amount, count(*) AS n
+FROM (SELECT strftime(date, '%Y-%m') AS month, method, amount FROM payments WHERE NOT voided) GROUP BY GROUPING SETS ((month, method), (month), ())""")
+def by_method_grouping_sets(spark, d):
+    return ledger.method_sums(payments(spark, d))
+
+
+@query(""" SELECT CAST(w.w AS INTEGER) AS weekday, count(*) FILTER (status = 'held') AS held, count(*) FILTER (status = 'cancelled') AS cancelled, count(*) FILTER (status = 'planned') AS planned
+FROM (SELECT unnest(range(0, 7)) AS w) w LEFT JOIN visits ON dayofweek(date) = w.w GROUP BY w.w""")
+def insights_by_weekday(spark, d):
+    return ledger.weekday_counts(visits(spark, d))
+
+
+@query(""" SELECT *, CASE WHEN held + cancelled = 0 THEN 0 ELSE (cancelled * 1000 + (held + cancelled) // 2) // (held + cancelled) END AS cancelled_per_thousand
+FROM (SELECT strftime(date, '%Y-%m') AS month, count(*) FILTER (status = 'held') AS held, count(*) FILTER (status = 'cancelled') AS cancelled FROM visits GROUP BY 1)""")
+def insights_rates(spark, d):
+    return ledger.month_rates(visits(spark, d))
+
+
+@query("""WITH g AS (SELECT lower(trim(p_type || ' ' || p_brand)) AS key, arg_min(trim(p_type || ' ' || p_brand), p_partkey) AS name, count(*) AS n FROM part GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, key) AS r FROM g) SELECT name, n FROM r WHERE r <= 8 UNION ALL SELECT 'others', CAST(sum(n) AS BIGINT) FROM r WHERE r > 8 HAVING sum(n) > 0""")
+def referrals_topn(spark, d):
+    rows = table(spark, d, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("name"), "p_partkey")
+    return ledger.top_and_others(rows, "name", "p_partkey", 8)
+
+
+@query(""", s AS (SELECT patient_id, min(date) AS st FROM visits WHERE status = 'held' AND kind = 'intake' GROUP BY 1),
+e AS (SELECT s.patient_id, min(v.date) - min(st) AS days FROM s JOIN visits v ON v.patient_id = s.patient_id AND v.status = 'held' AND v.kind = 'feedback' AND v.date >= st GROUP BY s.patient_id)
+SELECT count(*) AS n, CAST(floor(median(days)) AS BIGINT) AS median_days FROM e""")
+def pathway_medians(spark, d):
+    return ledger.pathway_days(visits(spark, d))
+
+
+@query(""", h AS (SELECT date_trunc('month', date) AS f, sum(minutes) AS m FROM visits WHERE status = 'held' GROUP BY 1),
+w AS (SELECT f, m, unnest(generate_series(CAST(f AS TIMESTAMP), CAST(last_day(f) AS TIMESTAMP), INTERVAL 1 DAY)) AS day FROM h)
+SELECT month, work_days, held_minutes, (held_minutes * 1000 + work_days * 480 // 2) // (work_days * 480) AS per_thousand FROM (SELECT strftime(f, '%Y-%m') AS month, count(*) AS work_days, CAST(min(m) AS BIGINT) AS held_minutes FROM w WHERE dayofweek(day) <= 4 GROUP BY f)""")
+def occupancy(spark, d):
+    return ledger.occupancy(visits(spark, d), 480)
+
+
+@query(""", v AS (SELECT *, start + minutes AS fin FROM visits WHERE status <> 'cancelled')
+SELECT DISTINCT a.id FROM v a JOIN v b ON a.date = b.date AND a.patient_id % 16 = b.patient_id % 16 AND a.id <> b.id AND a.start < b.fin AND b.start < a.fin""")
+def visit_overlaps(spark, d):
+    return schedule.overlapping(visits(spark, d).withColumn("room", F.col("patient_id") % 16), ("room", "date"))
+
+
+@query(f""" SELECT patient_id, arg_max(id, (date, start, id)) FILTER (status = 'held' AND date < DATE '{TODAY}') AS last_held, arg_min(id, (date, start, id)) FILTER (status = 'planned' AND date >= DATE '{TODAY}') AS next_planned FROM visits GROUP BY patient_id""")
+def next_visit(spark, d):
+    return schedule.neighbours(visits(spark, d), TODAY)
+
+
+@query(""", g AS (SELECT CAST(day AS DATE) AS date, CAST(s AS INTEGER) AS start FROM (SELECT unnest(generate_series(TIMESTAMP '1999-05-01', TIMESTAMP '1999-05-31', INTERVAL 1 DAY)) AS day), (SELECT unnest(range(480, 1080, 30)) AS s)),
+f AS (SELECT g.* FROM g WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.status <> 'cancelled' AND v.date = g.date AND v.start < g.start + 30 AND v.start + v.minutes > g.start))
+SELECT date, start FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY start) AS r FROM f) WHERE r <= 3""")
+def free_slots(spark, d):
+    return schedule.free_starts(visits(spark, d), "1999-05-01", "1999-05-31", 480, 1080, 30, 3)
+
+
+@query(""", s AS (SELECT patient_id AS id, min(date) AS date FROM visits GROUP BY 1) SELECT id, n, CAST(date + CAST(n * 14 AS INTEGER) AS DATE) AS date FROM (SELECT *, CAST(unnest(range(0, 5)) AS INTEGER) AS n FROM s)""")
+def series_dates(spark, d):
+    return schedule.series(visits(spark, d).groupBy(F.col("patient_id").alias("id")).agg(F.min("date").alias("date")), 2, 5)
+
+
+@query(""", a AS (SELECT id, date, start FROM visits WHERE id % 11 <> 3), b AS (SELECT id, CASE WHEN id % 7 = 2 THEN date + 1 ELSE date END AS date, start FROM visits WHERE id % 13 <> 5)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'insert' WHEN a.id IS NULL THEN 'delete' ELSE 'update' END AS action FROM a FULL JOIN b ON a.id = b.id WHERE b.id IS NULL OR a.id IS NULL OR a.date <> b.date""")
+def calendar_diff(spark, d):
+    v = visits(spark, d).select("id", "date", "start")
+    there = v.where("id % 13 <> 5").withColumn("date", F.when(F.col("id") % 7 == 2, F.date_add("date", 1)).otherwise(F.col("date")))
+    return schedule.differences(v.where("id % 11 <> 3"), there, "id", ["date", "start"])
+
+
+@query(f"""{UNCOVERED} SELECT patient_id, 'unmarked' AS alert, min(date) AS since FROM visits WHERE status = 'planned' AND date < DATE '{TODAY}' GROUP BY 1
+UNION ALL SELECT patient_id, 'no_next_visit', max(date) FILTER (status = 'held') FROM visits GROUP BY 1 HAVING count(*) FILTER (status = 'planned' AND date >= DATE '{TODAY}') = 0 AND max(date) FILTER (status = 'held') BETWEEN DATE '{TODAY}' - 60 AND DATE '{TODAY}'
+UNION ALL SELECT patient_id, 'old_debt', oldest FROM uncovered WHERE DATE '{TODAY}' - oldest > 60""")
+def alerts(spark, d):
+    v, c, p = _three(spark, d)
+    return schedule.alerts(v, ledger.oldest_uncovered(v, c, p), TODAY)
+
+
+@query("""SELECT event_id, user_id, event_type FROM events WHERE (ts, event_id) < (TIMESTAMP '2024-01-20 00:00:00', 5000) ORDER BY ts DESC, event_id DESC LIMIT 50""")
+def keyset_page(spark, d):
+    e = table(spark, d, "events").select("ts", "event_id", "user_id", "event_type")
+    at = F.lit("2024-01-20 00:00:00").cast(e.schema["ts"].dataType)
+    return records.keyset_page(e, "ts", "event_id", (at, 5000), 50).select("event_id", "user_id", "event_type")
+
+
+@query("""SELECT event_id, event_type, props FROM events WHERE contains(props, '42') ORDER BY event_id DESC LIMIT 1""")
+def log_find(spark, d):
+    return records.find_newest(table(spark, d, "events").select("event_id", "event_type", "props"), "42", "props", "event_id")
+
+
+@query("""WITH m AS (SELECT event_id AS seq, sha256(CAST(event_id AS VARCHAR) || event_type) AS mac FROM events), l AS (SELECT seq, mac, CASE WHEN seq % 499 = 7 THEN 'x' ELSE lag(mac) OVER (ORDER BY seq) END AS prev FROM m), g AS (SELECT * FROM l WHERE seq % 307 <> 11)
+SELECT a.seq, CASE WHEN b.seq IS NULL THEN 'gap' ELSE 'altered' END AS fault FROM g a LEFT JOIN g b ON b.seq = a.seq - 1 WHERE (b.seq IS NULL AND a.seq > (SELECT min(seq) FROM g)) OR (b.seq IS NOT NULL AND a.prev IS DISTINCT FROM b.mac)""")
+def chain_check(spark, d):
+    mac = lambda seq, kind: F.sha2(F.concat(seq.cast("string"), kind), 256)
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), mac(F.col("event_id"), F.col("event_type")).alias("mac"))
+    log = e.join(e.select((F.col("seq") + 1).alias("seq"), F.col("mac").alias("prev")), "seq", "left")
+    log = log.withColumn("prev", F.when(F.col("seq") % 499 == 7, "x").otherwise(F.col("prev"))).where("seq % 307 <> 11")
+    return records.chain_faults(log)
+
+
+@query("""SELECT conv_id, turn, role, length(text) AS n_chars, CAST(version AS INTEGER) AS version FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS version FROM conversations) WHERE version <= 6""")
+def recent_turns(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
+    return records.latest(rows, ["conv_id"], [F.desc("turn")], 6)
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey < 10 THEN NULL ELSE p_partkey // 10 END AS parent FROM part),
+t AS (SELECT id, id AS top, parent, 0 AS depth FROM n UNION ALL SELECT t.id, n.id, n.parent, t.depth + 1 FROM t JOIN n ON t.parent = n.id) SELECT id, top AS root, depth FROM t WHERE parent IS NULL""")
+def folder_ancestors(spark, d):
+    parent = F.when(F.col("p_partkey") >= 10, F.floor(F.col("p_partkey") / 10).cast("long"))
+    return records.ancestors(table(spark, d, "part").select(F.col("p_partkey").alias("id"), parent.alias("parent")))
+
+
+@query("""SELECT month, model, tokens, CAST(ceil(tokens * p / 1000000) AS BIGINT) AS cost FROM (SELECT strftime(ts, '%Y-%m') AS month, event_type AS model, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY ALL)
+LEFT JOIN (VALUES ('click', 300), ('view', 1500), ('purchase', 25)) v(m, p) ON m = model""")
+def usage_cost(spark, d):
+    rows = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM").alias("month"), F.col("event_type").alias("model"), F.round(F.col("value") * 100).cast("long").alias("tokens"))
+    return records.usage_cost(rows, spark.createDataFrame([("click", 300), ("view", 1500), ("purchase", 25)], "model string, price long"))
+
+
+def _sheets(spark, d):
+    line = table(spark, d, "lineitem")
+    return line.select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("measure"), (F.pmod(F.col("l_partkey") * 31 + F.col("l_suppkey"), F.lit(121)) + 40).cast("double").alias("value"), F.to_date("l_shipdate").alias("at"))
+
+
+SHEETS = """WITH sheets AS (SELECT l_orderkey AS sheet, l_linenumber AS measure, CAST((l_partkey * 31 + l_suppkey) % 121 + 40 AS DOUBLE) AS value, CAST(l_shipdate AS DATE) AS day FROM lineitem)"""
+
+
+@query(f"""{SHEETS} SELECT CASE WHEN value BETWEEN 40 AND 69 THEN 'very low' WHEN value BETWEEN 70 AND 79 THEN 'low' WHEN value BETWEEN 80 AND 89 THEN 'low average' WHEN value BETWEEN 90 AND 109 THEN 'average' WHEN value BETWEEN 110 AND 119 THEN 'high average' WHEN value BETWEEN 120 AND 129 THEN 'high' WHEN value BETWEEN 130 AND 160 THEN 'very high' END AS band, count(*) AS n FROM sheets GROUP BY 1""")
+def score_bands(spark, d):
+    return _sheets(spark, d).groupBy(scores.band_label(F.col("value")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{SHEETS}, v AS (SELECT DISTINCT value, (value - 100) / 15 AS z FROM sheets), t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM v),
+q AS (SELECT value, z, exp(-z * z / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS q FROM t)
+SELECT value, round(CASE WHEN z >= 0 THEN 1 - q ELSE q END * 100, 1) AS percentile FROM q""")
+def score_percentile(spark, d):
+    return _sheets(spark, d).select("value").distinct().select("value", scores.percentile(F.col("value")).alias("percentile"))
+
+
+@query(f"""{SHEETS}, p AS (SELECT o_custkey AS person, measure, value, row_number() OVER (PARTITION BY o_custkey, measure ORDER BY day DESC, sheet DESC, value DESC) AS r FROM sheets JOIN orders ON sheet = o_orderkey),
+a AS (SELECT * FROM p WHERE r = 1), b AS (SELECT * FROM p WHERE r = 2) SELECT a.person, a.measure, b.value AS before, a.value AS after, a.value - b.value AS change FROM a JOIN b ON a.person = b.person AND a.measure = b.measure""")
+def score_compare(spark, d):
+    people = table(spark, d, "orders").select(F.col("o_orderkey").alias("sheet"), F.col("o_custkey").alias("person"))
+    return scores.before_after(_sheets(spark, d).join(people, "sheet"))
+
+
+@query(f"""{SHEETS}, m AS (SELECT *, avg(value) OVER (PARTITION BY sheet) AS mean, count(value) OVER (PARTITION BY sheet) AS n FROM sheets)
+SELECT sheet, measure, CASE WHEN value - mean >= 3 THEN 'strength' ELSE 'weakness' END AS place FROM m WHERE n >= 3 AND abs(value - mean) >= 3""")
+def score_relative(spark, d):
+    return scores.relative_places(_sheets(spark, d))
+
+
+@query(f"""{SHEETS} SELECT sheet, max(value) - min(value) AS spread, CASE WHEN max(value) - min(value) >= 23 THEN 'wide' WHEN max(value) - min(value) <= 9 THEN 'flat' ELSE 'usual' END AS shape FROM sheets GROUP BY sheet HAVING count(value) > 1""")
+def score_patterns(spark, d):
+    return scores.spreads(_sheets(spark, d))
+
+
+WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct({WORDS})) AS word FROM benchmark), d AS (SELECT doc_id, {WORDS} AS w FROM documents), n AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
+c AS (SELECT doc_id, len AS l, word, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM q) GROUP BY ALL), f AS (SELECT word, count(*) AS df FROM c GROUP BY word),
+s AS (SELECT query_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS score FROM c JOIN f USING (word) JOIN q USING (word), n GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
+def bm25_top(spark, d):
+    docs, items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return text.top_of(text.bm25(docs, items), "query_id", "score", "doc_id", 3).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
+@query(f"""WITH w AS (SELECT doc_id, source, {WORDS} AS w FROM documents), g AS (SELECT DISTINCT doc_id, source, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS phrase FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w))
+SELECT source AS section, phrase, count(DISTINCT doc_id) AS reports FROM g GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5""")
+def common_phrases(spark, d):
+    return text.phrases(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("section"), "text"), 3, 5)
+
+
+@query("""SELECT source, lang, k, n, round((k / n + 2.706025 / (2 * n) - 1.645 * sqrt((k / n * (1 - k / n) + 2.706025 / (4 * n)) / n)) / (1 + 2.706025 / n), 6) AS lower FROM (SELECT source, lang, count(*) FILTER (n_chars > 1000) AS k, count(*) AS n FROM documents GROUP BY ALL)""")
+def wilson_bounds(spark, d):
+    rows = table(spark, d, "documents").groupBy("source", "lang").agg(F.count_if(F.col("n_chars") > 1000).alias("k"), F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("lower", F.round(text.wilson_lower(F.col("k"), F.col("n")), 6))
+
+
+DETAIL = {k: v.replace("'", "''") for k, v in text.DETAILS.items()}
+
+
+@query("WITH x AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, len(regexp_extract_all(coalesce(text, ''), '{v}')) AS n FROM documents" for k, v in DETAIL.items()) + ") SELECT kind, CAST(sum(n) AS BIGINT) AS places, count(*) FILTER (n > 0) AS documents FROM x GROUP BY kind")
+def detail_counts(spark, d):
+    return text.detail_counts(table(spark, d, "documents"))
+
+
+def _redacted_sql() -> str:
+    out = "coalesce(text, '')"
+    for k, v in DETAIL.items():
+        out = f"regexp_replace({out}, '{v}', '[{k}]', 'g')"
+    return out
+
+
+@query(f"SELECT doc_id, {_redacted_sql()} AS text FROM documents")
+def redact_details(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.redacted("text").alias("text"))
+
+
+@query(f"""WITH e AS (SELECT doc_id, regexp_extract_all(text, '{DETAIL["email"]}') AS f FROM documents), p AS (SELECT doc_id, unnest(f) AS value, unnest(range(0, len(f))) AS place FROM e),
+m AS (SELECT value, min((doc_id, place)) AS first FROM p GROUP BY value) SELECT value, '[email_' || row_number() OVER (ORDER BY first) || ']' AS tag FROM m""")
+def mask_book(spark, d):
+    return text.masks(table(spark, d, "documents"))
+
+
+@query("""WITH f AS (SELECT DISTINCT conv_id, role, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS number FROM conversations)
+SELECT conv_id, string_agg(number, ',' ORDER BY number) AS numbers FROM f WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM f u WHERE u.role = 'user' AND u.conv_id = f.conv_id AND u.number = f.number) GROUP BY conv_id""")
+def numbers_not_in_sources(spark, d):
+    return text.numbers_not_in(table(spark, d, "conversations"))
+
+
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS line FROM conversations""")
+def clean_lines(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", text.clean_line("text").alias("line"))
+
+
+@query(""", live AS (SELECT strftime(date, '%Y-%m') AS month, kind, count(*) AS n FROM visits WHERE status = 'held' AND patient_id % 10 <> 0 GROUP BY ALL), erased AS (SELECT strftime(date, '%Y-%m') AS month, kind, count(*) AS n FROM visits WHERE status = 'held' AND patient_id % 10 = 0 GROUP BY ALL)
+SELECT month, kind, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM live UNION ALL SELECT * FROM erased) GROUP BY ALL""")
+def erased_rollup(spark, d):
+    held = visits(spark, d).where("status = 'held'").select(ledger.month_of().alias("month"), "kind", (F.col("patient_id") % 10 == 0).alias("erased")).groupBy("month", "kind", "erased").agg(F.count(F.lit(1)).alias("n"))
+    return ledger.with_rollup(held.where("not erased"), held.where("erased"), ["month", "kind"], ["n"])
+
+
+@query(f""", l AS (SELECT patient_id, max(date) AS last FROM visits GROUP BY 1) SELECT patient_id, CAST(last + INTERVAL 1 YEAR AS DATE) AS until FROM l WHERE last + INTERVAL 1 YEAR <= DATE '{TODAY}'""")
+def retention_due(spark, d):
+    last = visits(spark, d).groupBy("patient_id").agg(F.max("date").alias("last"))
+    return last.select("patient_id", F.add_months("last", 12).alias("until")).where(F.col("until") <= F.lit(TODAY).cast("date"))
