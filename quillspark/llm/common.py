@@ -104,6 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
     grows and a lost executor costs one step. No list of neighbours is gathered: a step is a minimum and a join by node.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    now = stored(now, "links")
     seen = None
     while True:
         now = stored(_stars(now), "stars")
