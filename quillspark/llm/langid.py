@@ -16,6 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,38 +67,47 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram"))
     total = Window.partitionBy("lang", "n")
     kept = counts.withColumn("of", F.sum("k").over(total)).withColumn("r", rank).where(F.col("r") <= F.when(F.col("n") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS))
-    langs: set[str] = set()
-    sums: dict[tuple[str, int], int] = {}
-    seen: list[dict[str, dict[str, int]]] = [{} for _ in range(LONGEST + 1)]
-    for lang, n, gram, k, of in kept.select("lang", "n", "gram", "k", "of").collect():
-        langs.add(lang)
-        sums[lang, n] = of
-        seen[n].setdefault(gram, {})[lang] = k
-    order = sorted(langs)
-    tables = []
-    for n, grams_of in enumerate(seen):
-        base = np.array([sums.get((x, n), 0) for x in order], float)
-        logs = np.array([[g.get(x, 0) for x in order] for g in grams_of.values()], float).reshape(-1, len(order))
-        logs = np.log((logs + 0.5) / (base + 0.5 * len(grams_of) + 1)).astype(np.float32)
-        tables.append(dict(zip(grams_of, logs, strict=True)))
-    return {"langs": order, "tables": tables}
+    got = kept.select("lang", "n", "gram", "k", "of").toArrow()
+    order = sorted(got.column("lang").unique().to_pylist())
+    column = {x: i for i, x in enumerate(order)}
+    grams_of, logs_of = [], []
+    for n in range(LONGEST + 1):
+        part = got.filter(pc.equal(got.column("n"), n))
+        coded = part.column("gram").combine_chunks().dictionary_encode()
+        where = np.array([column[x] for x in part.column("lang").to_pylist()], np.int64)
+        counts = np.zeros((len(coded.dictionary), len(order)), np.float32)
+        counts[coded.indices.to_numpy(zero_copy_only=False), where] = part.column("k").to_numpy()
+        base = np.zeros(len(order))
+        base[where] = part.column("of").to_numpy()
+        grams_of.append(coded.dictionary)
+        logs_of.append(np.log((counts + 0.5) / (base + 0.5 * len(counts) + 1)).astype(np.float32))
+    return {"langs": order, "grams": grams_of, "logs": logs_of}
 
 
 class Predictor:
     def __init__(self, model: dict):
-        self.langs, self.tables = model["langs"], model["tables"]
+        self.langs, self.logs = model["langs"], model["logs"]
+        self.at = [{g: i for i, g in enumerate(x.to_pylist())} for x in model["grams"]]
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((CACHE_WORDS + 2, len(self.langs)), np.float32)
         self.known = np.zeros(CACHE_WORDS + 2, bool)
 
+    @classmethod
+    def of(cls, model: dict) -> Predictor:
+        """One for each Python worker: the model's tables are built once, not in each task."""
+        if "predictor" not in model:
+            model["predictor"] = cls(model)
+        return model["predictor"]
+
     def scores_of(self, word: str) -> np.ndarray | None:
-        row = self.tables[0].get(word)
+        row = self.at[0].get(word)
         if row is not None:
-            return row
+            return self.logs[0][row]
         for n in range(LONGEST, 0, -1):
-            rows = [r for g in grams(word, n) if (r := self.tables[n].get(g)) is not None]
+            known = self.at[n]
+            rows = [r for g in grams(word, n) if (r := known.get(g)) is not None]
             if rows:
-                return sum(rows[1:], rows[0]) / len(rows)
+                return self.logs[n][rows].mean(axis=0)
         return None
 
     def _place(self, word: str) -> int:
@@ -135,7 +145,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def start():
-        p = Predictor(sent.value)
+        p = Predictor.of(sent.value)
 
         def work(doc_id, text):
             both = [p.predict(x) for x in text]
@@ -152,7 +162,7 @@ def recognised(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        p = Predictor(sent.value)
+        p = Predictor.of(sent.value)
         for batch in batches:
             ok = [lang != "und" and score >= least for lang, score in (p.predict(x.as_py()) for x in batch.column(at))]
             yield batch.filter(pa.array(ok, pa.bool_()))
