@@ -66,6 +66,12 @@ class ByteBpe:
         self.spaced: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        """Drop the words met so far; the vocabulary stays."""
+        self.known.clear()
+        self.spaced.clear()
+        self.fits.clear()
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens' bytes, put together, encode to just these tokens.
 
@@ -179,6 +185,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 "round_trip": [t.decode(a) == (b or "") for a, b in zip(ids, text, strict=True)],
             }
 
+        work.done = t.forget
         return work
 
     return map_texts(texts_of(docs), start, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
@@ -213,6 +220,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 "round_trip": [a == (b or "") for a, b in zip(back, text, strict=True)],
             }
 
+        work.done = t.forget
         return work
 
     return map_texts(texts_of(docs), start, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -30,7 +30,10 @@ def crc_of(doc_id: Column) -> Column:
 
 
 def map_texts(docs: DataFrame, start: Callable[[], Callable[..., dict[str, list]]], schema: str) -> DataFrame:
-    """Map rows in Arrow batches. start() runs once in each task and returns a function of the columns' value lists."""
+    """Map rows in Arrow batches. start() runs once in each task and returns a function of the columns' value lists.
+
+    A function of name `done` on it is called at the task's end: Python workers outlive tasks, and so would what they keep.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,6 +44,7 @@ def map_texts(docs: DataFrame, start: Callable[[], Callable[..., dict[str, list]
                 out = work(*(part.column(c).to_pylist() for c in range(len(names))))
                 if out:
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        getattr(work, "done", lambda: None)()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
