@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import ledger, records, schedule, scores, text
+from quillspark.operators import ledger, records, schedule, scores, style, text
+from quillspark.sources import csv
 from quillspark.sources import records as source
 from quillspark.sources.records import charges, payments, table, visits
+from quillspark.streaming import folds
 
 TODAY = "2001-06-15"
 FLAGSHIP = "debt_ageing"
@@ -310,3 +312,57 @@ def erased_rollup(spark, d):
 def retention_due(spark, d):
     last = visits(spark, d).groupBy("patient_id").agg(F.max("date").alias("last"))
     return last.select("patient_id", F.add_months("last", 12).alias("until")).where(F.col("until") <= F.lit(TODAY).cast("date"))
+
+
+DAY_S = 86_400
+
+
+@query(f"""WITH k AS (SELECT user_id AS key, list_reduce(list_transform(list({{'t': epoch_us(ts), 'id': event_id}} ORDER BY ts, event_id), lambda x: [x]),
+  lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.t > x[1].t - {DAY_S}000000)) < 2 THEN list_concat(a, x) ELSE a END) AS sent FROM events GROUP BY 1),
+r AS (SELECT event_id AS id, key, list_contains(list_transform(sent, lambda y: y.id), event_id) AS accepted, epoch_us(ts) AS t, list_transform(sent, lambda y: y.t) AS sent FROM events JOIN k ON user_id = key)
+SELECT id, key, accepted, CASE WHEN NOT accepted THEN list_min(list_filter(sent, lambda y: y <= t AND y > t - {DAY_S}000000)) + {DAY_S}000000 - t END AS wait_us FROM r""")
+def request_limit(spark, d):
+    return folds.limited(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").alias("at")), 2, DAY_S)
+
+
+@query()
+def circuit_breaker(spark, d):
+    outcome = F.when(F.col("event_type") == "error", "busy").when(F.col("event_type") != "signup", "up")
+    return folds.breaker(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").alias("at"), outcome.alias("outcome")), 2, DAY_S)
+
+
+def _styled(spark, d):
+    docs = table(spark, d, "documents")
+    return style.features(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("section"), style.report_weight(F.col("doc_id") % 20).alias("weight"), "text"))
+
+
+STYLED = f"""WITH d AS (SELECT doc_id AS id, source AS section, greatest(pow(0.9, doc_id % 20), 0.4) AS weight, coalesce(text, '') AS text, len({WORDS}) AS n FROM documents),
+f AS (SELECT id, section, weight, unnest([{{'feature': 'sentence_words', 'x': n / greatest(len(regexp_extract_all(text, '[.!?]+')), 1)}}, {{'feature': 'word_chars', 'x': length(regexp_replace(text, '{text.NOT_WORD}', '', 'g')) / n}},
+  {{'feature': 'commas', 'x': 100 * len(regexp_extract_all(text, ',')) / n}}, {{'feature': 'questions', 'x': 100 * len(regexp_extract_all(text, '[?]')) / n}}, {{'feature': 'brackets', 'x': 100 * len(regexp_extract_all(text, '[(]')) / n}}], recursive := true) FROM d WHERE n > 0),
+s AS (SELECT section, feature, sum(weight) AS n, sum(weight * x) AS a, sum(weight * x * x) AS b FROM f GROUP BY 1, 2),
+m AS (SELECT section, feature, n, a / n AS mean, CASE WHEN n > 1 THEN sqrt(greatest(b - a * a / n, 0) / (n - 1)) ELSE 0 END AS sd FROM s)"""
+
+
+@query(f"{STYLED} SELECT section, feature, round(n, 3) AS n, round(mean, 3) AS mean, round(sd, 3) AS sd FROM m")
+def style_moments(spark, d):
+    return style.moments(_styled(spark, d)).select("section", "feature", *(F.round(c, 3).alias(c) for c in ("n", "mean", "sd")))
+
+
+@query(f"{STYLED} SELECT id, round(avg(z), 3) AS delta, round(100 * avg(greatest(1 - z / 4, 0)), 3) AS fidelity FROM (SELECT id, abs(x - mean) / greatest(sd, 0.5) AS z FROM f JOIN m USING (section, feature)) GROUP BY id")
+def style_closeness(spark, d):
+    measured = _styled(spark, d)
+    return style.closeness(measured, style.moments(measured)).select("id", *(F.round(c, 3).alias(c) for c in ("delta", "fidelity")))
+
+
+@query(r"""WITH p AS (SELECT doc_id AS child, source AS section, unnest(string_split_regex(coalesce(text, ''), '[.!?]+')) AS s FROM documents),
+q AS (SELECT DISTINCT child, section, trim(regexp_replace(regexp_replace(s, '[0-9]+', '#', 'g'), '[ \t\n\r]+', ' ', 'g')) AS sentence FROM p),
+c AS (SELECT section, sentence, count(child) AS children FROM q WHERE len(regexp_extract_all(sentence, ' ')) >= 2 GROUP BY 1, 2 HAVING count(child) >= 3)
+SELECT section, sentence, children, CAST(row_number() OVER (PARTITION BY section ORDER BY children DESC, sentence) AS INTEGER) AS rank FROM c QUALIFY rank <= 6""")
+def style_formulas(spark, d):
+    return style.formulas(table(spark, d, "documents").select(F.col("doc_id").alias("child"), F.col("source").alias("section"), "text"))
+
+
+@query(r"""WITH g AS (SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^[=+\-@\t\r]') THEN chr(39) || t ELSE t END AS t FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations))
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, '[,"\r\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS cell FROM g""")
+def csv_cells(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", csv.csv_cell(F.col("text")).alias("cell"))
