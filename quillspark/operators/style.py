@@ -1,4 +1,4 @@
-"""Style: features of texts, their weighted moments by section, closeness to them, and sentences that recur."""
+"""Style: features of texts, their weighted moments by section, closeness to them, sentences that recur, and the order of topics."""
 
 from __future__ import annotations
 
@@ -21,6 +21,14 @@ def features(docs: DataFrame) -> DataFrame:
     return rows.select("id", "section", "weight", F.explode(pairs).alias("f")).select("id", "section", "weight", "f.*")
 
 
+def word_rates(docs: DataFrame, listed: list[str]) -> DataFrame:
+    """docs as for features(). The same columns: each listed word's rate for 100 words of the text, 0 where it does not occur."""
+    rows = docs.select("id", "section", "weight", F.explode(F.array(words("text"))).alias("words")).where(F.size("words") > 0)
+    rate = lambda w: (100 * F.size(F.filter("words", lambda x: x == w)) / F.size("words")).cast("double")
+    pairs = F.array(*(F.struct(F.lit(w).alias("feature"), rate(w).alias("x")) for w in listed))
+    return rows.select("id", "section", "weight", F.explode(pairs).alias("f")).select("id", "section", "weight", "f.*")
+
+
 def moments(measured: DataFrame) -> DataFrame:
     """section, feature, n (sum of weights), mean, sd of weighted values; sd is 0 where n is 1 or less.
 
@@ -51,3 +59,46 @@ def formulas(reports: DataFrame, least: int = 3, most: int = 6, min_words: int =
     counts = said.distinct().groupBy("section", "sentence").agg(F.count("child").alias("children")).where(F.col("children") >= least)
     order = Window.partitionBy("section").orderBy(F.desc("children"), "sentence")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def topics_read(reports: DataFrame, topics: dict[str, list[str]]) -> DataFrame:
+    """reports: id, section, band, text. id, section, band, t, topic, place (0: first topic, 1: last), words of each topic of a report.
+
+    A passage is a line, or a sentence where there is but one line. It belongs to the topic (t: its number) whose words it
+    has most of, the earlier one on a tie; a passage without any continues the topic before it, and is left out where there
+    is none. Rows without an id are left out; rows of one id, section and band are read as one report.
+    """
+    text = F.coalesce("text", F.lit(""))
+    full = lambda pattern: F.filter(F.split(text, pattern), lambda x: x.rlike("[^ \t\r\n]"))
+    passages = F.when(F.size(full("\n")) >= 2, full("\n")).otherwise(full("[.!?]+"))
+    parts = reports.where("id is not null").select("id", "section", "band", F.xxhash64("text").alias("of"), F.posexplode(passages).alias("at", "passage"))
+    parts = parts.select("id", "section", "band", "of", "at", F.explode(F.array(words("passage"))).alias("w"))
+    count = lambda keys: F.size(F.filter("w", lambda x: x.isin(keys)))
+    parts = parts.select("id", "section", "band", "of", "at", F.size("w").alias("n"), F.array(*map(count, topics.values())).alias("hits"))
+    own = F.when(F.array_max("hits") > 0, F.array_position("hits", F.array_max("hits")).cast("int") - 1)
+    so_far = Window.partitionBy("id", "section", "band").orderBy("of", "at").rowsBetween(Window.unboundedPreceding, 0)
+    told = parts.withColumn("t", F.last(own, ignorenulls=True).over(so_far)).where("t is not null")
+    per = told.groupBy("id", "section", "band", "t").agg(F.min(F.struct("of", "at")).alias("first"), F.sum("n").alias("words"))
+    report = Window.partitionBy("id", "section", "band")
+    place = (F.row_number().over(report.orderBy("first")) - 1) / F.greatest(F.count("t").over(report) - 1, F.lit(1))
+    return per.select("id", "section", "band", "t", F.element_at(F.array(*map(F.lit, topics)), F.col("t") + 1).alias("topic"), place.alias("place"), "words")
+
+
+def skeletons(read: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
+    """topics_read() to section, band (null: all reports), topic, rank, share, words, reports: the topics of most reports in their usual order.
+
+    Topics of fewer than `share` of the reports go; so do sections and bands with fewer than `least` reports or two topics.
+    words is the upper median, from counts of each length: no list of reports is gathered.
+    """
+    kind = dict(read.dtypes)["band"]
+    both = read.withColumn("band", F.explode(F.array_distinct(F.array(F.lit(None).cast(kind), "band"))))
+    lengths = both.groupBy("section", "band", "t", "topic", "words").agg(F.count(F.lit(1)).alias("n"), F.sum("place").alias("places"), F.count_if(F.col("place") == 0).alias("firsts"))
+    topic = Window.partitionBy("section", "band", "t", "topic")
+    lengths = lengths.withColumn("to", F.sum("n").over(topic.orderBy("words"))).withColumn("held", F.sum("n").over(topic))
+    median = F.min(F.when(F.col("to") > F.floor(F.col("held") / 2), F.col("words")))
+    per = lengths.groupBy("section", "band", "t", "topic").agg(F.max("held").alias("held"), median.alias("words"), F.sum("places").alias("places"), F.sum("firsts").alias("firsts"))
+    group = Window.partitionBy("section", "band")
+    per = per.withColumn("reports", F.sum("firsts").over(group)).where((F.col("reports") >= least) & (F.col("held") >= share * F.col("reports")))
+    rank = F.row_number().over(group.orderBy(F.round(F.col("places") / F.col("held"), 6), "t"))
+    per = per.withColumn("kept", F.count("t").over(group)).withColumn("rank", rank).where("kept >= 2")
+    return per.select("section", "band", "topic", "rank", (F.col("held") / F.col("reports")).alias("share"), "words", "reports")

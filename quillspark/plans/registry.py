@@ -354,6 +354,44 @@ def style_closeness(spark, d):
     return style.closeness(measured, style.moments(measured)).select("id", *(F.round(c, 3).alias(c) for c in ("delta", "fidelity")))
 
 
+LISTED = ["the", "of", "and", "to", "a", "in", "that", "it", "for", "with", "der", "und", "le", "de"]
+TOPICS = {"being": ["is", "was", "be", "are"], "place": ["in", "on", "at", "from"], "links": ["and", "that", "with", "und", "et"], "purpose": ["to", "for", "pour"]}
+LISTS = ", ".join(f"len(list_filter(w, lambda x: list_contains({words}, x)))" for words in TOPICS.values())
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, source AS section, greatest(pow(0.9, doc_id % 20), 0.4) AS weight, {WORDS} AS w FROM documents), l AS (SELECT unnest({LISTED}) AS feature),
+f AS (SELECT section, feature, weight, 100 * len(list_filter(w, lambda x: x = feature)) / len(w) AS x FROM d, l WHERE len(w) > 0), s AS (SELECT section, feature, sum(weight) AS n, sum(weight * x) AS a, sum(weight * x * x) AS b FROM f GROUP BY 1, 2)
+SELECT section, feature, round(n, 3) AS n, round(a / n, 3) AS mean, round(CASE WHEN n > 1 THEN sqrt(greatest(b - a * a / n, 0) / (n - 1)) ELSE 0 END, 3) AS sd FROM s""")
+def style_word_rates(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("section"), style.report_weight(F.col("doc_id") % 20).alias("weight"), "text")
+    return style.moments(style.word_rates(docs, LISTED)).select("section", "feature", *(F.round(c, 3).alias(c) for c in ("n", "mean", "sd")))
+
+
+READ = rf"""WITH d AS (SELECT doc_id AS id, source AS section, lang AS band, coalesce(text, '') AS text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\r\n]')) AS lines FROM documents),
+p AS (SELECT id, section, band, CASE WHEN len(lines) >= 2 THEN lines ELSE list_filter(string_split_regex(text, '[.!?]+'), lambda x: regexp_matches(x, '[^ \t\r\n]')) END AS ps FROM d WHERE id IS NOT NULL),
+e AS (SELECT id, section, band, unnest(ps) AS text, generate_subscripts(ps, 1) AS i FROM p), w AS (SELECT id, section, band, i, {WORDS} AS w FROM e), h AS (SELECT id, section, band, i, len(w) AS n, [{LISTS}] AS h FROM w),
+c AS (SELECT id, section, band, i, n, last_value(CASE WHEN list_max(h) > 0 THEN list_position(h, list_max(h)) END IGNORE NULLS) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS t FROM h),
+r AS (SELECT id, section, band, t, min(i) AS first, CAST(sum(n) AS BIGINT) AS words FROM c WHERE t IS NOT NULL GROUP BY ALL),
+read AS (SELECT id, section, band, t, {list(TOPICS)}[t] AS topic, (row_number() OVER (PARTITION BY id ORDER BY first) - 1) / greatest(count(*) OVER (PARTITION BY id) - 1, 1) AS place, words FROM r)"""
+
+
+def _read(spark, d):
+    return style.topics_read(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("section"), F.col("lang").alias("band"), "text"), TOPICS)
+
+
+@query(f"{READ} SELECT id, section, topic, round(place, 4) AS place, words FROM read")
+def topics_read(spark, d):
+    return _read(spark, d).select("id", "section", "topic", F.round("place", 4).alias("place"), "words")
+
+
+@query(f"""{READ}, b AS (SELECT id, section, band, t, topic, place, words FROM read WHERE band IS NOT NULL UNION ALL SELECT id, section, NULL, t, topic, place, words FROM read),
+g AS (SELECT section, band, count(DISTINCT id) AS reports FROM b GROUP BY 1, 2), k AS (SELECT section, band, t, topic, count(*) AS n, avg(place) AS place, list_sort(list(words))[count(*) // 2 + 1] AS words FROM b GROUP BY 1, 2, 3, 4)
+SELECT k.section, k.band, topic, CAST(row_number() OVER (PARTITION BY k.section, k.band ORDER BY round(place, 6), t) AS INTEGER) AS rank, round(n / reports, 4) AS share, words, reports
+FROM k JOIN g ON k.section IS NOT DISTINCT FROM g.section AND k.band IS NOT DISTINCT FROM g.band WHERE reports >= 3 AND n >= 0.5 * reports QUALIFY count(*) OVER (PARTITION BY k.section, k.band) >= 2""")
+def style_skeletons(spark, d):
+    return style.skeletons(_read(spark, d)).withColumn("share", F.round("share", 4))
+
+
 @query(r"""WITH p AS (SELECT doc_id AS child, source AS section, unnest(string_split_regex(coalesce(text, ''), '[.!?]+')) AS s FROM documents),
 q AS (SELECT DISTINCT child, section, trim(regexp_replace(regexp_replace(s, '[0-9]+', '#', 'g'), '[ \t\n\r]+', ' ', 'g')) AS sentence FROM p),
 c AS (SELECT section, sentence, count(child) AS children FROM q WHERE len(regexp_extract_all(sentence, ' ')) >= 2 GROUP BY 1, 2 HAVING count(child) >= 3)

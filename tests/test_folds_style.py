@@ -66,3 +66,29 @@ def test_cells_are_guarded(spark, tmp_path):
     part = next((tmp_path / "out").glob("part-*"))
     assert part.read_bytes().count(b"\r\n") == 3
     assert spark.range(1).select(csv.csv_cell(F.lit("\tx")).alias("c")).first().c == "'\tx"
+
+
+TOPICS = {"sleep": ["sleep", "night"], "food": ["eat", "food"]}
+
+
+def test_topics_in_their_usual_order(spark):
+    rows = [
+        (1, "a", "x", "Intro.\nSleep at night\nwell.\nEat food"),
+        (2, "a", "x", "Night. Then eat more food."),
+        (3, "a", None, "eat sleep\nfood"),
+        (4, "a", "y", None),
+        (None, "a", "y", "sleep\neat"),
+        (5, "b", "y", "sleep\neat"),
+    ]
+    read = style.topics_read(spark.createDataFrame(rows, "id long, section string, band string, text string"), TOPICS)
+    got = {(r.id, r.topic): (r.place, r.words) for r in read.collect()}
+    assert got == {(1, "sleep"): (0.0, 4), (1, "food"): (1.0, 2), (2, "sleep"): (0.0, 1), (2, "food"): (1.0, 4), (3, "sleep"): (0.0, 2), (3, "food"): (1.0, 1), (5, "sleep"): (0.0, 1), (5, "food"): (1.0, 1)}
+    shapes = {tuple(r) for r in style.skeletons(read).collect()}
+    assert shapes == {("a", None, "sleep", 1, 1.0, 2, 3), ("a", None, "food", 2, 1.0, 2, 3)}
+    assert style.skeletons(read, least=2).where("band = 'x'").count() == 2
+    assert style.skeletons(read.where("false")).count() == 0
+
+
+def test_rates_of_listed_words(spark):
+    docs = spark.createDataFrame([(1, "a", 1.0, "The cat, the dog"), (2, "a", 1.0, None), (3, "a", 1.0, "...")], "id long, section string, weight double, text string")
+    assert {(r.id, r.feature, r.x) for r in style.word_rates(docs, ["the", "of"]).collect()} == {(1, "the", 50.0), (1, "of", 0.0)}
