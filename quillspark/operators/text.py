@@ -86,3 +86,18 @@ def numbers_not_in(turns: DataFrame) -> DataFrame:
     found = turns.select("conv_id", "role", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[0-9]+"), F.lit(0))).alias("number")).distinct()
     own, theirs = found.where("role = 'assistant'").drop("role"), found.where("role = 'user'").drop("role")
     return own.join(theirs, ["conv_id", "number"], "left_anti").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("number")), ",").alias("numbers"))
+
+
+def name_matches(asked: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
+    """Both: case_id, name. case_id, name, other, other_name: known names of other cases that share a word of `least` letters or more.
+
+    asked is a stated set of names; known names are met by word, so no case is compared with all. Null cases and names match
+    nothing; repeated rows count once.
+    """
+
+    def by_word(rows: DataFrame, case: str, name: str) -> DataFrame:
+        named = rows.select(F.col("case_id").alias(case), F.col("name").alias(name)).where(F.col(case).isNotNull()).distinct()
+        return named.select(case, name, F.explode(F.array_distinct(words(name))).alias("word")).where(F.length("word") >= least)
+
+    met = by_word(asked, "case_id", "name").join(by_word(known, "other", "other_name"), "word")
+    return met.where("case_id <> other").select("case_id", "name", "other", "other_name").distinct()

@@ -354,6 +354,15 @@ def style_closeness(spark, d):
     return style.closeness(measured, style.moments(measured)).select("id", *(F.round(c, 3).alias(c) for c in ("delta", "fidelity")))
 
 
+@query(r"""WITH a AS (SELECT s_suppkey AS case_id, s_name AS name, unnest(list_distinct(regexp_split_to_array(lower(s_name), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS word FROM supplier),
+k AS (SELECT c_custkey AS other, c_name AS other_name, unnest(list_distinct(regexp_split_to_array(lower(c_name), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS word FROM customer)
+SELECT DISTINCT case_id, name, other + 1 AS other, other_name FROM a JOIN k USING (word) WHERE length(word) >= 2 AND case_id <> other + 1""")
+def name_matches(spark, d):
+    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("case_id"), F.col("s_name").alias("name"))
+    known = table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("case_id"), F.col("c_name").alias("name"))
+    return text.name_matches(asked, known)
+
+
 LISTED = ["the", "of", "and", "to", "a", "in", "that", "it", "for", "with", "der", "und", "le", "de"]
 TOPICS = {"being": ["is", "was", "be", "are"], "place": ["in", "on", "at", "from"], "links": ["and", "that", "with", "und", "et"], "purpose": ["to", "for", "pour"]}
 LISTS = ", ".join(f"len(list_filter(w, lambda x: list_contains({words}, x)))" for words in TOPICS.values())

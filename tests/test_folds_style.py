@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import style
+from quillspark.operators import style, text
 from quillspark.sources import csv
 from quillspark.streaming import folds
 
@@ -92,3 +92,11 @@ def test_topics_in_their_usual_order(spark):
 def test_rates_of_listed_words(spark):
     docs = spark.createDataFrame([(1, "a", 1.0, "The cat, the dog"), (2, "a", 1.0, None), (3, "a", 1.0, "...")], "id long, section string, weight double, text string")
     assert {(r.id, r.feature, r.x) for r in style.word_rates(docs, ["the", "of"]).collect()} == {(1, "the", 50.0), (1, "of", 0.0)}
+
+
+def test_names_of_other_cases(spark):
+    schema = "case_id long, name string"
+    asked = spark.createDataFrame([(1, "Ann Lee"), (1, "Ann Lee"), (2, None), (None, "Lee")], schema)
+    known = spark.createDataFrame([(1, "Ann"), (2, "Bo LEE"), (3, "lee-Ann"), (3, "B"), (4, None)], schema)
+    assert sorted(tuple(r) for r in text.name_matches(asked, known).collect()) == [(1, "Ann Lee", 2, "Bo LEE"), (1, "Ann Lee", 3, "lee-Ann")]
+    assert text.name_matches(asked.where("false"), known).count() == 0
