@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, keyed, map_texts, stored, table, texts_of
+from quillspark.llm.common import bounded_sample, components, keyed, map_texts, stored, table, texts_of
 
 SEED = 42
 WIDTH = 3
@@ -241,17 +241,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicate texts of a given similarity.
+# Near-duplicate texts of a given similarity: no pair is missed.
 #
-# A few edits of a text move its fingerprint further than any radius that prunes. Pieces help: a piece ends where a
-# shingle's hash says so, has a fingerprint of its own, and an edit changes one or two of them. Texts that link by
-# fingerprint, or that share one of their rarest pieces, are compared in full: only a Jaccard similarity of the shingle
-# sets of `similarity` or more counts. A piece's texts are compared with two of them, not with each other.
+# Each text's distinct shingles are put in one global order. Two texts whose Jaccard similarity is `similarity` or more share
+# a shingle within the first n - ceil(similarity * n) + 1 of each (prefix filter), their n differ by that ratio at most
+# (length filter), and at their first shared shingle enough of both is left (positional filter). So the pairs that pass
+# hold all that count; each is compared in full. Any order is right: shingles that a sample of texts has often come last,
+# which keeps common passages out of the keys.
+#
+# Only components are asked for. First texts that link by fingerprint, and each key's texts with one of them, are compared;
+# then all pairs that share a key and aren't in one component yet.
 
-PIECE = 32
-RAREST = 6
+#: Texts of the sample that the order is learned from, and its shingles that come last. They bear on speed, not on results.
+SAMPLE_TEXTS, COMMON_MOST = 20_000, 500_000
+#: A key's texts are dealt out to tasks by this many.
+SALT_ROWS = 2_000
 #: Texts of the similarity asked for differ in fewer bits; further apart, the texts aren't read.
 FAR = 24
+_EPS = 1e-9
 
 
 def _shingles(text: str | None, width: int) -> np.ndarray:
@@ -266,33 +273,66 @@ def _shingles(text: str | None, width: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip([0, *ends[: k - 1].tolist()], (ends[min(width, len(words)) - 1 :] - 1).tolist(), strict=True)]), ">u8").astype(np.uint64)
 
 
-def _pieces(h: np.ndarray) -> tuple[int, np.ndarray]:
-    """The whole fingerprint and the pieces' distinct ones."""
+def _whole(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes."""
     if not len(h):
-        return 0, np.zeros(0, np.int64)
-    start = np.flatnonzero(np.append(True, (h[:-1] & np.uint64(PIECE - 1)) == 0))
-    sums = np.zeros((len(start), 64), np.int64)
-    size = np.diff(np.append(start, len(h)))
-    for at in range(0, len(start), 512):
-        to = start[at + 512] if at + 512 < len(start) else len(h)
-        part = h[start[at] : to]
-        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        sums[at : at + 512] = np.add.reduceat(bits, start[at : at + 512] - start[at], axis=0, dtype=np.int64)
-    whole = np.packbits(sums.sum(axis=0) * 2 > len(h)).view(">i8")[0]
-    own = np.packbits(sums * 2 > size[:, None], axis=1).reshape(-1, 8).copy().view(">i8").ravel().astype(np.int64)
-    return int(whole), np.unique(own)
-
-
-def _sketches(rows: DataFrame, width: int) -> DataFrame:
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h)).view(">i8")[0])
+
+
+def _prefix(h: np.ndarray, common: np.ndarray, often: np.ndarray, similarity: float) -> tuple[int, np.ndarray]:
+    """Number of distinct shingles, and the first of them in the global order; texts without any share one key."""
+    own = np.unique(h)
+    n = len(own)
+    if not n:
+        return 0, np.zeros(1, np.int64)
+    count = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        count = np.where(common[at] == own, often[at], 0)
+    return n, own[np.lexsort((own, count))][: n - math.ceil(similarity * n - _EPS) + 1].view(np.int64)
+
+
+def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample have, in order of hash, and how many have them."""
+    some = rows.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    picked = bounded_sample(some.select("key").distinct(), "key", SAMPLE_TEXTS)
+
     def start():
-        def work(*columns):
-            ids, ties, texts = columns
-            got = [_pieces(_shingles(x, width)) for x in texts]
-            return {"id": ids, "tie": ties, "copy": [xxhash.xxh3_128_hexdigest((x or "").encode("utf-8", "replace")) for x in texts], "fp": [a for a, _ in got], "pieces": [b.tolist() for _, b in got]}
+        return lambda _, text: {"h": np.concatenate([np.unique(_shingles(x, width)) for x in text]).view(np.int64)}
+
+    counts = map_texts(some.join(F.broadcast(picked), "key").dropDuplicates(["key"]), start, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    got = counts.orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
+    h = got.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], got.column("n").to_numpy().astype(np.int64)[order]
+
+
+def _sketches(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(_common(rows, width))
+
+    def start():
+        common, often = sent.value
+
+        def work(ids, ties, texts):
+            hashes = [_shingles(x, width) for x in texts]
+            keys = [_prefix(h, common, often, similarity) for h in hashes]
+            ends = np.cumsum([0, *(len(k) for _, k in keys)]).astype(np.int32)
+            return {
+                "id": ids,
+                "tie": ties,
+                "copy": [xxhash.xxh3_128_hexdigest((x or "").encode("utf-8", "replace")) for x in texts],
+                "fp": [_whole(h) for h in hashes],
+                "n": [n for n, _ in keys],
+                "keys": pa.ListArray.from_arrays(ends, np.concatenate([k for _, k in keys])),
+            }
 
         return work
 
-    return map_texts(rows.select("id", "tie", "text"), start, "id long, tie int, copy string, fp long, pieces array<long>")
+    return map_texts(rows.select("id", "tie", "text"), start, "id long, tie int, copy string, fp long, n int, keys array<long>")
 
 
 def _similar(pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -313,17 +353,50 @@ def _similar(pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     return map_texts(pairs.select("a", "b", "left", "right"), start, "a long, b long")
 
 
+def _meets(n: Column, at: Column, m: Column, to: Column, similarity: float) -> Column:
+    """Length and positional filter of two texts of n and m shingles that share those at places `at` and `to`."""
+    alike = F.least(n, m) >= similarity * F.greatest(n, m) - _EPS
+    return alike & (F.least(n - at, m - to) >= similarity / (1 + similarity) * (n + m) - _EPS)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _with_hubs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of each key's texts with one of them: that whose keys most texts have, such as what edited copies come from."""
+    weight = shared.groupBy("node").agg((F.sum("holders") / F.count(F.lit(1))).alias("weight"))
+    hubs = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub"))
+    met = shared.join(hubs, "key").where(_meets(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), similarity))
+    return met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+
+
+def _unlinked(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs a, b that share a key, pass the filters and aren't in one component. A key with many texts goes to several tasks."""
+    rows = stored(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    rows = rows.join(mixed, "key", "left_semi").withColumn("salts", F.ceil(F.col("holders") / SALT_ROWS).cast("int"))
+    x = rows.select("key", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "root")))
+    # the text with fewer shingles has the first one they share within a shorter prefix
+    shorter = rows.where(F.col("n") - F.col("pos") >= 2 * similarity / (1 + similarity) * F.col("n") - _EPS)
+    y = shorter.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "root")))
+    first = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") > F.col("y_node")))
+    met = x.join(y, ["key", "salt"]).where((F.col("x_root") != F.col("y_root")) & first & _meets(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), similarity))
+    return met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+
+
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """The rows of documents of which one of each near-duplicate group stays (the smallest doc_id), with all their columns.
 
-    Rows of one id and one text are one document and both stay or go, as it would.
+    Groups are the components of all pairs of the similarity asked for. Rows of one id and one text are one document and
+    both stay or go, as it would.
     """
     names = docs.columns
     rows = keyed(docs, *(c for c in names if c not in ("doc_id", "text")))
-    seen = stored(_sketches(rows, width), "sketches")
+    seen = stored(_sketches(rows, width, similarity), "sketches")
     shared = bool(seen.where("tie > 0").limit(1).count())
     node = F.xxhash64("copy") if shared else F.min("id")
-    texts = seen.groupBy("copy").agg(F.min(F.struct("id", "tie")).alias("stays"), F.first("fp").alias("fp"), F.first("pieces").alias("pieces"), *([] if shared else [node.alias("node")]))
+    texts = seen.groupBy("copy").agg(F.min(F.struct("id", "tie")).alias("stays"), *(F.first(c).alias(c) for c in ("fp", "n", "keys")), *([] if shared else [node.alias("node")]))
     texts = stored(texts.withColumn("node", node) if shared else texts, "texts")
     # texts linked by fingerprint: each to the least of its own fingerprint, and that to the group's
     fps = texts.groupBy("fp").agg(F.min("node").alias("least"))
@@ -331,19 +404,23 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
     own = texts.join(fps, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
     wide = named.join(fps.select(F.col("fp").alias("root"), F.col("least").alias("b")), "root").select(F.col("least").alias("a"), "b")
-    # texts that share one of their rarest pieces: each to two of those that have it
-    pieces = stored(texts.select("node", F.explode("pieces").alias("piece")), "pieces")
-    often = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.min(F.struct(F.xxhash64("node", "piece"), "node")).alias("other")).where("n > 1")
-    held = pieces.join(often, "piece").groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "piece", "first", F.col("other.node").alias("other")))), 1, RAREST).alias("held"))
-    with_one = held.select(F.col("node").alias("a"), F.explode("held").alias("held")).select("a", F.explode(F.array("held.first", "held.other")).alias("b"))
-    pairs = own.unionByName(wide).unionByName(with_one).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # texts that share a key
+    keys = stored(texts.select("node", "n", F.posexplode("keys").alias("pos", "key")), "keys")
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    keys = stored(keys.join(often, "key"), "shared")
     prints = texts.select("node", "fp")
-    pairs = pairs.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR).select("a", "b")
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "stays.*"), "node")
-    read = stored(rows.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("node", "text").dropDuplicates(["node"]), "read")
-    both = pairs.join(read.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(read.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    roots = components(stored(_similar(both, width, similarity), "links"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = _ordered(pairs).join(prints.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR).select("a", "b")
+        pairs = stored(pairs, "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "stays.*"), "node")
+        read = stored(rows.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("node", "text").dropDuplicates(["node"]), "read")
+        both = pairs.join(read.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(read.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+        return stored(_similar(both, width, similarity), "links")
+
+    some = compared(own.unionByName(wide).unionByName(_with_hubs(keys, similarity)))
+    rest = compared(_unlinked(keys, components(some), similarity))
+    roots = components(some.unionByName(rest))
     stays = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("stays").alias("stays")).select("stays.*")
     goes = stored(seen.select("id", "tie").distinct().join(stays, ["id", "tie"], "left_anti"), "goes")
     return rows.join(goes, ["id", "tie"], "left_anti").select(*names)
