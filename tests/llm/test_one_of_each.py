@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from quillspark.llm import simhash
 
 
@@ -67,3 +68,40 @@ def test_large_groups_of_edited_copies(spark):
         assert kept(spark, texts) == want
     finally:
         simhash.SALT_ROWS = before
+
+
+def test_short_texts_with_few_edits(spark, tmp_path):
+    rnd = random.Random(6)
+    all_ = [[], [], ["One"], ["one"], ["One", "two"]]
+    for n, edits, groups in ((4, 0, 3), (52, 1, 20), (60, 1, 20), (81, 1, 20), (100, 2, 20), (150, 3, 20)):
+        for _ in range(groups):
+            base = words(rnd, n)
+            all_ += [base, edited(rnd, base, edits), edited(rnd, base, edits)]
+    texts = numbered(rnd, all_)
+    want = brute(texts)
+    assert kept(spark, texts) == want
+
+
+def test_whole_pipeline_keeps_one_of_short_copies(spark, tmp_path):
+    rnd = random.Random(7)
+    letters = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "rst", "lmo", "x")]
+    all_ = []
+    for n, edits, size in ((52, 1, 1), (60, 1, 1), (100, 2, 1)):
+        for _ in range(12):
+            base = rnd.choices(letters, k=n)
+            for _ in range(size):
+                copy = list(base)
+                for at in rnd.sample(range(n), edits):
+                    copy[at] = "zzy"
+                all_.append(copy)
+            all_.append(base)
+    base = rnd.choices(letters, k=300)
+    for _ in range(40):
+        copy = list(base)
+        for at in rnd.sample(range(300), 5):
+            copy[at] = rnd.choice(letters) + rnd.choice(letters)
+        all_.append(copy)
+    texts = numbered(rnd, [*all_, base])
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of this stands in any text " * 3)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == brute(texts)
