@@ -256,8 +256,6 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLE_TEXTS, COMMON_MOST = 20_000, 500_000
 #: A key's texts are dealt out to tasks by this many.
 SALT_ROWS = 2_000
-#: Texts of the similarity asked for differ in fewer bits; further apart, the texts aren't read.
-FAR = 24
 _EPS = 1e-9
 
 
@@ -408,10 +406,11 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     keys = stored(texts.select("node", "n", F.posexplode("keys").alias("pos", "key")), "keys")
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     keys = stored(keys.join(often, "key"), "shared")
-    prints = texts.select("node", "fp")
+    sizes = texts.select("node", "n")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        pairs = _ordered(pairs).join(prints.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR).select("a", "b")
+        alike = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - _EPS
+        pairs = _ordered(pairs).join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(alike).select("a", "b")
         pairs = stored(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "stays.*"), "node")
         read = stored(rows.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("node", "text").dropDuplicates(["node"]), "read")

@@ -105,3 +105,14 @@ def test_whole_pipeline_keeps_one_of_short_copies(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "nothing of this stands in any text " * 3)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == brute(texts)
+
+
+def test_repeated_lines_do_not_hide_copies(spark):
+    rnd = random.Random(8)
+    all_ = []
+    for times in (30, 60, 100, 200) * 6:
+        base, line = words(rnd, 300), words(rnd, 10)
+        all_ += [base, base + line * times]
+    texts = numbered(rnd, all_)
+    want = brute(texts)
+    assert len(want) == 24 and kept(spark, texts) == want
