@@ -24,8 +24,6 @@ from quillspark.llm.common import bounded_sample, crc_of, map_texts, table, text
 
 #: The classifier is fitted on this many labelled rows at most.
 FIT_ROWS = 20_000
-#: Words and n-grams that the model keeps for each language, the most frequent first: the bound of what is broadcast.
-MODEL_WORDS, MODEL_GRAMS = 30_000, 30_000
 LONGEST = 5
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 300_000
@@ -58,16 +56,12 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """labelled: doc_id, text, lang. Returns the languages, and by n (0: words) each gram's log frequencies."""
-    from pyspark.sql import Window
-
     known = labelled.where("text is not null and lang is not null")
     picked = bounded_sample(known.select("doc_id").where("doc_id is not null").distinct(), "doc_id", fit_rows)
     rows = known.join(F.broadcast(picked), "doc_id").select("lang", "text")
     counts = _counts(rows)
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram"))
-    total = Window.partitionBy("lang", "n")
-    kept = counts.withColumn("of", F.sum("k").over(total)).withColumn("r", rank).where(F.col("r") <= F.when(F.col("n") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS))
-    got = kept.select("lang", "n", "gram", "k", "of").toArrow()
+    # all words and n-grams of the bounded sample: its size bounds what is broadcast
+    got = counts.toArrow()
     order = sorted(got.column("lang").unique().to_pylist())
     column = {x: i for i, x in enumerate(order)}
     grams_of, logs_of = [], []
@@ -77,8 +71,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         where = np.array([column[x] for x in part.column("lang").to_pylist()], np.int64)
         counts = np.zeros((len(coded.dictionary), len(order)), np.float32)
         counts[coded.indices.to_numpy(zero_copy_only=False), where] = part.column("k").to_numpy()
-        base = np.zeros(len(order))
-        base[where] = part.column("of").to_numpy()
+        base = counts.sum(axis=0, dtype=np.float64)
         grams_of.append(coded.dictionary)
         logs_of.append(np.log((counts + 0.5) / (base + 0.5 * len(counts) + 1)).astype(np.float32))
     return {"langs": order, "grams": grams_of, "logs": logs_of}
