@@ -19,10 +19,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import crc_of, labelled, map_texts, table, texts_of
+from quillspark.llm.common import crc_of, labelled, map_texts, stored, table, texts_of
 
 #: Labelled rows that are learned from at most.
 FIT_ROWS = 20_000
@@ -90,6 +90,14 @@ def log_odds(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> dict
     return {words[i]: float(low[i]) for i in order[:MODEL_TOKENS] if low[i] > 0}
 
 
+def _lower_bound(t: Column, c: Column, toxic: int, other: int) -> Column:
+    """That of log_odds, as an expression over a token's document counts."""
+    share = toxic / (toxic + other)
+    a, b = PRIOR * share, PRIOR * (1 - share)
+    t, c = F.least(t + a, F.lit(toxic + a - 0.5 * a)), F.least(c + b, F.lit(other + b - 0.5 * b))
+    return F.log(t / (toxic + 2 * a - t)) - F.log(c / (other + 2 * b - c)) - ERRORS * F.sqrt(1 / t + 1 / c)
+
+
 def decay(scores: np.ndarray, shares: np.ndarray, drift: float = DRIFT) -> float:
     """lambda: the positive root of the mean of exp(lambda * score) = 1; shares: of the tokens with these scores, the rest has the drift."""
     rest = 1 - shares.sum()
@@ -144,10 +152,11 @@ def fit(rows: DataFrame) -> dict:
 
     one = lambda k: F.sum((F.col("label") == k).cast("long"))
     counted = texts.select("text", "label").mapInArrow(words, "word string, label int, n long").groupBy("word").agg(one(1).alias("t"), one(0).alias("c"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n"))
-    # a token seen in fewer than two toxic documents is never above zero
-    got = {r.word: r for r in counted.where("t > 1 or word = ''").collect()}
-    whole = got.pop("", None)
+    counted = stored(counted, "counts")
+    whole = counted.where("word = ''").first()
     toxic, other, tokens = (whole.t, whole.c, whole.n) if whole else (0, 0, 0)
+    some = counted.where("word <> ''").where(_lower_bound(F.col("t"), F.col("c"), toxic, other) > -1e-6) if toxic and other else counted.where("false")
+    got = {r.word: r for r in some.collect()}
     odds = log_odds({w: (r.t, r.c) for w, r in got.items()}, toxic, other)
     model = {"odds": odds, "share": toxic / max(1, toxic + other), "k": 0.1, "lambda": 1.0, "weights": None}
     if not odds or not toxic or not other:

@@ -1,4 +1,4 @@
-from quillspark.llm import langid
+from quillspark.llm import langid, toxicity
 
 
 def test_language_model_keeps_all_words_and_grams(spark):
@@ -8,3 +8,9 @@ def test_language_model_keeps_all_words_and_grams(spark):
     model = langid.fit(docs)
     assert set(model["grams"][0].to_pylist()) == set(words)
     assert set(model["grams"][5].to_pylist()) == {g for w in words for g in langid.grams(w, 5)}
+
+
+def test_toxic_token_of_one_document_counts_by_its_bound(spark):
+    rows = [(i, f"plain words number {i}", 0) for i in range(200)] + [(200, "plain vile words", 1), (201, "awful plain words", 1)]
+    model = toxicity.fit(spark.createDataFrame([(i, t + " x" * i, y) for i, t, y in rows], "doc_id long, text string, label int"))
+    assert set(model["odds"]) == {"vile", "awful"}
