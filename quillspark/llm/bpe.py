@@ -1,7 +1,8 @@
 """BPE encoding and decoding by dynamic programming over prefixes.
 
-Every prefix of a word has one BPE encoding, so it has one last token. The tokens that may end at a place come from a
-suffix automaton over the vocabulary; a token is the last one of a prefix exactly if it is compatible with the last
+Every prefix of a word has one BPE encoding, so it has one last token. The tokens that may end at a place come from an
+Aho-Corasick automaton over the vocabulary, in place of a suffix automaton: it reports just the tokens that end there,
+where a suffix automaton also matches parts of tokens, which count for nothing. A token is the last one of a prefix exactly if it is compatible with the last
 token of the shorter prefix before it. Following the back-pointers from the end of the word gives the ids.
 
 Null text counts as empty; empty text has no tokens. Repeated rows give repeated results. A null doc_id stays null.
