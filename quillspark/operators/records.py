@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table, written to the folder that driver and executors share, so that no lineage grows."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where}/steps-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def keyset_page(rows: DataFrame, at: str, key: str, before: tuple, size: int) -> DataFrame:
     """The `size` newest rows before the cursor (at, key). Top-k by partition, then merged."""
     older = (F.col(at) < F.lit(before[0])) | ((F.col(at) == F.lit(before[0])) & (F.col(key) < F.lit(before[1])))
@@ -32,15 +47,29 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) ->
     return rows.withColumn("version", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("version") <= n)
 
 
-def ancestors(nodes: DataFrame, most_levels: int = 64) -> DataFrame:
-    """nodes: id, parent. id, root, depth: pointers are doubled, so a chain of length n takes log n joins."""
-    now = nodes.select("id", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
-    step = 1
-    while step < most_levels:
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        now = now.join(above, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        step *= 2
-    return now.select("id", F.col("up").alias("root"), "depth")
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """nodes: id, parent. id, root, depth: pointers are doubled, so a chain of length n takes log n joins.
+
+    A parent that isn't among the nodes counts as a root. In and below a cycle there is none: root and depth are null.
+    """
+    now = nodes.select("id", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.col("parent").isNull().alias("done"))
+    before = None
+    while True:
+        # each step finishes a node of some depth, or all that are left hang on cycles
+        now = written(now)
+        left = now.where("not done").count()
+        if left in (0, before):
+            break
+        before = left
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        step = now.join(above, "up", "left")
+        now = step.select(
+            "id",
+            F.when(F.col("done"), F.col("up")).otherwise(F.coalesce("next", "up")).alias("up"),
+            F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            (F.col("done") | F.coalesce("ends", F.lit(True))).alias("done"),
+        )
+    return now.select("id", F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
 
 
 def usage_cost(rows: DataFrame, prices: DataFrame) -> DataFrame:
