@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.records import written
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What counts as a personal detail, in the order in which they are hidden.
 DETAILS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "url": r"https?://[^ \n\t]+", "ip": r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "digits": r"[0-9]{7,}"}
@@ -73,12 +75,18 @@ def redacted(text: str) -> Column:
 def masks(docs: DataFrame, kind: str = "email") -> DataFrame:
     """value, tag: each distinct detail's number, in the order of first appearance (doc_id, then place).
 
-    A number over all values is one task's work by definition; it sees each distinct value once, never the texts.
+    Values are sorted in ranges, and a range's numbers begin after those of the ranges before it: no task sees all values.
     """
     found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(DETAILS[kind]), F.lit(0))).alias("place", "value"))
-    firsts = found.groupBy("value").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("first.doc_id", "first.place"))
-    return firsts.select("value", F.concat(F.lit(f"[{kind}_"), number, F.lit("]")).alias("tag"))
+    firsts = found.groupBy("value").agg(F.min(F.struct("doc_id", "place")).alias("first")).select("value", "first.*")
+    rows = written(firsts.repartitionByRange("doc_id", "place").withColumn("range", F.spark_partition_id()))
+    before, starts = 0, []
+    for x in rows.groupBy("range").count().orderBy("range").collect():
+        starts.append((x["range"], before))
+        before += x["count"]
+    starts = docs.sparkSession.createDataFrame(starts, "range int, before long")
+    number = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("doc_id", "place"))
+    return rows.join(F.broadcast(starts), "range").select("value", F.concat(F.lit(f"[{kind}_"), number, F.lit("]")).alias("tag"))
 
 
 def numbers_not_in(turns: DataFrame) -> DataFrame:
