@@ -54,9 +54,11 @@ def map_texts(docs: DataFrame, start: Callable[[], Callable[..., dict[str, list]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -75,6 +77,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few longs or an id that are broadcast at most; more are joined by shuffling.
+BROADCAST_ROWS = 500_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A stored table of narrow rows is broadcast if it has BROADCAST_ROWS at most."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
     """At most `bound` rows, the first by a hash of the key: the same keys each time; all rows where there are no more."""
     return rows.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), key).limit(bound)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_sample, components, keyed, map_texts, stored, table, texts_of
+from quillspark.llm.common import components, keyed, map_texts, small, stored, table, texts_of
 
 SEED = 42
 WIDTH = 3
@@ -245,30 +245,61 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #
 # Each text's distinct shingles are put in one global order. Two texts whose Jaccard similarity is `similarity` or more share
 # a shingle within the first n - ceil(similarity * n) + 1 of each (prefix filter), their n differ by that ratio at most
-# (length filter), and at their first shared shingle enough of both is left (positional filter). So the pairs that pass
-# hold all that count; each is compared in full. Any order is right: shingles that a sample of texts has often come last,
-# which keeps common passages out of the keys.
+# (length filter), and at their first shared shingle enough of both is left (positional filter). What stands in one prefix,
+# before both end, and not in the other is surely missing there (evidence filter). So the pairs that pass hold all that
+# count; each is compared in full.
 #
-# Only components are asked for. First texts that link by fingerprint, and each key's texts with one of them, are compared;
-# then all pairs that share a key and aren't in one component yet.
+# Any order is right. Ours is by how many texts of all hold a shingle, as far as the most frequent ones may be broadcast: rare
+# ones first. So passages that many texts share aren't among the keys, and two copies of one text that differ too much to
+# count meet by their own edits alone, that is, not at all.
+#
+# Only components are asked for. First texts that link by fingerprint, and each key's texts with a few of them, are compared;
+# then all pairs that share a key, pass the filters and aren't in one component yet.
 
-#: Texts of the sample that the order is learned from, and its shingles that come last. They bear on speed, not on results.
-SAMPLE_TEXTS, COMMON_MOST = 20_000, 500_000
+#: Shingles that are counted in one part, and shingles that come last at most. They bear on speed, not on results.
+PART_SHINGLES, COMMON_MOST = 4_000_000, 500_000
+#: Texts of each key that its others are compared with before all pairs are.
+HUBS = 6
 #: A key's texts are dealt out to tasks by this many.
 SALT_ROWS = 2_000
 _EPS = 1e-9
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _shingles(text: str | None, width: int) -> np.ndarray:
-    """Their hashes, repeats included."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value of each byte (white space: zero, A-Z: as a-z), and whether it is no white space."""
+    values = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([c + 32 if 0x41 <= c <= 0x5A else c]), SEED) for c in range(256)), ">u8").astype(np.uint64)
+    solid = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
+    return np.where(solid, values, np.uint64(0)), solid
+
+
+_VALUES, _SOLID = _tables()
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included: those of their words, mixed in order. Fewer words: the whole sequence."""
+    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    solid = np.zeros(len(raw) + 2, np.int8)
+    solid[1:-1] = _SOLID[raw]
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
         return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    k = max(1, len(words) - width + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    digest = xxhash.xxh64_digest
-    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip([0, *ends[: k - 1].tolist()], (ends[min(width, len(words)) - 1 :] - 1).tolist(), strict=True)]), ">u8").astype(np.uint64)
+    sizes = ends - starts
+    # a word's hash: its bytes' values, each times a power by its place in the word
+    powers = np.cumprod(np.full(int(sizes.max()) + 1, _MIX), dtype=np.uint64)
+    raw = raw[starts[0] : ends[-1]]
+    starts = starts - starts[0]
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    w = np.add.reduceat(_VALUES[raw] * powers[np.minimum(place, len(powers) - 1)], starts)
+    w ^= w >> np.uint64(31)
+    k = max(1, len(w) - width + 1)
+    h = np.full(k, min(len(w), width), np.uint64)
+    for at in range(min(len(w), width)):
+        h = (h ^ w[at : at + k]) * _MIX
+        h ^= h >> np.uint64(32)
+    h *= _MIX
+    return h ^ h >> np.uint64(29)
 
 
 def _whole(h: np.ndarray) -> int:
@@ -281,56 +312,92 @@ def _whole(h: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(h)).view(">i8")[0])
 
 
-def _prefix(h: np.ndarray, common: np.ndarray, often: np.ndarray, similarity: float) -> tuple[int, np.ndarray]:
-    """Number of distinct shingles, and the first of them in the global order; texts without any share one key."""
-    own = np.unique(h)
-    n = len(own)
-    if not n:
-        return 0, np.zeros(1, np.int64)
-    count = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        count = np.where(common[at] == own, often[at], 0)
-    return n, own[np.lexsort((own, count))][: n - math.ceil(similarity * n - _EPS) + 1].view(np.int64)
+def _sketches(rows: DataFrame, width: int) -> DataFrame:
+    """id, tie, copy (hash of the text), fp, n (distinct shingles)."""
 
+    def start():
+        def work(ids, ties, texts):
+            hashes = [shingles(x, width) for x in texts]
+            copies = [xxhash.xxh3_128_digest((x or "").encode("utf-8", "replace")) for x in texts]
+            return {"id": ids, "tie": ties, "copy": copies, "fp": [_whole(h) for h in hashes], "n": [len(np.unique(h)) for h in hashes]}
+
+        return work
 
-def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a bounded sample have, in order of hash, and how many have them."""
-    some = rows.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    picked = bounded_sample(some.select("key").distinct(), "key", SAMPLE_TEXTS)
+    return map_texts(rows.select("id", "tie", "text"), start, "id long, tie int, copy binary, fp long, n int")
+
+
+def _common(rows: DataFrame, width: int, total: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The most frequent shingles as (part, tail) in one long, sorted, and their step in the order (from 1). total: shingles in all.
+
+    Shingles are dealt out by the upper half of their hash and travel as the lower halves, packed: some megabytes a part, however
+    often one of them stands. That two may share part and tail moves them in the order and changes no result.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SHINGLES))
 
     def start():
-        return lambda _, text: {"h": np.concatenate([np.unique(_shingles(x, width)) for x in text]).view(np.int64)}
+        def work(texts):
+            spots = np.sort(np.concatenate([_spot(np.unique(shingles(x, width)), parts) for x in texts]))
+            edges = np.searchsorted(spots >> np.uint64(32), np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(edges))
+            tails = pa.ListArray.from_arrays(np.append(edges[some], len(spots)).astype(np.int32), spots.astype(np.uint32).view(np.int32))
+            return {"part": some, "tails": tails}
 
-    counts = map_texts(some.join(F.broadcast(picked), "key").dropDuplicates(["key"]), start, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    got = counts.orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
-    h = got.column("h").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], got.column("n").to_numpy().astype(np.int64)[order]
+        return work
 
+    def counted(key: tuple, part: pa.Table) -> pa.Table:
+        tails, n = np.unique(np.concatenate([x.flatten().to_numpy() for x in part.column("tails").chunks]).view(np.uint32), return_counts=True)
+        often = np.flatnonzero(n > 2)
+        step = np.minimum(np.log2(n[often]) * 4, 126).astype(np.int32)
+        return pa.table({"spot": (tails[often].astype(np.uint64) | np.uint64(key[0].as_py()) << np.uint64(32)).view(np.int64), "step": step})
 
-def _sketches(rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(_common(rows, width))
+    counts = map_texts(rows.select("text"), start, "part int, tails array<int>").groupBy("part").applyInArrow(counted, "spot long, step int")
+    counts = stored(counts, "counts")
+    room, least = COMMON_MOST, 127
+    for step, k in sorted(((r["step"], r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True):
+        room -= k
+        if room < 0:
+            break
+        least = step
+    got = counts.where(F.col("step") >= least).toArrow()
+    spots = got.column("spot").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(spots)
+    return parts, spots[order], got.column("step").to_numpy().astype(np.uint64)[order]
+
+
+def _spot(h: np.ndarray, parts: int) -> np.ndarray:
+    return (h >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+
+
+def _prefix(h: np.ndarray, common: tuple[int, np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a text's distinct shingles in the global order: its step, then its hash. Texts without any share one key."""
+    own = np.unique(h)
+    n = len(own)
+    if not n:
+        return np.full(1, -1, np.int64)
+    key = own >> np.uint64(8)
+    parts, spots, step = common
+    if len(spots):
+        spot = _spot(own, parts)
+        at = np.minimum(np.searchsorted(spots, spot), len(spots) - 1)
+        key |= np.where(spots[at] == spot, step[at], np.uint64(0)) << np.uint64(56)
+    return np.sort(key)[: n - math.ceil(similarity * n - _EPS) + 1].view(np.int64)
+
+
+def _prefixes(rows: DataFrame, width: int, similarity: float, total: int) -> DataFrame:
+    """id, tie, keys."""
+    sent = rows.sparkSession.sparkContext.broadcast(_common(rows, width, total))
 
     def start():
-        common, often = sent.value
+        common = sent.value
 
         def work(ids, ties, texts):
-            hashes = [_shingles(x, width) for x in texts]
-            keys = [_prefix(h, common, often, similarity) for h in hashes]
-            ends = np.cumsum([0, *(len(k) for _, k in keys)]).astype(np.int32)
-            return {
-                "id": ids,
-                "tie": ties,
-                "copy": [xxhash.xxh3_128_hexdigest((x or "").encode("utf-8", "replace")) for x in texts],
-                "fp": [_whole(h) for h in hashes],
-                "n": [n for n, _ in keys],
-                "keys": pa.ListArray.from_arrays(ends, np.concatenate([k for _, k in keys])),
-            }
+            keys = [_prefix(shingles(x, width), common, similarity) for x in texts]
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            return {"id": ids, "tie": ties, "keys": pa.ListArray.from_arrays(ends, np.concatenate(keys))}
 
         return work
 
-    return map_texts(rows.select("id", "tie", "text"), start, "id long, tie int, copy string, fp long, n int, keys array<long>")
+    return map_texts(rows.select("id", "tie", "text"), start, "id long, tie int, keys array<long>")
 
 
 def _similar(pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -340,9 +407,9 @@ def _similar(pairs: DataFrame, width: int, similarity: float) -> DataFrame:
         def work(a, b, left, right):
             keep = []
             for k, (x, y) in enumerate(zip(left, right, strict=True)):
-                s, t = (np.unique(_shingles(z, width)) for z in (x, y))
+                s, t = (np.unique(shingles(z, width)) for z in (x, y))
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                if both >= similarity * (len(s) + len(t) - both) - 1e-9 or not len(s) + len(t):
+                if both >= similarity * (len(s) + len(t) - both) - _EPS or not len(s) + len(t):
                     keep.append(k)
             return {"a": [a[k] for k in keep], "b": [b[k] for k in keep]}
 
@@ -357,14 +424,23 @@ def _meets(n: Column, at: Column, m: Column, to: Column, similarity: float) -> C
     return alike & (F.least(n - at, m - to) >= similarity / (1 + similarity) * (n + m) - _EPS)
 
 
+def _could_be(n: str, keys: str, m: str, other: str, similarity: float) -> Column:
+    """Length and evidence filter of two texts of n and m shingles with these prefixes."""
+    ends = F.least(F.element_at(keys, -1), F.element_at(other, -1))
+    both = F.size(F.array_intersect(keys, other))
+    missing = lambda k: F.size(F.filter(k, lambda x: x <= ends)) - both
+    alike = F.least(n, m) >= similarity * F.greatest(n, m) - _EPS
+    return alike & (F.least(F.col(n) - missing(keys), F.col(m) - missing(other)) >= similarity / (1 + similarity) * (F.col(n) + F.col(m)) - _EPS)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _with_hubs(shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of each key's texts with one of them: that whose keys most texts have, such as what edited copies come from."""
+    """Pairs a, b of each key's texts with some of them: HUBS of those whose keys most texts have, such as what edited copies come from."""
     weight = shared.groupBy("node").agg((F.sum("holders") / F.count(F.lit(1))).alias("weight"))
-    hubs = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub"))
+    hubs = shared.join(weight, "node").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("class")).agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub"))
     met = shared.join(hubs, "key").where(_meets(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), similarity))
     return met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
 
@@ -390,12 +466,13 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     both stay or go, as it would.
     """
     names = docs.columns
-    rows = keyed(docs, *(c for c in names if c not in ("doc_id", "text")))
-    seen = stored(_sketches(rows, width, similarity), "sketches")
+    others = [c for c in names if c not in ("doc_id", "text")]
+    rows = keyed(docs.select("doc_id", "text", F.struct(*(others or [F.lit(0)])).alias("rest")), "rest")
+    seen = stored(_sketches(rows, width), "sketches")
     shared = bool(seen.where("tie > 0").limit(1).count())
     node = F.xxhash64("copy") if shared else F.min("id")
-    texts = seen.groupBy("copy").agg(F.min(F.struct("id", "tie")).alias("stays"), *(F.first(c).alias(c) for c in ("fp", "n", "keys")), *([] if shared else [node.alias("node")]))
-    texts = stored(texts.withColumn("node", node) if shared else texts, "texts")
+    texts = seen.groupBy("copy").agg(F.min(F.struct("id", "tie")).alias("stays"), *(F.first(c).alias(c) for c in ("fp", "n")), *([] if shared else [node.alias("node")]))
+    texts = stored((texts.withColumn("node", node) if shared else texts).select("stays.*", "node", "fp", "n"), "texts")
     # texts linked by fingerprint: each to the least of its own fingerprint, and that to the group's
     fps = texts.groupBy("fp").agg(F.min("node").alias("least"))
     roots = components(links(fps.select("fp"), radius))
@@ -403,23 +480,27 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     own = texts.join(fps, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
     wide = named.join(fps.select(F.col("fp").alias("root"), F.col("least").alias("b")), "root").select(F.col("least").alias("a"), "b")
     # texts that share a key
-    keys = stored(texts.select("node", "n", F.posexplode("keys").alias("pos", "key")), "keys")
+    made = _prefixes(rows, width, similarity, seen.agg(F.sum("n")).first()[0] or 0).dropDuplicates(["id", "tie"])
+    prefixes = stored(made.join(texts.select("id", "tie", "node", "n"), ["id", "tie"]).select("node", "n", "keys"), "prefixes")
+    keys = prefixes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     keys = stored(keys.join(often, "key"), "shared")
-    sizes = texts.select("node", "n")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        alike = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - _EPS
-        pairs = _ordered(pairs).join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(alike).select("a", "b")
-        pairs = stored(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "stays.*"), "node")
-        read = stored(rows.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("node", "text").dropDuplicates(["node"]), "read")
+        pairs = stored(_ordered(pairs), "candidates")
+        asked = small(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked"))
+        side = prefixes.join(asked, "node", "left_semi")
+        side = stored(side, "sides")
+        a, b = (side.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"k{c}")) for c in "ab")
+        pairs = stored(pairs.join(a, "a").join(b, "b").where(_could_be("na", "ka", "nb", "kb", similarity)).select("a", "b"), "pairs")
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "id", "tie"), "node"), "wanted")
+        read = stored(rows.select("id", "tie", "text").join(small(wanted), ["id", "tie"]).select("node", "text").dropDuplicates(["node"]), "read")
         both = pairs.join(read.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(read.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
         return stored(_similar(both, width, similarity), "links")
 
     some = compared(own.unionByName(wide).unionByName(_with_hubs(keys, similarity)))
     rest = compared(_unlinked(keys, components(some), similarity))
     roots = components(some.unionByName(rest))
-    stays = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("stays").alias("stays")).select("stays.*")
+    stays = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "tie")).alias("stays")).select("stays.*")
     goes = stored(seen.select("id", "tie").distinct().join(stays, ["id", "tie"], "left_anti"), "goes")
-    return rows.join(goes, ["id", "tie"], "left_anti").select(*names)
+    return rows.join(small(goes), ["id", "tie"], "left_anti").select("doc_id", "text", *([] if not others else ["rest.*"])).select(*names)
