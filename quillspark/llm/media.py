@@ -20,6 +20,8 @@ from quillspark.llm.common import map_texts, table, texts_of
 
 #: Bytes in a pixel row of a text's image: 64 pixels of three samples.
 ROW_BYTES = 192
+#: A stated size beyond this is taken for damage.
+MOST_PIXELS = 1 << 28
 
 
 def encode_ppm(pixels: np.ndarray) -> bytes:
@@ -51,12 +53,15 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     w, h, top = numbers[0], numbers[1], numbers[2] if len(numbers) > 2 else 1
     channels = 3 if kind in (3, 6) else 1
-    if not (w and h and 0 < top < 65536):
+    if not (w and h and 0 < top < 65536 and w * h <= MOST_PIXELS):
         raise ValueError("Netpbm size or largest value is out of range")
     if kind == 1:
         values = np.frombuffer(re.sub(rb"#[^\n\r]*|\s", b"", data[at:]), np.uint8)[: w * h] - 48
     elif kind in (2, 3):
-        values = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[: w * h * channels], np.int64)
+        samples = re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[: w * h * channels]
+        if not all(x.isdigit() and len(x) <= 9 for x in samples):
+            raise ValueError("Netpbm samples are no numbers")
+        values = np.array(samples, np.int64)
     elif kind == 4:
         stride = (w + 7) // 8
         raw = np.frombuffer(data, np.uint8, offset=at + 1)[: stride * h]
@@ -67,6 +72,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         values = np.frombuffer(data[at + 1 : at + 1 + w * h * channels * (1 + (top > 255))], ">u2" if top > 255 else np.uint8)
     if values.size < w * h * channels:
         raise ValueError("Netpbm samples are cut off")
+    if values.size and int(values.max()) > top:
+        raise ValueError("Netpbm samples are above the largest value")
     if kind in (1, 4):
         values = 1 - values
     if top != 255:
@@ -79,7 +86,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("no BMP magic")
     start, size, w, h, _, bits, packed = struct.unpack("<I", data[10:14]) + struct.unpack("<IiiHHI", data[14:34])
-    if packed or bits not in (8, 24, 32) or w <= 0 or not h:
+    if packed or bits not in (8, 24, 32) or w <= 0 or not h or w * abs(h) > MOST_PIXELS or start > len(data):
         raise ValueError("BMP kind is not supported")
     stride = (bits * w // 8 + 3) // 4 * 4
     raw = np.frombuffer(data, np.uint8, offset=start)
@@ -136,7 +143,7 @@ def tiles(media: DataFrame, size: int = 16) -> DataFrame:
             try:
                 p = decode(data if data is not None else b"")
                 return *p.shape, difference_hash(p), npy_tile(p, size), None
-            except (ValueError, IndexError, struct.error) as e:
+            except (ValueError, IndexError, OverflowError, struct.error) as e:
                 return None, None, None, None, None, str(e)
 
         def work(media_id, media):
