@@ -44,7 +44,9 @@ def counts_of(text: str | None) -> np.ndarray:
 def matrix(texts: list[str | None]) -> np.ndarray:
     counts = np.stack([counts_of(x) for x in texts]).astype(np.float32)
     terms = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32)
-    return np.hstack([terms, np.array([style_of(x) for x in texts], np.float32) * np.float32(STYLE_WEIGHT)])
+    x = np.hstack([terms, np.array([style_of(x) for x in texts], np.float32) * np.float32(STYLE_WEIGHT)])
+    # labelled rows travel in half precision, so all rows are rounded to it
+    return x.astype(np.float16).astype(np.float32)
 
 
 def style_of(text: str | None) -> tuple[float, float]:
@@ -110,7 +112,11 @@ def votes(x: np.ndarray, model: dict, neighbours: int = NEIGHBOURS) -> np.ndarra
     k = min(neighbours, len(labels))
     at = unit(x @ model["basis"])
     near = at @ vectors
-    top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(x), 1))
+    # the k nearest; of equal ones those that come first, and labelled rows stand in the order of their ids
+    least = np.partition(near, -k, axis=1)[:, [-k]]
+    above, equal = near > least, near == least
+    chosen = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    top = np.nonzero(chosen)[1].reshape(len(x), k)
     weight = np.clip(np.take_along_axis(near, top, 1), 0, 1) ** SHARPNESS
     total = weight.sum(axis=1)
     ok = (total > 0) & at.any(axis=1)
