@@ -22,13 +22,15 @@ from quillspark.llm.common import stored, table
 
 FILE_RECORDS = 4096
 FAN = 16
+#: Pages have no date of their own; the format asks for one.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def record_of(page_id: Column, url: Column, html: Column) -> Column:
     """A response record as a string."""
     body = F.coalesce(html.cast("string"), F.lit(""))
     return F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url.cast("string"), F.lit("")),
+        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.translate(F.coalesce(url.cast("string"), F.lit("")), "\r\n", ""),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
     )
 
@@ -102,11 +104,12 @@ def leaves(records: DataFrame) -> DataFrame:
 
 
 def tree(records: DataFrame, height: int) -> list[DataFrame]:
-    """Levels from the leaves to the roots."""
-    out = [leaves(records)]
+    """Levels from the leaves to the roots. Each is written once: the level above and the comparison read it."""
+    out = [stored(leaves(records), "level")]
     for _ in range(height):
         kids = out[-1].groupBy("block", "part", F.expr(f"at div {FAN}").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "hash", "first", "last"))).alias("kids"))
-        out.append(kids.select("block", "part", "at", _node(F.col("kids")).alias("hash"), F.array_min(F.transform("kids", lambda c: c["first"])).alias("first"), F.array_max(F.transform("kids", lambda c: c["last"])).alias("last")))
+        level = kids.select("block", "part", "at", _node(F.col("kids")).alias("hash"), F.array_min(F.transform("kids", lambda c: c["first"])).alias("first"), F.array_max(F.transform("kids", lambda c: c["last"])).alias("last"))
+        out.append(stored(level, "level"))
     return out
 
 
@@ -155,7 +158,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, chr(13) || chr(10) AS nl FROM pages),
-r AS (SELECT page_id, 'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || nl || 'WARC-Target-URI: ' || url || nl
+r AS (SELECT page_id, 'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || nl || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || replace(replace(url, chr(13), ''), chr(10), '') || nl
   || 'Content-Type: text/html' || nl || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || nl || nl || html || nl || nl AS rec, html FROM p),
 g AS (SELECT page_id, sha256(rec) AS digest, CAST(strlen(rec) AS BIGINT) AS length, count(*) AS copies, any_value(html) AS html FROM r GROUP BY page_id, sha256(rec), strlen(rec)),
 b AS (SELECT *, CAST(coalesce(floor(page_id / 4096.0), -1) AS BIGINT) AS block FROM g),
