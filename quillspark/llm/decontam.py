@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import small, stored, table
 
 WINDOW, MOST_CHANGED = 13, 2
 MASKS = ("11010011",)
@@ -65,6 +65,10 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     asked = tests.select("test", F.posexplode(seeds_of(F.col("item"))).alias("at", "seed")).select("seed", "test", F.expr(f"at div {len(MASKS)}").alias("item_at"))
     seeds = texts.select("doc_id", "version", F.posexplode(seeds_of(words_of(F.col("text")))).alias("at", "seed")).select("seed", "doc_id", "version", F.expr(f"at div {len(MASKS)}").alias("doc_at"))
     hits = seeds.join(asked, "seed").select("doc_id", "version", "test", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    hits = stored(hits, "hits")
+    # texts without a hit are left out before any text moves
+    met = small(stored(hits.select(F.col("doc_id").alias("met_id"), F.col("version").alias("met_version")).distinct(), "met"))
+    texts = texts.join(met, texts["doc_id"].eqNullSafe(met["met_id"]) & (texts["version"] == met["met_version"]), "left_semi")
     hits = hits.join(tests, "test").drop("test").withColumnsRenamed({"doc_id": "hit_id", "version": "hit_version"})
     both = texts.join(hits, texts["doc_id"].eqNullSafe(hits["hit_id"]) & (texts["version"] == hits["hit_version"]))
     compared = both.select("doc_id", "version", "item_id", "shift", "item", F.least(F.col("shift"), F.lit(0)).alias("skipped"), once(F.slice(words_of(F.col("text")), F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item"))).alias("there"))
@@ -76,7 +80,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows that overlap no item, with all their columns."""
-    bad = overlaps(docs, items).select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct()
+    bad = small(stored(overlaps(docs, items).select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct(), "bad"))
     version = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (version == bad["bad_version"]), "left_anti")
 
