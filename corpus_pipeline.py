@@ -24,9 +24,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that also start earlier are cut out; n_chars is that of what is left."""
-    out = repeats.without_repeats(docs, keep=("lang", "source"))
-    kinds = dict(docs.dtypes)
-    return out.select("doc_id", "text", "lang", "source", F.length("text").cast(kinds["n_chars"]).alias("n_chars")).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = repeats.without_repeats(docs.select("doc_id", "text", F.struct(*others).alias("rest")), keep=("rest",)).select("doc_id", "text", "rest.*")
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
