@@ -1,8 +1,8 @@
-"""Schedule operators: overlaps, neighbours in time, free starts, series, differences, alerts."""
+"""Schedule operators: overlaps, neighbours in time, working days, free starts, series, differences, events."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,86 @@ def alerts(visits: DataFrame, uncovered: DataFrame, today: str) -> DataFrame:
     quiet = last.where((F.col("ahead") == 0) & F.col("since").between(F.date_sub(day, 60), day)).select("patient_id", F.lit("no_next_visit").alias("alert"), "since")
     debt = uncovered.where(F.date_diff(day, "oldest") > 60).select("patient_id", F.lit("old_debt").alias("alert"), F.col("oldest").alias("since"))
     return unmarked.unionByName(quiet).unionByName(debt)
+
+
+def in_range(visits: DataFrame, first: str, last: str) -> DataFrame:
+    return visits.where(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+
+def week_of(date: Column) -> dict[str, Column]:
+    """The Sunday and the Saturday of the date's week."""
+    sunday = F.date_sub(date, F.dayofweek(date) - 1)
+    return {"sunday": sunday, "saturday": F.date_add(sunday, 6)}
+
+
+def working_days(spark: SparkSession, first: str, last: str, days: tuple[int, ...], closed: DataFrame | None = None) -> DataFrame:
+    """date of each working day (1: Sunday) that isn't among the closed ones (date)."""
+    out = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date")).where(F.dayofweek("date").isin(*days))
+    return out if closed is None else out.join(closed.select("date").distinct(), "date", "left_anti")
+
+
+def free_on_grid(days: DataFrame, visits: DataFrame, opens: int, closes: int, length: int, buffer: int = 0, step: int = 15) -> DataFrame:
+    """date, start: starts on a grid of `step` minutes from midnight that no visit comes nearer to than `buffer` minutes.
+
+    A visit is dealt out to the grid's starts that it blocks, so the join is an equality and a day's visits stay small.
+    """
+    first = -(-opens // step) * step
+    grid = days.select("date", F.explode(F.sequence(F.lit(first), F.lit(closes - length), F.lit(step))).alias("start")) if first <= closes - length else days.select("date", F.lit(0).alias("start")).where("false")
+    begin, end = F.greatest(F.col("start") - buffer, F.lit(0)), F.col("start") + F.col("minutes") + buffer
+    low, high = (F.floor((begin - length) / step) + 1) * step, (F.ceil(end / step) - 1) * step
+    busy = visits.where("status <> 'cancelled' and minutes > 0").join(days, "date", "left_semi").select("date", F.greatest(low, F.lit(0)).cast("int").alias("low"), high.cast("int").alias("high")).where("low <= high")
+    blocked = busy.select("date", F.explode(F.sequence("low", "high", F.lit(step))).alias("start")).distinct()
+    return grid.join(blocked, ["date", "start"], "left_anti")
+
+
+def spread(starts: Column, length: int, most: int) -> Column:
+    """Of a day's starts in order, each that begins when the one picked before has ended, `most` at most."""
+    fits = lambda picked, s: (F.size(picked) < most) & ((F.size(picked) == 0) | (s >= F.coalesce(F.get(picked, F.size(picked) - 1), F.lit(0)) + length))
+    return F.aggregate(F.array_sort(starts), F.array().cast("array<int>"), lambda picked, s: F.when(fits(picked, s), F.concat(picked, F.array(s))).otherwise(picked))
+
+
+def first_slots(days: DataFrame, visits: DataFrame, opens: int, closes: int, length: int, count: int, buffer: int = 0, per_day: int = 3) -> DataFrame:
+    """date, start: the first free times that don't overlap, some a day at most. A day's list holds its grid's starts only."""
+    free = free_on_grid(days, visits, opens, closes, length, buffer)
+    picked = free.groupBy("date").agg(F.collect_list("start").alias("starts")).select("date", F.explode(spread(F.col("starts"), length, per_day)).alias("start"))
+    return picked.orderBy("date", "start").limit(count)
+
+
+def sync_window(today: Column, back: int = 14, ahead: int = 180) -> tuple[Column, Column]:
+    return F.date_sub(today, back), F.date_add(today, ahead)
+
+
+def wanted_events(visits: DataFrame, today: str) -> DataFrame:
+    """id, date, start, stop, title (busy for blocks) of the visits that a calendar should show."""
+    rows = visits.where(F.col("date").between(*sync_window(F.lit(today).cast("date")))).where("status <> 'cancelled'")
+    return rows.select("id", "date", "start", (F.col("start") + F.col("minutes")).alias("stop"), F.when(F.col("kind") == "block", "busy").otherwise("visit").alias("title"))
+
+
+def starter_tasks(people: DataFrame, template: list[tuple[str, int]], tasks: DataFrame, today: str) -> DataFrame:
+    """people: patient_id. patient_id, title, due of the template's tasks (title, days ahead) that aren't open yet."""
+    lines = F.explode(F.array(*(F.struct(F.lit(t).alias("title"), F.lit(n).alias("days")) for t, n in template)))
+    wanted = people.select("patient_id", lines.alias("t")).select("patient_id", "t.title", F.date_add(F.lit(today).cast("date"), F.col("t.days")).alias("due"))
+    return wanted.join(tasks.where("done_on is null and patient_id is not null").select("patient_id", "title").distinct(), ["patient_id", "title"], "left_anti")
+
+
+def following(visits: DataFrame, edited: DataFrame, notes: DataFrame) -> DataFrame:
+    """edited: edited_id, series_id, patient_id, was, was_start, to, to_start. "This and all later ones" of a series: id, edited_id, date, start, moved.
+
+    Later visits of the series that are planned and have no note move by as many days, to the new start; others stay as they are.
+    """
+    noted = notes.where("visit_id is not null").select(F.col("visit_id").alias("id")).distinct().withColumn("noted", F.lit(True))
+    later = visits.join(edited, ["series_id", "patient_id"]).where((F.col("id") != F.col("edited_id")) & (F.struct("date", "start") > F.struct("was", "was_start"))).join(noted, "id", "left")
+    moved = (F.col("status") == "planned") & F.col("noted").isNull()
+    shifted = F.date_add("date", F.date_diff("to", "was"))
+    return later.select("id", "edited_id", F.when(moved, shifted).otherwise(F.col("date")).alias("date"), F.when(moved, F.col("to_start")).otherwise(F.col("start")).alias("start"), moved.alias("moved"))
+
+
+def steps(visits: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """patient_id, step, date, state of each kind of meeting: done at its last held one, set for its first planned one, else todo; the first that is to do is now."""
+    when = lambda k, s: F.when((F.col("kind") == k) & (F.col("status") == s), F.col("date"))
+    per = visits.groupBy("patient_id").agg(*(x for k in kinds for x in (F.max(when(k, "held")).alias(f"h_{k}"), F.min(when(k, "planned")).alias(f"p_{k}"))))
+    state = lambda k: F.when(F.col(f"h_{k}").isNotNull(), "done").when(F.col(f"p_{k}").isNotNull(), "set").otherwise("todo")
+    lines = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(k).alias("step"), F.coalesce(f"h_{k}", f"p_{k}").alias("date"), state(k).alias("state")) for n, k in enumerate(kinds)))
+    rows = per.withColumn("lines", lines).withColumn("first", F.array_min(F.transform(F.filter("lines", lambda x: x["state"] == "todo"), lambda x: x["n"])))
+    out = rows.select("patient_id", "first", F.explode("lines").alias("x"))
+    return out.select("patient_id", "x.step", "x.date", F.when(F.col("x.n") == F.col("first"), "now").otherwise(F.col("x.state")).alias("state"))

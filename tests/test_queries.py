@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from quillspark.plans import registry
+from quillspark.plans import catalog as registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
