@@ -29,12 +29,20 @@ def crc_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python hold some megabytes, also of very long texts, unless the session has them smaller."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_texts(docs: DataFrame, start: Callable[[], Callable[..., dict[str, list]]], schema: str) -> DataFrame:
     """Map rows in Arrow batches. start() runs once in each task and returns a function of the columns' value lists.
 
     A function of name `done` on it is called at the task's end: Python workers outlive tasks, and so would what they keep.
     """
     names = docs.columns
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
