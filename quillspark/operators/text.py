@@ -43,13 +43,19 @@ def top_of(rows: DataFrame, group: str, score: str, key: str, k: int) -> DataFra
 
 
 def phrases(reports: DataFrame, n: int, least: int) -> DataFrame:
-    """reports: id, section, text. section, phrase, reports: phrases of n words in `least` reports of a section or more."""
+    """reports: id, section, text. section, phrase, reports: phrases of n words in `least` reports of a section or more.
+
+    Phrases are counted by a 64-bit hash of section and words, which partial sums shrink before the shuffle; only those that are often
+    enough are read as words again and told apart. Rows of one id and section are one report; rows without an id are left out.
+    """
     # a generator of one row: the lambda below then reads the words and doesn't split the text again at each step
-    reports = reports.select("id", "section", F.explode(F.array(words("text"))).alias("words"))
-    w = F.col("words")
-    grams = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
-    per = reports.select("id", "section", F.explode(F.array_distinct(grams)).alias("phrase"))
-    return per.groupBy("section", "phrase").agg(F.count_distinct("id").alias("reports")).where(F.col("reports") >= least)
+    rows = reports.where("id is not null").select("id", "section", F.explode(F.array(words("text"))).alias("w")).where(F.size("w") >= n)
+    w = F.col("w")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
+    per = rows.select("id", "section", F.explode(runs).alias("phrase"))
+    often = per.select(F.xxhash64("section", "phrase").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("h")
+    kept = per.withColumn("h", F.xxhash64("section", "phrase")).join(often, "h", "left_semi")
+    return kept.groupBy("section", "phrase").agg(F.count_distinct("id").alias("reports")).where(F.col("reports") >= least)
 
 
 def wilson_lower(hits: Column, n: Column, z: float = 1.645) -> Column:
@@ -89,13 +95,6 @@ def masks(docs: DataFrame, kind: str = "email") -> DataFrame:
     return rows.join(F.broadcast(starts), "range").select("value", F.concat(F.lit(f"[{kind}_"), number, F.lit("]")).alias("tag"))
 
 
-def numbers_not_in(turns: DataFrame) -> DataFrame:
-    """turns: conv_id, role, text. conv_id, numbers: those that the assistant wrote and the user didn't, sorted."""
-    found = turns.select("conv_id", "role", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[0-9]+"), F.lit(0))).alias("number")).distinct()
-    own, theirs = found.where("role = 'assistant'").drop("role"), found.where("role = 'user'").drop("role")
-    return own.join(theirs, ["conv_id", "number"], "left_anti").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("number")), ",").alias("numbers"))
-
-
 def name_matches(asked: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
     """Both: case_id, name. case_id, name, other, other_name: known names of other cases that share a word of `least` letters or more.
 

@@ -135,7 +135,7 @@ def filled_messages(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), privacy.filled(F.lit("Dear {name}, see you {when} at {place}."), values).alias("text"))
 
 
-@query("""WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS "at", CASE l_returnflag WHEN 'A' THEN 'B' WHEN 'R' THEN 'I' ELSE 'O' END AS label, max(l_quantity) AS score FROM lineitem GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY label) = 1),
+@query("""WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS "at", CASE l_returnflag WHEN 'A' THEN 'B' WHEN 'R' THEN 'I' ELSE 'O' END AS label, l_quantity AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY label, score DESC) = 1),
 s AS (SELECT *, CASE WHEN label = 'B' OR (label = 'I' AND (coalesce(lag(label) OVER w, 'O') = 'O' OR "at" <> lag("at") OVER w + 1)) THEN 1 ELSE 0 END AS starts FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY "at")), r AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS run FROM s)
 SELECT doc_id, min("at") AS first, max("at") AS last, round(avg(score), 4) AS score FROM r WHERE label <> 'O' GROUP BY doc_id, run""")
 def merged_labels(spark, d):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import ledger, records, schedule, scores, style, text
+from quillspark.operators import checks, ledger, records, schedule, scores, style, text
 from quillspark.sources import csv
 from quillspark.sources import records as source
 from quillspark.sources.records import charges, payments, table, visits
@@ -215,9 +215,9 @@ def score_bands(spark, d):
     return _sheets(spark, d).groupBy(scores.band_label(F.col("value")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{SHEETS}, v AS (SELECT DISTINCT value, (value - 100) / 15 AS z FROM sheets), t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM v),
-q AS (SELECT value, z, exp(-z * z / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS q FROM t)
-SELECT value, round(CASE WHEN z >= 0 THEN 1 - q ELSE q END * 100, 1) AS percentile FROM q""")
+@query(f"""{SHEETS}, v AS (SELECT DISTINCT value, (value - 100) / 15 AS z FROM sheets), t AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * (abs(z) / sqrt(2))) AS t FROM v),
+q AS (SELECT value, z, 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) AS e FROM t), p AS (SELECT value, CASE WHEN z >= 0 THEN 50 * (1 + e) ELSE 50 * (1 - e) END AS p FROM q)
+SELECT value, CASE WHEN p < 0.1 THEN '<0.1' WHEN p > 99.9 THEN '>99.9' WHEN p < 1 OR p > 99 THEN CASE WHEN round(p, 1) = round(round(p, 1)) THEN CAST(CAST(round(p, 1) AS INTEGER) AS VARCHAR) ELSE CAST(CAST(round(p, 1) AS DECIMAL(9, 1)) AS VARCHAR) END ELSE CAST(CAST(round(p) AS INTEGER) AS VARCHAR) END AS percentile FROM p""")
 def score_percentile(spark, d):
     return _sheets(spark, d).select("value").distinct().select("value", scores.percentile(F.col("value")).alias("percentile"))
 
@@ -290,10 +290,13 @@ def mask_book(spark, d):
     return text.masks(table(spark, d, "documents"))
 
 
-@query("""WITH f AS (SELECT DISTINCT conv_id, role, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS number FROM conversations)
-SELECT conv_id, string_agg(number, ',' ORDER BY number) AS numbers FROM f WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM f u WHERE u.role = 'user' AND u.conv_id = f.conv_id AND u.number = f.number) GROUP BY conv_id""")
+@query(r"""WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') || ' ratio 5:4, mean 98.6 and ' || doc_id ELSE text END AS text FROM documents), o AS (SELECT id, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.:][0-9]+)*') AS l FROM d),
+e AS (SELECT id, x, min(i) AS at_ FROM (SELECT id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM o) GROUP BY 1, 2), told AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.:][0-9]+)*')) AS x FROM documents WHERE doc_id % 4 = 0)
+SELECT id, string_agg(x, ',' ORDER BY at_) AS numbers FROM e WHERE NOT EXISTS (SELECT 1 FROM told t WHERE t.id = e.id AND t.x = e.x) GROUP BY id""")
 def numbers_not_in_sources(spark, d):
-    return text.numbers_not_in(table(spark, d, "conversations"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    added = F.concat(F.coalesce("text", F.lit("")), F.lit(" ratio 5:4, mean 98.6 and "), F.col("id").cast("string"))
+    return checks.numbers_not_in(docs.withColumn("text", F.when(F.col("id") % 2 == 0, added).otherwise(F.col("text"))), docs.where("id % 4 = 0"))
 
 
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS line FROM conversations""")
