@@ -157,3 +157,12 @@ def occupancy(visits: DataFrame, day_minutes: int) -> DataFrame:
 def with_rollup(live: DataFrame, erased: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Add an anonymous roll-up of deleted rows to live sums."""
     return live.select(*keys, *sums).unionByName(erased.select(*keys, *sums)).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def tally(visits: DataFrame, charges: DataFrame, payments: DataFrame) -> DataFrame:
+    """month, what, part, n of records that are about to be erased: held by kind, cancelled and missed, charged, received by method."""
+    month, none = month_of().alias("month"), F.lit("")
+    counted = visits.where("status in ('held', 'cancelled', 'no_show')").groupBy(month, F.col("status").alias("what"), F.when(F.col("status") == "held", F.col("kind")).otherwise(none).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    owed = charged_rows(visits, charges).groupBy(month, F.lit("charged").alias("what"), none.alias("part")).agg(F.sum("amount").alias("n"))
+    came = payments.where(~F.col("voided")).groupBy(month, F.lit("received").alias("what"), F.coalesce("method", F.lit("unknown")).alias("part")).agg(F.sum("amount").alias("n"))
+    return counted.unionByName(owed).unionByName(came).where("month is not null")

@@ -72,7 +72,67 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     return now.select("id", F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
 
 
+def default_until(changed: Column, birth: Column, years: int, age: int) -> Column:
+    """Some years after the last change, and not before an age where the birth date is known."""
+    return F.greatest(F.add_months(changed, 12 * years), F.coalesce(F.add_months(birth, 12 * age), F.lit("1900-01-01").cast("date")))
+
+
+def retention_due(rows: DataFrame, changed: str, today: str, years: int, age: int) -> DataFrame:
+    """rows: id, birth_date and a date of change. id, until of those that needn't be kept any longer."""
+    until = default_until(F.col(changed), F.col("birth_date"), years, age)
+    return rows.select("id", until.alias("until")).where(F.col("until") <= F.lit(today).cast("date"))
+
+
 def usage_cost(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """rows: month, model, tokens; prices: model, price (for a million). month, model, tokens, cost (rounded up; null without a price)."""
     sums = rows.groupBy("month", "model").agg(F.sum("tokens").alias("tokens"))
-    return sums.join(F.broadcast(prices), "model", "left").select("month", "model", "tokens", F.ceil(F.col("tokens") * F.col("price") / 1_000_000).cast("long").alias("cost"))
+    return sums.join(prices, "model", "left").select("month", "model", "tokens", F.ceil(F.col("tokens") * F.col("price") / 1_000_000).cast("long").alias("cost"))
+
+
+def token_cost(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    """rows: month, model, input, output, cache_write, cache_read; prices: model, p_in, p_out, p_read (for a million). month, model, cost, priced.
+
+    Writing to the cache costs a quarter more than input; the cost is rounded up. Models without a price have none and are told so.
+    """
+    names = ("input", "output", "cache_write", "cache_read")
+    sums = rows.groupBy("month", "model").agg(*(F.sum(c).alias(c) for c in names)).join(prices, "model", "left")
+    parts = F.col("input") * F.col("p_in") * 4 + F.col("output") * F.col("p_out") * 4 + F.col("cache_write") * F.col("p_in") * 5 + F.col("cache_read") * F.col("p_read") * 4
+    return sums.select("month", "model", F.ceil(parts / 4_000_000).cast("long").alias("cost"), F.col("p_in").isNotNull().alias("priced"))
+
+
+def over_cap(costs: DataFrame, cap: int) -> DataFrame:
+    """costs: month, cost. month, cost, over of each month's sum."""
+    return costs.groupBy("month").agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("cost")).withColumn("over", F.col("cost") >= cap)
+
+
+def any_older(rows: DataFrame, at: str, key: str, before: tuple) -> DataFrame:
+    """One row: whether anything is older than the cursor. Stops at the first row found."""
+    return keyset_page(rows, at, key, before, 1).agg((F.count(F.lit(1)) > 0).alias("older"))
+
+
+def found_page(rows: DataFrame, needle: str, text: str, at: str, key: str, before: tuple, size: int) -> DataFrame:
+    """A page of the rows that hold the needle, newest first."""
+    return keyset_page(rows.where(F.contains(F.lower(text), F.lit(needle.lower()))), at, key, before, size)
+
+
+def with_labels(page: DataFrame, labels: DataFrame, key: str, default: str = "deleted") -> DataFrame:
+    """labels: key, label. A log's page with each row's label; rows whose case is gone get the default, rows without a case none."""
+    return page.join(labels.select(key, "label"), key, "left").withColumn("label", F.when(F.col(key).isNotNull(), F.coalesce("label", F.lit(default))))
+
+
+def summaries(cases: DataFrame, people: DataFrame, sections: DataFrame, trashed: bool = False) -> DataFrame:
+    """cases: case_id, trashed; people: case_id, rowid, value; sections: case_id, section, approved. case_id, first_name, sections (sorted, of approved ones), open (the first that isn't)."""
+    first = people.groupBy("case_id").agg(F.min(F.struct("rowid", "value")).alias("x")).select("case_id", F.col("x.value").alias("first_name"))
+    done = sections.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("approved"), F.col("section")))), ",").alias("sections"), F.min(F.when(~F.col("approved"), F.col("section"))).alias("open"))
+    rows = cases.where(F.col("trashed") == trashed).select("case_id").join(first, "case_id", "left").join(done, "case_id", "left")
+    return rows.withColumn("sections", F.coalesce("sections", F.lit("")))
+
+
+def version_chain(drafts: DataFrame) -> DataFrame:
+    """drafts: id, replaces. id, version, at: each draft with those it replaced, directly or not; at counts back from 0. Follows any length."""
+    from quillspark.operators.stored_rows import closure
+
+    up = closure(drafts.select("id", F.col("replaces").alias("parent")))
+    order = Window.partitionBy("id").orderBy(F.desc("depth"), "version")
+    depth = up.groupBy(F.col("id").alias("version")).agg(F.count(F.lit(1)).alias("depth"))
+    return up.withColumnRenamed("at", "version").join(depth, "version").withColumn("at", F.row_number().over(order) - 1).select("id", "version", "at")

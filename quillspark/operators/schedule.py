@@ -144,3 +144,17 @@ def steps(visits: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     rows = per.withColumn("lines", lines).withColumn("first", F.array_min(F.transform(F.filter("lines", lambda x: x["state"] == "todo"), lambda x: x["n"])))
     out = rows.select("patient_id", "first", F.explode("lines").alias("x"))
     return out.select("patient_id", "x.step", "x.date", F.when(F.col("x.n") == F.col("first"), "now").otherwise(F.col("x.state")).alias("state"))
+
+
+def record_order(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows: id, setting, date. place: by setting, the newest first, undated ones last."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("setting", F.col("date").desc_nulls_last(), "id")))
+
+
+def feeds(rows: DataFrame, prior_section: int) -> DataFrame:
+    """rows: material, section, kind, removed, added, suggested, table (texts or null). feed: what of a material reaches a section.
+
+    Removed beats added, added a suggestion, a suggestion the table. A prior report feeds one section only, and there in any case.
+    """
+    own = F.when(F.col("removed"), None).otherwise(F.coalesce("added", F.when(F.col("kind") != "prior", F.col("suggested")), F.when((F.col("kind") != "prior") | (F.col("section") == prior_section), F.col("table"))))
+    return rows.withColumn("feed", own)

@@ -21,19 +21,32 @@ def clean_line(text: str) -> Column:
     return F.trim(F.regexp_replace(text, "[ \t\n\r]+", " "))
 
 
+#: Rows of a word and an id that are broadcast at most; more are joined by shuffling.
+BROADCAST_ROWS = 500_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """Narrow rows are broadcast if there are BROADCAST_ROWS of them at most."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def bm25(passages: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """passages and queries: id, text. query_id, doc_id, score of pairs that share a word.
 
-    Query words are few and are joined first: only their postings are counted by document and word.
+    Query words are few and are joined first: only their postings move, once, by document. Counts by word and sums by query
+    are then made where a document's postings are.
     """
     asked = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(words("text"))).alias("word"))
-    docs = passages.select(F.col("id").alias("doc_id"), words("text").alias("words")).withColumn("length", F.size("words"))
-    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
-    counts = docs.select("doc_id", "length", F.explode("words").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("doc_id", "length", "word").agg(F.count(F.lit(1)).alias("tf"))
+    sent = small(asked)
+    docs = passages.select(F.col("id").alias("doc_id"), words("text").alias("words")).withColumn("length", F.greatest(F.size("words"), F.lit(1)))
+    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.greatest(F.avg(F.size("words")), F.lit(1.0)).alias("mean"))
+    postings = docs.select("doc_id", "length", F.explode("words").alias("word")).join(small(asked.select("word").distinct()), "word", "left_semi")
+    counts = postings.repartition("doc_id").groupBy("doc_id", "length", "word").agg(F.count(F.lit(1)).alias("tf"))
     df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = counts.join(df, "word").crossJoin(F.broadcast(size)).select("word", "doc_id", weight.alias("w"))
-    return scored.join(asked, "word").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    # df and size have a row for each query word and one row
+    scored = counts.join(F.broadcast(df) if sent is not asked else df, "word").crossJoin(F.broadcast(size)).select("word", "doc_id", weight.alias("w"))
+    return scored.join(sent, "word").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
 
 
 def top_of(rows: DataFrame, group: str, score: str, key: str, k: int) -> DataFrame:
@@ -58,6 +71,12 @@ def phrases(reports: DataFrame, n: int, least: int) -> DataFrame:
     return kept.groupBy("section", "phrase").agg(F.count_distinct("id").alias("reports")).where(F.col("reports") >= least)
 
 
+def closest(scored: DataFrame, least_words: int = 8, boost: float = 1.5) -> DataFrame:
+    """scored: query_id, doc_id, score, n_words, same_section. query_id, doc_id: the best of enough words, those of the query's section counted 1.5 times."""
+    rows = scored.where((F.col("n_words") >= least_words) & (F.col("score") > 0)).withColumn("score", F.col("score") * F.when(F.col("same_section"), boost).otherwise(1.0))
+    return top_of(rows, "query_id", "score", "doc_id", 1).select("query_id", "doc_id")
+
+
 def wilson_lower(hits: Column, n: Column, z: float = 1.645) -> Column:
     """Lower bound of the score interval."""
     p = hits / n

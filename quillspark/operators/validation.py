@@ -111,3 +111,16 @@ def erasable(patients: DataFrame, visits: DataFrame, charges: DataFrame, payment
     day = F.lit(today).cast("date")
     until = F.greatest(F.add_months("last", 12 * keep_years), F.coalesce(F.add_months("birth", 12 * keep_until_age), F.lit(BIRTH_FIRST).cast("date")))
     return per.select("id", F.when(F.col("used") == 0, day).otherwise(until).alias("until"), ((F.col("used") == 0) | (until <= day)).alias("may"))
+
+
+def international_phone(raw: Column, country: str = "1", national: int = 10) -> Column:
+    """Digits alone with the country's code; null for what is no such number."""
+    digits = F.regexp_replace(raw, "[^0-9]", "")
+    whole = (F.length(digits) == national + len(country)) & digits.startswith(country)
+    return F.when(F.length(digits) == national, F.concat(F.lit(f"+{country}"), digits)).when(whole, F.concat(F.lit("+"), digits))
+
+
+def plain_email(raw: Column) -> Column:
+    """One address in lower case without outer blanks; null for anything else."""
+    address = F.lower(F.trim(raw))
+    return F.when(address.rlike(r"^[a-z0-9._%+\-]+@[a-z0-9\-]+(\.[a-z0-9\-]+)+$"), address)

@@ -129,7 +129,7 @@ def address_fields(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(privacy.address_fields(text)).alias("part"))
 
 
-@query("""SELECT c_custkey AS id, 'Dear ' || c_name || ' {name}, see you {when} at ' || c_mktsegment || '.' AS text FROM customer""".replace("{when}", ""))
+@query("SELECT c_custkey AS id, 'Dear ' || c_name || ' {name}, see you  at ' || c_mktsegment || '.' AS text FROM customer")
 def filled_messages(spark, d):
     values = F.create_map(F.lit("name"), F.concat("c_name", F.lit(" {name}")), F.lit("place"), F.col("c_mktsegment"))
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), privacy.filled(F.lit("Dear {name}, see you {when} at {place}."), values).alias("text"))
@@ -147,7 +147,7 @@ def merged_labels(spark, d):
 SPANS = """gold AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber * 40 AS start, l_linenumber * 40 + CAST(l_quantity AS INTEGER) AS stop, l_returnflag AS category FROM lineitem), found AS (SELECT l_orderkey AS doc_id, l_linenumber * 40 + CAST(l_partkey % 60 AS INTEGER) AS start, l_linenumber * 40 + CAST(l_partkey % 60 AS INTEGER) + 5 AS stop FROM lineitem WHERE l_suppkey % 2 = 0)"""
 
 
-@query(f"""WITH {SPANS} SELECT category, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM found f WHERE f.doc_id = g.doc_id AND g.start < f.stop AND f.start < g.stop)) AS hit FROM gold g GROUP BY 1""".replace("count(*) FILTER (EXISTS (SELECT 1 FROM found f WHERE f.doc_id = g.doc_id AND g.start < f.stop AND f.start < g.stop)) AS hit FROM gold g GROUP BY 1", "CAST(sum(CAST(h AS INTEGER)) AS BIGINT) AS hit FROM (SELECT g.*, EXISTS (SELECT 1 FROM found f WHERE f.doc_id = g.doc_id AND g.start < f.stop AND f.start < g.stop) AS h FROM gold g) GROUP BY 1"))
+@query(f"""WITH {SPANS} SELECT category, count(*) AS n, CAST(sum(CAST(h AS INTEGER)) AS BIGINT) AS hit FROM (SELECT g.*, EXISTS (SELECT 1 FROM found f WHERE f.doc_id = g.doc_id AND g.start < f.stop AND f.start < g.stop) AS h FROM gold g) GROUP BY 1""")
 def span_recall(spark, d):
     line, at = table(spark, d, "lineitem"), F.col("l_linenumber") * 40
     gold = line.select(F.col("l_orderkey").alias("doc_id"), at.alias("start"), (at + F.col("l_quantity").cast("int")).alias("end"), F.col("l_returnflag").alias("category"))

@@ -304,17 +304,19 @@ def clean_lines(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.clean_line("text").alias("line"))
 
 
-@query(""", live AS (SELECT strftime(date, '%Y-%m') AS month, kind, count(*) AS n FROM visits WHERE status = 'held' AND patient_id % 10 <> 0 GROUP BY ALL), erased AS (SELECT strftime(date, '%Y-%m') AS month, kind, count(*) AS n FROM visits WHERE status = 'held' AND patient_id % 10 = 0 GROUP BY ALL)
-SELECT month, kind, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM live UNION ALL SELECT * FROM erased) GROUP BY ALL""")
+@query(f"""{CHARGED}, m AS (SELECT strftime(date, '%Y-%m') AS month, 'held' AS what, kind AS part, count(*) AS n FROM visits WHERE status = 'held' AND patient_id % 10 = 0 GROUP BY ALL UNION ALL SELECT strftime(date, '%Y-%m'), 'cancelled', '', count(*) FROM visits WHERE status = 'cancelled' AND patient_id % 10 = 0 GROUP BY ALL
+UNION ALL SELECT strftime(date, '%Y-%m'), 'charged', '', CAST(sum(amount) AS BIGINT) FROM charged WHERE patient_id % 10 = 0 GROUP BY ALL UNION ALL SELECT strftime(date, '%Y-%m'), 'received', method, CAST(sum(amount) AS BIGINT) FROM payments WHERE NOT voided AND patient_id % 10 = 0 GROUP BY ALL) SELECT * FROM m WHERE month IS NOT NULL""")
 def erased_rollup(spark, d):
-    held = visits(spark, d).where("status = 'held'").select(ledger.month_of().alias("month"), "kind", (F.col("patient_id") % 10 == 0).alias("erased")).groupBy("month", "kind", "erased").agg(F.count(F.lit(1)).alias("n"))
-    return ledger.with_rollup(held.where("not erased"), held.where("erased"), ["month", "kind"], ["n"])
+    """What stays of patients that are erased: by month, counts by kind, charges, and receipts by method. Folded in two goes."""
+    def of(k: str):
+        return tuple(x.where(k) for x in _three(spark, d))
 
+    return ledger.with_rollup(ledger.tally(*of("patient_id % 20 = 0")), ledger.tally(*of("patient_id % 20 = 10")), ["month", "what", "part"], ["n"])
 
-@query(f""", l AS (SELECT patient_id, max(date) AS last FROM visits GROUP BY 1) SELECT patient_id, CAST(last + INTERVAL 1 YEAR AS DATE) AS until FROM l WHERE last + INTERVAL 1 YEAR <= DATE '{TODAY}'""")
+
+@query(f"""SELECT id, until FROM (SELECT id, CAST(greatest(created_on + INTERVAL 3 YEAR, coalesce(birth_date + INTERVAL 12 YEAR, DATE '1900-01-01')) AS DATE) AS until FROM patients) WHERE until <= DATE '{TODAY}'""")
 def retention_due(spark, d):
-    last = visits(spark, d).groupBy("patient_id").agg(F.max("date").alias("last"))
-    return last.select("patient_id", F.add_months("last", 12).alias("until")).where(F.col("until") <= F.lit(TODAY).cast("date"))
+    return records.retention_due(source.patients(spark, d), "created_on", TODAY, 3, 12)
 
 
 DAY_S = 86_400
@@ -328,7 +330,12 @@ def request_limit(spark, d):
     return folds.limited(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").alias("at")), 2, DAY_S)
 
 
-@query()
+@query(f"""WITH e AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) AS t, CASE WHEN event_type = 'error' THEN 'busy' WHEN event_type <> 'signup' THEN 'up' ELSE 'none' END AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+l AS (SELECT key, list({{'id': id, 't': t, 'o': o}} ORDER BY i) AS l FROM e GROUP BY 1),
+f AS (SELECT key, list_reduce(list_prepend({{'id': -1::BIGINT, 't': 0::BIGINT, 'o': '', 'busy': 0, 'until': NULL::BIGINT, 'out': []::STRUCT(id BIGINT, ok BOOLEAN, w BIGINT)[]}}, list_transform(l, lambda x: {{'id': x.id, 't': x.t, 'o': x.o, 'busy': 0, 'until': NULL::BIGINT, 'out': []::STRUCT(id BIGINT, ok BOOLEAN, w BIGINT)[]}})),
+  lambda a, x: CASE WHEN a.until IS NOT NULL AND x.t < a.until THEN {{'id': x.id, 't': x.t, 'o': x.o, 'busy': a.busy, 'until': a.until, 'out': list_append(a.out, {{'id': x.id, 'ok': false, 'w': a.until - x.t}})}}
+    ELSE {{'id': x.id, 't': x.t, 'o': x.o, 'busy': CASE x.o WHEN 'up' THEN 0 WHEN 'busy' THEN a.busy + 1 ELSE a.busy END, 'until': CASE WHEN x.o = 'up' THEN NULL WHEN x.o = 'busy' AND (a.until IS NOT NULL OR a.busy + 1 >= 2) THEN x.t + {DAY_S}000000 ELSE a.until END, 'out': list_append(a.out, {{'id': x.id, 'ok': true, 'w': NULL::BIGINT}})}} END).out AS out FROM l)
+SELECT r.id AS id, key, r.ok AS accepted, r.w AS wait_us FROM (SELECT key, unnest(out) AS r FROM f)""")
 def circuit_breaker(spark, d):
     outcome = F.when(F.col("event_type") == "error", "busy").when(F.col("event_type") != "signup", "up")
     return folds.breaker(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").alias("at"), outcome.alias("outcome")), 2, DAY_S)

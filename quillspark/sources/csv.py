@@ -16,9 +16,13 @@ def csv_cell(text: Column) -> Column:
     return F.when(guarded.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(guarded, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(guarded)
 
 
+def line_of(columns: list[str]) -> Column:
+    return F.concat_ws(",", *(csv_cell(F.col(c)) for c in columns))
+
+
 def lines(rows: DataFrame) -> DataFrame:
     """line: the cells of each row, in the columns' order."""
-    return rows.select(F.concat_ws(",", *(csv_cell(rows[c]) for c in rows.columns)).alias("line"))
+    return rows.select(line_of(rows.columns).alias("line"))
 
 
 def write(rows: DataFrame, path: str) -> None:
