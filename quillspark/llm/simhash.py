@@ -4,20 +4,20 @@ Fingerprint: words are runs of what is not ASCII white space, A-Z in lower case;
 included (fewer words: the whole sequence as one shingle), each hashed by XXH64 with seed 42. A bit is set if it is set in
 over half of the hashes. Null and empty texts have no shingle: fingerprint zero, linked as any other.
 
-Tree: level g measures the Hamming distance to the vantage point on bit group g alone. A level's children are the rings of
-one distance each. Groups share no bit, so the distances between two fingerprints' rings, summed over levels, never exceed
-their Hamming distance (the triangle inequality in each group): a query with radius r visits just the cells whose rings
-lie within r in sum. The first levels deal the fingerprints out to shards; a query goes to its own shard and to those that
-its ball overlaps, with what is left of its radius. Deeper levels are searched within the shard.
+Tree: every node has a vantage point and a radius that splits its fingerprints by their Hamming distance to it, at the median
+of a bounded sample. The upper levels, learned from the sample, are sent to all tasks and deal the fingerprints out to shards:
+each goes home by its distances, and as a query to every leaf whose side of each split its ball of the link radius reaches
+(the triangle inequality leaves out the other branches). Within a shard the tree goes on over the shard's own fingerprints, by
+exact medians, down to leaves that are compared in full.
 
 Only distinct fingerprints are searched, and a shard returns a spanning forest of its links rather than all pairs: no
-link between groups is lost, and copies are never paired. Shards over `SHARD_MOST` are dealt out again by deeper levels.
+link between groups is lost, and copies are never paired. A shard's search streams through the tree, so its memory is
+some multiples of 8 bytes a fingerprint. A pair is met at the home of its smaller fingerprint's leaf or of its larger one's.
 Rows with a null doc_id keep their fingerprint; they never name a component unless all of its rows have none.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -27,19 +27,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, keyed, map_texts, small, stored, table, texts_of
+from quillspark.llm.common import bounded_sample, components, keyed, map_texts, small, stored, table, texts_of
 
 SEED = 42
 WIDTH = 3
 RADIUS = 2
-#: Bits of a level's group, and levels in all.
-GROUP_BITS = 4
-LEVELS = 64 // GROUP_BITS
-#: Fingerprints that a shard is meant to hold; more than SHARD_MOST at home, and the shard is dealt out again.
-SHARD_ROWS, SHARD_MOST = 20_000, 100_000
-DEEPER, LOCAL = 6, 5
-#: Levels that deal out in any case, so that small and large inputs are searched alike.
-LEAST_LEVELS = 4
+#: Fingerprints that a shard is meant to hold, sampled ones that a leaf of the upper tree is learned from, and leaves at most.
+SHARD_ROWS, LEAF_SAMPLE, MOST_LEAVES = 20_000, 32, 4_096
+#: Upper levels in any case, so that small and large inputs are searched alike.
+LEAST_LEVELS = 2
+#: Fingerprints of a leaf within a shard, which are compared in full.
+LOCAL_LEAF = 256
 #: Pairs that are compared at once.
 BLOCK_PAIRS = 1 << 21
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -70,73 +68,87 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return map_texts(texts_of(docs), start, "doc_id long, fp long")
 
 
-def rings(fps: np.ndarray, vantage: int, first: int, last: int) -> np.ndarray:
-    """Distances to the vantage point at levels first to last - 1, a column each."""
-    apart = fps.view(np.uint64) ^ np.uint64(vantage & (1 << 64) - 1)
-    mask = np.uint64((1 << GROUP_BITS) - 1)
-    return np.stack([np.bitwise_count(apart >> np.uint64(GROUP_BITS * g) & mask) for g in range(first, last)], axis=1).astype(np.int8) if last > first else np.zeros((len(fps), 0), np.int8)
-
-
-def steps(levels: int, radius: int) -> list[tuple[tuple[int, ...], int]]:
-    """All moves between cells of that many levels whose sum of ring steps is within the radius, with what is left of it."""
-    out = [((0,) * levels, radius)]
-    for used in range(1, radius + 1):
-        seen = set()
-        for at in itertools.combinations_with_replacement(range(levels), used):
-            for signs in itertools.product((1, -1), repeat=used):
-                move = [0] * levels
-                for i, s in zip(at, signs, strict=True):
-                    move[i] += s
-                if sum(map(abs, move)) == used:
-                    seen.add(tuple(move))
-        out += [(m, radius - used) for m in sorted(seen)]
-    return out
-
-
-def numbers(cells: np.ndarray) -> np.ndarray:
-    return cells.astype(np.int64) @ ((GROUP_BITS + 1) ** np.arange(cells.shape[1], dtype=np.int64)[::-1])
-
-
-def moved(cells: np.ndarray, move: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows whose cell has a neighbour there, and the neighbours' numbers."""
-    there = cells + np.array(move, np.int8)
-    rows = np.flatnonzero(((there >= 0) & (there <= GROUP_BITS)).all(axis=1))
-    return rows, numbers(there[rows])
-
-
-def search(home: np.ndarray, queries: np.ndarray, spare: np.ndarray, vantage: int, first: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (query, home) within the radius, by the tree's levels from `first`; spare: each query's radius left."""
-    last = min(LEVELS, first + LOCAL)
-    cells = numbers(rings(home, vantage, first, last))
-    order = np.argsort(cells, kind="stable")
-    cells, by = cells[order], home[order].view(np.uint64)
-    for left in np.unique(spare):
-        some = np.flatnonzero(spare == left)
-        there = rings(queries[some], vantage, first, last)
-        for move, _ in steps(last - first, int(left)):
-            rows, cell = moved(there, move)
-            lo, hi = np.searchsorted(cells, cell, "left"), np.searchsorted(cells, cell, "right")
-            full = np.flatnonzero(hi > lo)
-            rows, lo, n = rows[full], lo[full], (hi - lo)[full]
-            ends = np.cumsum(n)
-            at = 0
-            while at < len(n):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_PAIRS, "right")))
-                m = n[at:to]
-                base = np.cumsum(m) - m
-                h = np.arange(int(m.sum())) - np.repeat(base - lo[at:to], m)
-                q = np.repeat(some[rows[at:to]], m)
-                near = np.bitwise_count(queries[q].view(np.uint64) ^ by[h]) <= radius
-                yield q[near], order[h[near]]
-                at = to
-
-
-def forest(home: np.ndarray, queries: np.ndarray, spare: np.ndarray, vantage: int, first: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, root) that join the same fingerprints as all pairs within the radius do."""
+def apart(fps: np.ndarray, point: np.ndarray | int) -> np.ndarray:
+    """Hamming distances of fingerprints to one."""
+    return np.bitwise_count(fps.view(np.uint64) ^ np.int64(point).view(np.uint64)).astype(np.int64)
+
+
+def split(fps: np.ndarray) -> tuple[int, int] | None:
+    """A vantage point of these fingerprints and the radius that halves them; none where no radius parts them.
+
+    The point is that of a few candidates whose distances spread most.
+    """
+    some = fps[:: max(1, len(fps) // 8)][:8]
+    point = max(some, key=lambda p: float(apart(fps, p).std()))
+    d = np.sort(apart(fps, point))
+    radius = int(d[(len(d) - 1) // 2])
+    if radius == d[-1]:
+        lower = d[d < radius]
+        if not len(lower):
+            return None
+        radius = int(lower[-1])
+    return int(point), radius
+
+
+def plan(sample: np.ndarray, levels: int) -> list[tuple[int, int] | None]:
+    """The upper tree as a heap: children of node i are 2i + 1 (within the radius) and 2i + 2. None: a leaf."""
+    nodes: list[tuple[int, int] | None] = [None] * ((1 << levels + 1) - 1)
+    own = {0: sample}
+    for i in range((1 << levels) - 1):
+        here = own.pop(i, None)
+        if here is None or len(here) < 2 or (node := split(here)) is None:
+            continue
+        nodes[i] = node
+        near = apart(here, node[0]) <= node[1]
+        own[2 * i + 1], own[2 * i + 2] = here[near], here[~near]
+    return nodes
+
+
+def leaves_of(fps: np.ndarray, nodes: list[tuple[int, int] | None], radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """leaf, places of the fingerprints that reach it, and whether they are at home there."""
+    todo = [(0, np.arange(len(fps)), np.ones(len(fps), bool))]
+    while todo:
+        i, at, home = todo.pop()
+        if not len(at):
+            continue
+        if nodes[i] is None:
+            yield i, at, home
+            continue
+        point, cut = nodes[i]
+        d = apart(fps[at], point)
+        inner, outer = d - radius <= cut, d + radius > cut
+        todo.append((2 * i + 1, at[inner], home[inner] & (d[inner] <= cut)))
+        todo.append((2 * i + 2, at[outer], home[outer] & (d[outer] > cut)))
+
+
+def search(home: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (query, home) within the radius. Branches that a query's ball doesn't reach are left out."""
+    todo = [(np.arange(len(home)), np.arange(len(queries)))]
+    while todo:
+        h, q = todo.pop()
+        if not len(h) or not len(q):
+            continue
+        node = split(home[h]) if len(h) > LOCAL_LEAF else None
+        if node is None:
+            step = max(1, BLOCK_PAIRS // len(h))
+            for at in range(0, len(q), step):
+                some = q[at : at + step]
+                near = np.bitwise_count(queries[some].view(np.uint64)[:, None] ^ home[h].view(np.uint64)[None, :]) <= radius
+                x, y = np.nonzero(near)
+                yield some[x], h[y]
+            continue
+        point, cut = node
+        near, d = apart(home[h], point) <= cut, apart(queries[q], point)
+        todo.append((h[near], q[d - radius <= cut]))
+        todo.append((h[~near], q[d + radius > cut]))
+
+
+def forest(home: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fp, root) that join the same fingerprints as all pairs of a query and a home fingerprint within the radius do."""
     values, index = np.unique(np.concatenate([home, queries]), return_inverse=True)
     root = np.arange(len(values))
     h_of, q_of = index[: len(home)], index[len(home) :]
-    for q, h in search(home, queries, spare, vantage, first, radius):
+    for q, h in search(home, queries, radius):
         a, b = q_of[q], h_of[h]
         while True:
             x, y = root[a], root[b]
@@ -151,79 +163,39 @@ def forest(home: np.ndarray, queries: np.ndarray, spare: np.ndarray, vantage: in
     return values[linked], values[root[linked]]
 
 
-def dealt(fps: DataFrame, vantage: int, levels: int, radius: int) -> DataFrame:
-    """fp to cell, fp, spare (null: the fingerprint at home): each at home, and as a query where its ball reaches and not before its own cell."""
-    moves = [(m, s) for m, s in steps(levels, radius) if m >= (0,) * levels]
+def dealt(fps: DataFrame, nodes: list[tuple[int, int] | None], radius: int) -> DataFrame:
+    """fp to leaf, fp, home: each at its own leaf, and as a query at all leaves that its ball reaches."""
+    sent = fps.sparkSession.sparkContext.broadcast(nodes)
 
     def run(batches):
         for batch in batches:
             x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            own = rings(x, vantage, 0, levels)
-            yield pa.RecordBatch.from_pydict({"cell": numbers(own), "fp": x, "spare": pa.nulls(len(x), pa.int32())}, schema=schema)
-            for move, spare in moves:
-                rows, cell = moved(own, move)
-                yield pa.RecordBatch.from_pydict({"cell": cell, "fp": x[rows], "spare": np.full(len(rows), spare, np.int32)}, schema=schema)
+            for leaf, at, home in leaves_of(x, sent.value, radius):
+                yield pa.RecordBatch.from_pydict({"leaf": pa.array(np.full(len(at), leaf), pa.int32()), "fp": pa.array(x[at], pa.int64()), "home": pa.array(home)})
 
-    schema = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("spare", pa.int32())])
-    return fps.mapInArrow(run, "cell long, fp long, spare int")
+    return fps.mapInArrow(run, "leaf int, fp long, home boolean")
 
 
-def dealt_again(rows: DataFrame, vantage: int, levels: int) -> DataFrame:
-    """The rows of shards that are too large, by DEEPER more levels."""
-    last = min(LEVELS, levels + DEEPER)
-    width = (GROUP_BITS + 1) ** (last - levels)
-
-    def run(batches):
-        for batch in batches:
-            cell, x = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
-            spare = batch.column(2).fill_null(-1).to_numpy(zero_copy_only=False)
-            own = rings(x, vantage, levels, last)
-            for left in np.unique(spare):
-                some = np.flatnonzero(spare == left)
-                for move, now in steps(last - levels, max(0, int(left))):
-                    at, sub = moved(own[some], move)
-                    yield pa.RecordBatch.from_pydict({"cell": cell[some[at]] * width + sub, "fp": x[some[at]], "spare": pa.array([None if left < 0 else now] * len(at), pa.int32())}, schema=schema)
-
-    schema = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("spare", pa.int32())])
-    return rows.mapInArrow(run, "cell long, fp long, spare int")
-
-
-def links_in(rows: DataFrame, vantage: int, levels: int, radius: int) -> DataFrame:
-    """cell, fp, spare to links a, b."""
+def links_in(rows: DataFrame, radius: int) -> DataFrame:
+    """leaf, fp, home to links a, b. Every row of a leaf is a query there; those at home are what is searched."""
 
     def run(part: pa.Table) -> pa.Table:
         x = part.column("fp").to_numpy().astype(np.int64)
-        spare = part.column("spare").fill_null(-1).to_numpy()
-        at_home = spare < 0
-        a, b = forest(x[at_home], x[~at_home], spare[~at_home], vantage, levels, radius)
+        home = part.column("home").to_numpy(zero_copy_only=False).astype(bool)
+        a, b = forest(x[home], x, radius)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("cell").applyInArrow(run, "a long, b long")
+    return rows.groupBy("leaf").applyInArrow(run, "a long, b long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (fp) to links a, b whose components are those of all pairs within the radius."""
-    seen = fps.agg(F.count(F.lit(1)), F.min("fp")).first()
-    if not seen[0]:
+    n = fps.count()
+    if not n:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    vantage, levels = seen[1], min(LEVELS - DEEPER - 1, max(LEAST_LEVELS, math.ceil(math.log(max(1, seen[0] / SHARD_ROWS), 3)) + 1))
-    rows = dealt(fps, vantage, levels, radius)
-    cells = fps.mapInArrow(_cells(vantage, levels), "cell long").groupBy("cell").count().where(F.col("count") > SHARD_MOST).select("cell")
-    large = [x[0] for x in cells.limit(10_001).collect()] if seen[0] > SHARD_MOST else []
-    if not large:
-        return links_in(rows, vantage, levels, radius)
-    over = F.broadcast(cells) if len(large) <= 10_000 else cells
-    again = dealt_again(rows.join(over, "cell", "left_semi"), vantage, levels)
-    return links_in(rows.join(over, "cell", "left_anti"), vantage, levels, radius).unionByName(links_in(again, vantage, min(LEVELS, levels + DEEPER), radius))
-
-
-def _cells(vantage: int, levels: int):
-    def run(batches):
-        for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"cell": numbers(rings(x, vantage, 0, levels))})
-
-    return run
+    levels = min(int(math.log2(MOST_LEAVES)), max(LEAST_LEVELS, math.ceil(math.log2(max(1, n / SHARD_ROWS)))))
+    sample = np.array([r["fp"] for r in bounded_sample(fps, "fp", LEAF_SAMPLE << levels).collect()], np.int64)
+    return links_in(dealt(fps, plan(np.sort(sample), levels), radius), radius)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:

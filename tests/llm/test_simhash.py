@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from quillspark.llm import simhash
@@ -36,7 +37,7 @@ def test_fingerprint_is_that_of_the_definition():
         assert simhash.fingerprint(t) & (1 << 64) - 1 == brute_fp(t)
 
 
-def test_components_match_all_pairs(spark):
+def test_components_match_all_pairs(spark, monkeypatch):
     rnd = random.Random(3)
     base = [rnd.getrandbits(64) for _ in range(60)]
     fps = {}
@@ -47,8 +48,9 @@ def test_components_match_all_pairs(spark):
         fps[i] = x
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     want = brute_components(fps)
-    for shard, most in ((simhash.SHARD_ROWS, simhash.SHARD_MOST), (20, 15)):
-        simhash.SHARD_ROWS, simhash.SHARD_MOST = shard, most
+    for shard, leaf in ((simhash.SHARD_ROWS, simhash.LOCAL_LEAF), (20, 8)):
+        monkeypatch.setattr(simhash, "SHARD_ROWS", shard)
+        monkeypatch.setattr(simhash, "LOCAL_LEAF", leaf)
         rows = spark.createDataFrame([(i, signed(v)) for i, v in fps.items()], "doc_id long, fp long")
         links = {(r.a, r.b) for r in simhash.links(rows.select("fp").distinct()).collect()}
         by = {}
@@ -66,7 +68,22 @@ def test_components_match_all_pairs(spark):
             root[max(x, y)] = min(x, y)
         got = {i: find(by[signed(fps[i])]) for i in fps}
         assert got == want
-    simhash.SHARD_ROWS, simhash.SHARD_MOST = 20_000, 100_000
+
+
+def test_tree_leaves_out_branches_and_loses_no_pair():
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(-(1 << 63), (1 << 63) - 1, 400, dtype=np.int64)
+    fps = np.unique(np.concatenate([base, base[:200] ^ np.int64(1 << 7), base[100:300] ^ np.int64(5 << 40), base[:50] ^ np.int64(7 << 11)]))
+    want = {(int(a), int(b)) for a in fps for b in fps if (int(a) ^ int(b)).bit_count() <= 2 or ((int(a) ^ int(b)) & (1 << 64) - 1).bit_count() <= 2}
+    nodes = simhash.plan(fps[::3], 4)
+    got, seen = set(), 0
+    for _, at, home in simhash.leaves_of(fps, nodes, 2):
+        seen += len(at)
+        for q, h in simhash.search(fps[at[home]], fps[at], 2):
+            got |= {(int(fps[at[a]]), int(fps[at[home][b]])) for a, b in zip(q, h, strict=True)}
+    assert got == want and seen < 9 * len(fps)
+    same = np.full(600, 5, np.int64)
+    assert simhash.split(same) is None and sum(len(q) for q, _ in simhash.search(same, same[:3], 2)) == 1800
 
 
 def test_documents(spark):
