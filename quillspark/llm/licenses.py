@@ -3,8 +3,9 @@
 Template tokens are ordered by their document frequency over the whole corpus, the rarest first. A text block holds a
 template if at least `THRESHOLD` of the template's distinct tokens are in it. Such a block has all but few of them, so it has
 one of the template's rarest (prefix filter), as many tokens at least as must match (length filter), and enough tokens
-left after its first match in that order (positional filter); what passes is compared in full. All blocks that meet the
-threshold are found. Blocks are a text's lines and its paragraphs (runs of lines with words, if more than one).
+left after its first match in that order (positional filter); what passes is compared in full. A block is a run of words in a
+paragraph (neighbouring lines with words) of at most twice the template's length, so words that lie scattered over a long text
+are no match. All blocks that meet the threshold are found.
 
 Words: A-Z in lower case, runs of letters a-z, digits and non-ASCII bytes. Null texts have no words. Repeated rows give
 repeated results. Without documents there is no result.
@@ -31,6 +32,16 @@ TEMPLATES = {
     "gpl-3": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     "bsd-3": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",),
     "mpl-2": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "gpl-2": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
+    "lgpl-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "agpl-3": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "zlib": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",),
+    "boost-1": ("Distributed under the Boost Software License, Version 1.0.",),
+    "unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "epl-2": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
+    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
+    "cc-by-nd": ("This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License.",),
     "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
     "cc-by-nc": ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.",),
     "cc-by-sa": ("This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.",),
@@ -44,8 +55,14 @@ def lines_of(text: str | None) -> list[list[bytes]]:
     return [x.split() for x in (text or "").encode("utf-8", "replace").translate(_WORDS).split(b"\n")]
 
 
-def templates(texts: dict[str, tuple[str, ...]] = TEMPLATES) -> list[tuple[str, frozenset[bytes]]]:
-    return [(label, frozenset(w for line in lines_of(t) for w in line)) for label, some in texts.items() for t in some]
+def templates(texts: dict[str, tuple[str, ...]] = TEMPLATES) -> list[tuple[str, frozenset[bytes], int]]:
+    """Label, distinct words and number of words."""
+    out = []
+    for label, some in texts.items():
+        for t in some:
+            words = [w for line in lines_of(t) for w in line]
+            out.append((label, frozenset(words), len(words)))
+    return out
 
 
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
@@ -63,10 +80,11 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
 class Matcher:
     """The join's probe side: blocks against the templates' prefix index."""
 
-    def __init__(self, order: list[bytes], threshold: float, known: list[tuple[str, frozenset[bytes]]]):
+    def __init__(self, order: list[bytes], threshold: float, known: list[tuple[str, frozenset[bytes], int]]):
         self.rank = {w: i for i, w in enumerate(order)}
         self.words = frozenset(order)
-        self.known = [(label, sorted(self.rank[w] for w in words), max(1, math.ceil(threshold * len(words) - 1e-9))) for label, words in known if words]
+        self.known = [(label, sorted(self.rank[w] for w in words), max(1, math.ceil(threshold * len(words) - 1e-9))) for label, words, _ in known if words]
+        self.spans = [2 * n for _, words, n in known if words]
         self.index: dict[int, list[tuple[int, int]]] = {}
         for t, (_, tokens, need) in enumerate(self.known):
             for at, token in enumerate(tokens[: len(tokens) - need + 1]):
@@ -92,22 +110,51 @@ class Matcher:
         return out
 
 
-def blocks_of(lines: list[list[bytes]]):
-    """Sets of words of the lines and of the paragraphs of several lines."""
-    paragraph: list[set[bytes]] = []
+    def densest(self, t: int, at: list[tuple[int, int]]) -> int:
+        """The most distinct tokens of a template within its span; at: place and rank of the paragraph's words that any template has."""
+        wanted, span = set(self.known[t][1]), self.spans[t]
+        inside: dict[int, int] = {}
+        best = first = 0
+        own = [(p, r) for p, r in at if r in wanted]
+        for place, rank in own:
+            inside[rank] = inside.get(rank, 0) + 1
+            while own[first][0] <= place - span:
+                gone = own[first][1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                first += 1
+            best = max(best, len(inside))
+        return best
+
+    def found(self, paragraph: list[bytes]) -> list[tuple[int, float]]:
+        """Templates that a block of the paragraph holds, with the best containment of one."""
+        out = []
+        some = self.matches(set(paragraph))
+        if some:
+            at = [(i, self.rank[w]) for i, w in enumerate(paragraph) if w in self.words]
+            for t, _ in some:
+                _, tokens, need = self.known[t]
+                n = self.densest(t, at)
+                if n >= need:
+                    out.append((t, n / len(tokens)))
+        return out
+
+
+def paragraphs_of(lines: list[list[bytes]]):
+    """Words of neighbouring lines that have any."""
+    paragraph: list[bytes] = []
     for line in [*lines, []]:
         if line:
-            paragraph.append(set(line))
-            yield paragraph[-1]
-        else:
-            if len(paragraph) > 1:
-                yield set().union(*paragraph)
+            paragraph += line
+        elif paragraph:
+            yield paragraph
             paragraph = []
 
 
-def token_order(docs: DataFrame, known: list[tuple[str, frozenset[bytes]]]) -> list[bytes]:
+def token_order(docs: DataFrame, known: list[tuple[str, frozenset[bytes], int]]) -> list[bytes]:
     """The templates' tokens, those in the fewest documents first. Each task sends a count for each token at most."""
-    words = frozenset(w for _, some in known for w in some)
+    words = frozenset(w for _, some, _ in known for w in some)
 
     def run(batches):
         seen: Counter = Counter()
@@ -134,8 +181,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: dict[str, tuple[s
             words = [w for line in lines for w in line]
             base = base_places(words)
             found = {}
-            for block in blocks_of(lines):
-                for t, share in m.matches(block):
+            for paragraph in paragraphs_of(lines):
+                for t, share in m.found(paragraph):
                     label = m.known[t][0]
                     found[label] = max(share, found.get(label, 0.0))
             places = [at for at, _ in base]

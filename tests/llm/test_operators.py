@@ -101,11 +101,22 @@ def test_licenses(spark):
     assert (got[1].n_words, got[1].labels, got[1].first_word, got[1].score) == (0, "", None, 0.0)
     assert got[2].labels == "gpl-3" and got[3].labels == "" and (got[4].n_base, got[4].base_labels) == (2, "cc-by-nc")
     known = licenses.templates()
-    order = sorted({w for _, t in known for w in t})
+    order = sorted({w for _, t, _ in known for w in t})
     m, rnd = licenses.Matcher(order, 0.7, known), random.Random(1)
     for _ in range(300):
         block = set(rnd.sample(order, rnd.randrange(len(order)))) | {b"other"}
-        assert {t for t, _ in m.matches(block)} == {k for k, (_, t) in enumerate(known) if len(t & block) >= math.ceil(0.7 * len(t) - 1e-9)}
+        assert {t for t, _ in m.matches(block)} == {k for k, (_, t, _) in enumerate(known) if len(t & block) >= math.ceil(0.7 * len(t) - 1e-9)}
+    # blocks, by all windows of a paragraph
+    for _ in range(60):
+        words = [rnd.choice([*order[:40], b"other", b"more"]) for _ in range(rnd.randrange(1, 120))]
+        want = {}
+        for k, (_, t, n) in enumerate(known):
+            most = max(len(t & set(words[i : i + 2 * n])) for i in range(len(words)))
+            if most >= math.ceil(0.7 * len(t) - 1e-9):
+                want[k] = most / len(t)
+        assert dict(m.found(words)) == want
+    far = licenses.scan(docs_of(spark, ["under released mit " + "alpha " * 400 + "license the"])).orderBy("doc_id").collect()
+    assert {r.labels for r in far} == {""}
 
 
 def test_the_mask_meets_every_window():
