@@ -3,9 +3,11 @@
 A token's score is the lower confidence bound of its log-odds between toxic and other labelled documents, with Dirichlet
 priors in proportion to each class; tokens without evidence get a fixed drift below zero. One linear pass over a text finds
 all maximal scoring segments. Extreme-value calibration makes them comparable: with lambda the positive root of
-E[exp(lambda * score)] = 1 over the tokens of non-toxic documents, a segment's excess is lambda * S - ln(K * n), its nats
-beyond what the best segment of n such tokens reaches by chance. A segment with positive excess is a significant passage;
-the document's score is a logistic function of the sum of excesses and of the best segment's share, fitted on the labels.
+E[exp(lambda * score)] = 1 over the tokens of non-toxic documents, and K fitted to their best segments by maximum
+likelihood, a segment's excess is lambda * S - ln(K * n), its nats beyond what the best segment of n such tokens reaches by
+chance. A segment with positive excess is a significant passage; the document's score is a logistic function of the sum of
+excesses and of the best one. K and the logistic are fitted on texts that the odds they are scored by have not seen:
+labelled texts are in FOLDS parts by a hash, and each part is scored by odds from the others.
 
 Documents count once for a token, and equal labelled texts once, so copies don't make their words toxic. Null and empty
 texts have no segment and get the score that any text without a segment gets. Without labels of both kinds every score is
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ FIT_ROWS = 20_000
 PRIOR, ERRORS, DRIFT = 1.0, 2.5, -0.4
 #: Tokens with a positive score that the model keeps, the highest first: the bound of what is sent to the tasks.
 MODEL_TOKENS = 50_000
+FOLDS = 4
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -123,6 +127,12 @@ def features(n: int, found: list[tuple[int, int, float]], model: dict) -> tuple[
     return math.log1p(sum(over)), math.log1p(max(over))
 
 
+def chance_of(best: np.ndarray, sizes: np.ndarray, decay_: float) -> float:
+    """K of the extreme-value law P(best > s) = 1 - exp(-K n exp(-lambda s)), by maximum likelihood over non-toxic texts: their number by the sum of n exp(-lambda s)."""
+    total = float((np.maximum(sizes, 1) * np.exp(-decay_ * best)).sum())
+    return min(1.0, max(1e-4, len(best) / total)) if total else 0.1
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -136,53 +146,86 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def _model(counts: dict[str, tuple[int, int, int]], toxic: int, other: int, tokens: int) -> dict:
+    """counts: token to toxic and other documents that have it, and its places in others. Odds and lambda; K and weights follow."""
+    odds = log_odds({w: (t, c) for w, (t, c, _) in counts.items()}, toxic, other)
+    model = {"odds": odds, "share": toxic / max(1, toxic + other), "k": 0.1, "lambda": 1.0, "weights": None}
+    if odds:
+        scores = np.array(list(odds.values()))
+        shares = np.array([counts[w][2] + 0.5 for w in odds]) / (tokens + 0.5 * len(odds) + 1)
+        model["lambda"] = decay(scores, shares)
+    return model
+
+
 def fit(rows: DataFrame) -> dict:
     """rows: doc_id, text, label (1: toxic); bounded by the caller."""
     # equal texts count once
     texts = rows.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
+    texts = texts.select("text", "label", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def words(batches):
         for batch in batches:
-            for at in range(batch.num_rows):
-                found = {}
-                for w in TOKEN.findall((batch.column(0)[at].as_py() or "").lower()):
-                    found[w] = found.get(w, 0) + 1
-                found[""] = sum(found.values())
-                yield pa.RecordBatch.from_pydict({"word": list(found), "label": pa.array([batch.column(1)[at].as_py()] * len(found), pa.int32()), "n": pa.array(list(found.values()), pa.int64())})
-
-    one = lambda k: F.sum((F.col("label") == k).cast("long"))
-    counted = texts.select("text", "label").mapInArrow(words, "word string, label int, n long").groupBy("word").agg(one(1).alias("t"), one(0).alias("c"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n"))
-    counted = stored(counted, "counts")
+            for at in range(0, batch.num_rows, 256):
+                out: dict[tuple[str, int, int], list[int]] = {}
+                for text, label, fold in zip(*(c.slice(at, 256).to_pylist() for c in batch.columns), strict=True):
+                    found = Counter(TOKEN.findall((text or "").lower()))
+                    found[""] = found.total()
+                    for w, n in found.items():
+                        seen = out.setdefault((w, label, fold), [0, 0])
+                        seen[0] += 1
+                        seen[1] += n
+                yield pa.RecordBatch.from_pydict({"word": [w for w, _, _ in out], "label": pa.array([x for _, x, _ in out], pa.int32()), "fold": pa.array([x for _, _, x in out], pa.int32()), "docs": pa.array([x for x, _ in out.values()], pa.int64()), "n": pa.array([x for _, x in out.values()], pa.int64())})
+
+    of = lambda label, fold, what: F.sum(F.when((F.col("label") == label) & (F.col("fold") == fold), F.col(what)).otherwise(0)).alias(f"{'ct'[label]}{fold}" if what == "docs" else f"n{fold}")
+    sums = [x for k in range(FOLDS) for x in (of(1, k, "docs"), of(0, k, "docs"), of(0, k, "n"))]
+    counted = stored(texts.mapInArrow(words, "word string, label int, fold int, docs long, n long").groupBy("word").agg(*sums), "counts")
     whole = counted.where("word = ''").first()
-    toxic, other, tokens = (whole.t, whole.c, whole.n) if whole else (0, 0, 0)
-    some = counted.where("word <> ''").where(_lower_bound(F.col("t"), F.col("c"), toxic, other) > -1e-6) if toxic and other else counted.where("false")
-    got = {r.word: r for r in some.collect()}
-    odds = log_odds({w: (r.t, r.c) for w, r in got.items()}, toxic, other)
-    model = {"odds": odds, "share": toxic / max(1, toxic + other), "k": 0.1, "lambda": 1.0, "weights": None}
-    if not odds or not toxic or not other:
+    if not whole:
+        return _model({}, 0, 0, 0)
+    # of all folds (the model itself), and of all but each
+    parts = [range(FOLDS), *([j for j in range(FOLDS) if j != k] for k in range(FOLDS))]
+    add = lambda r, kind, part: sum(r[f"{kind}{k}"] for k in part)
+    sizes = [tuple(add(whole, kind, part) for kind in "tcn") for part in parts]
+    column = lambda kind, part: sum((F.col(f"{kind}{k}") for k in part), F.lit(0))
+    above = F.lit(False)
+    for part, (toxic, other, _) in zip(parts, sizes, strict=True):
+        if toxic and other:
+            above = above | (_lower_bound(column("t", part), column("c", part), toxic, other) > -1e-6)
+    got = counted.where("word <> ''").where(above).collect()
+    models = [_model({r.word: tuple(add(r, kind, part) for kind in "tcn") for r in got}, *size) for part, size in zip(parts, sizes, strict=True)]
+    model = models[0]
+    if not model["odds"] or not sizes[0][0] or not sizes[0][1]:
         return model
-    scores = np.array(list(odds.values()))
-    shares = np.array([got[w].n + 0.5 for w in odds]) / (tokens + 0.5 * len(odds) + 1)
-    model["lambda"] = decay(scores, shares)
-    xs = scored_rows(texts.select(F.lit(0).cast("long").alias("doc_id"), "text", "label"), model).collect()
-    model["weights"] = logistic(np.array([(r.total, r.best) for r in xs]), np.array([float(r.label) for r in xs])).tolist()
+    xs = scored_rows(texts, models[1:]).collect()
+    label, best, n = (np.array([r[c] for r in xs], float) for c in ("label", "best", "n"))
+    clean = label == 0
+    model["k"] = chance_of(best[clean], n[clean], model["lambda"])
+    # segments are scored with their fold's lambda by now, so excesses differ by K alone
+    total, top = (np.array(x) for x in zip(*(features(int(r.n), [(0, 0, s) for s in r.nats], {"lambda": 1.0, "k": model["k"]}) for r in xs), strict=True))
+    model["weights"] = logistic(np.column_stack([total, top]), label).tolist()
     return model
 
 
-def scored_rows(rows: DataFrame, model: dict) -> DataFrame:
-    """doc_id, text, label to label, total, best."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def scored_rows(texts: DataFrame, models: list[dict]) -> DataFrame:
+    """text, label, fold to label, n (tokens), best (segment's score), nats (of each segment: lambda times score), by the model that has not seen the fold."""
+    sent = texts.sparkSession.sparkContext.broadcast(models)
 
     def start():
-        m = sent.value
-
-        def work(doc_id, text, label):
-            out = [features(len(w), passages(w, m["odds"]), m) for w in (TOKEN.findall((x or "").lower()) for x in text)]
-            return {"label": label, "total": [a for a, _ in out], "best": [b for _, b in out]}
+        known = sent.value
+
+        def work(text, label, fold):
+            out = {"label": label, "n": [], "best": [], "nats": []}
+            for x, k in zip(text, fold, strict=True):
+                tokens = TOKEN.findall((x or "").lower())
+                found = passages(tokens, known[k]["odds"])
+                out["n"].append(len(tokens))
+                out["best"].append(max((s for _, _, s in found), default=0.0))
+                out["nats"].append([known[k]["lambda"] * s for _, _, s in found])
+            return out
 
         return work
 
-    return map_texts(rows.select("doc_id", "text", "label"), start, "label int, total double, best double")
+    return map_texts(texts.select("text", "label", "fold"), start, "label int, n int, best double, nats array<double>")
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

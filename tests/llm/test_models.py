@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+
 from quillspark.llm import langid, toxicity
 
 
@@ -57,3 +59,10 @@ def test_toxic_token_of_one_document_counts_by_its_bound(spark):
     rows = [(i, f"plain words number {i}", 0) for i in range(200)] + [(200, "plain vile words", 1), (201, "awful plain words", 1)]
     model = toxicity.fit(spark.createDataFrame([(i, t + " x" * i, y) for i, t, y in rows], "doc_id long, text string, label int"))
     assert set(model["odds"]) == {"vile", "awful"}
+
+
+def test_chance_of_best_segments_is_found_again():
+    rnd = np.random.default_rng(5)
+    n, k, decay = rnd.integers(20, 400, 4000), 0.03, 0.8
+    best = (np.log(k * n) - np.log(-np.log(rnd.random(4000)))) / decay
+    assert abs(toxicity.chance_of(best, n, decay) / k - 1) < 0.06
