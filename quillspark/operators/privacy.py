@@ -252,3 +252,15 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, longest: int = 3) -> Dat
     end = lambda out: F.when(F.size(out) == 0, F.lit(0)).otherwise(F.get(out, F.size(out) - 1)["at"] - F.get(out, F.size(out) - 1)["less"])
     picked = F.aggregate(order, none, lambda out, x: F.when(x["at"] >= end(out), F.concat(out, F.array(x))).otherwise(out))
     return found.groupBy("doc_id").agg(picked.alias("picked")).select("doc_id", F.explode("picked").alias("x")).select("doc_id", "x.at", (-F.col("x.less")).alias("n"), "x.phrase")
+
+
+def id_label_near(text: Column) -> Column:
+    """Whether nine digits have a label of an ID before or after them, with few characters between."""
+    label = "(?i:ID|passport|identity)"
+    return text.rlike(rf"{A}{label}{Z}[^0-9\n]{{0,12}}[0-9]{{9}}(?![0-9])|(?<![0-9])[0-9]{{9}}[^0-9\n]{{0,12}}{A}{label}{Z}")
+
+
+def bare_years(text: Column) -> Column:
+    """Years that are neither right after a word of age or score nor right before a unit."""
+    kept = rf"(?<!(?i:age|aged|score|scored|iq) ){RULES['year']}(?! ?(?:cm|mm|kg|mg|ml|%|points)(?![A-Za-z]))"
+    return F.regexp_extract_all(text, F.lit(kept), F.lit(0))

@@ -1,5 +1,5 @@
 """All registered queries and their SQL."""
 
-from quillspark.plans import practice, privacy, registry, rows, texts  # noqa: F401
+from quillspark.plans import lists, practice, privacy, registry, rows, texts  # noqa: F401
 
 QUERIES, SQL, FLAGSHIP = registry.QUERIES, registry.SQL, registry.FLAGSHIP

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.ledger import month_of
 
-BOM = "\ufeff"
+#: What Windows-1252 has for the bytes 80 to 9F that it defines, in order.
+DEFINED = [0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F]
+SIGNS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
 
 def decoded(content: Column) -> Column:
@@ -15,7 +17,7 @@ def decoded(content: Column) -> Column:
     plain = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(content, 4, 1 << 30)).otherwise(content)
     zero = F.hex(plain).rlike("^(?:..)*00")
     undefined = F.hex(plain).rlike("^(?:..)*(?:81|8D|8F|90|9D)")
-    return F.when(~zero & F.is_valid_utf8(plain.cast("string")), plain.cast("string")).when(~zero & ~undefined, F.decode(plain, "windows-1252"))
+    return F.when(~zero & F.is_valid_utf8(plain.cast("string")), plain.cast("string")).when(~zero & ~undefined, F.translate(F.decode(plain, "iso-8859-1"), "".join(map(chr, DEFINED)), SIGNS))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
