@@ -301,28 +301,34 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
 def _common(rows: DataFrame, width: int, total: int) -> tuple[int, np.ndarray, np.ndarray]:
     """The most frequent shingles as (part, tail) in one long, sorted, and their step in the order (from 1). total: shingles in all.
 
-    Shingles are dealt out by the upper half of their hash and travel as the lower halves, packed: some megabytes a part, however
-    often one of them stands. That two may share part and tail moves them in the order and changes no result.
+    Shingles are dealt out by the upper half of their hash and travel as the lower halves, packed, each once a slice of texts with its
+    count: some megabytes a part, also where a third of all texts hold one. That two may share part and tail moves them in the
+    order and changes no result.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SHINGLES))
 
     def start():
         def work(texts):
-            spots = np.sort(np.concatenate([_spot(np.unique(shingles(x, width)), parts) for x in texts]))
+            spots, n = np.unique(np.concatenate([_spot(np.unique(shingles(x, width)), parts) for x in texts]), return_counts=True)
             edges = np.searchsorted(spots >> np.uint64(32), np.arange(parts + 1))
             some = np.flatnonzero(np.diff(edges))
-            tails = pa.ListArray.from_arrays(np.append(edges[some], len(spots)).astype(np.int32), spots.astype(np.uint32).view(np.int32))
-            return {"part": some, "tails": tails}
+            ends = np.append(edges[some], len(spots)).astype(np.int32)
+            packed = lambda x: pa.ListArray.from_arrays(ends, x)
+            return {"part": some, "tails": packed(spots.astype(np.uint32).view(np.int32)), "counts": packed(n.astype(np.int32))}
 
         return work
 
     def counted(key: tuple, part: pa.Table) -> pa.Table:
-        tails, n = np.unique(np.concatenate([x.flatten().to_numpy() for x in part.column("tails").chunks]).view(np.uint32), return_counts=True)
+        tails, counts = (np.concatenate([x.flatten().to_numpy() for x in part.column(c).chunks]) for c in ("tails", "counts"))
+        order = np.argsort(tails.view(np.uint32))
+        tails = tails.view(np.uint32)[order]
+        first = np.flatnonzero(np.append(True, tails[1:] != tails[:-1]))
+        tails, n = tails[first], np.add.reduceat(counts[order].astype(np.int64), first)
         often = np.flatnonzero(n > 2)
         step = np.minimum(np.log2(n[often]) * 4, 126).astype(np.int32)
         return pa.table({"spot": (tails[often].astype(np.uint64) | np.uint64(key[0].as_py()) << np.uint64(32)).view(np.int64), "step": step})
 
-    counts = map_texts(rows.select("text"), start, "part int, tails array<int>").groupBy("part").applyInArrow(counted, "spot long, step int")
+    counts = map_texts(rows.select("text"), start, "part int, tails array<int>, counts array<int>").groupBy("part").applyInArrow(counted, "spot long, step int")
     counts = stored(counts, "counts")
     room, least = COMMON_MOST, 127
     for step, k in sorted(((r["step"], r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True):
