@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import keyed, stored, table
+from quillspark.llm.common import keyed, small, stored, table
 
 LENGTH = 100
 #: Bytes of a minimiser; windows must be longer.
@@ -38,6 +38,8 @@ SCAN = 1 << 20
 #: Bytes of a bucket's text, as far as its keys allow.
 BUCKET_BYTES = 1 << 20
 REGIONS_MOST = 20_000
+#: Copies of a region beyond which it isn't dealt out by key.
+HELD_OFTEN = 5_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(SCAN - 1)
 
@@ -309,11 +311,15 @@ def removed(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = rows.sparkSession
     repeated = stored(grams_of(rows, length).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "keys")
     found = stored(occurrences(rows, length).join(repeated, "key"), "regions")
-    firsts = stored(found.groupBy("key", "same").agg(F.min(F.struct("id", "tie", "first")).alias("least"), F.max("more").alias("more")), "firsts")
+    firsts = stored(found.groupBy("key", "same").agg(F.min(F.struct("id", "tie", "first")).alias("least"), F.max("more").alias("more"), F.count(F.lit(1)).alias("n")), "firsts")
     several = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
     wanted = stored(firsts.join(several, "key").select("key", "least.*", "more", "different"), "wanted")
     seen = wanted.agg(F.sum(F.col("more") + length), F.max("different")).first()
-    copies = found.join(firsts.select("key", "same", "least"), ["key", "same"]).where(F.struct("id", "tie", "first") != F.col("least")).select("id", "tie", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))
+    # regions that very many texts hold are few: these meet their first where they are, the others by key
+    often = small(stored(firsts.where(F.col("n") > HELD_OFTEN).select("key", "same", "least"), "often"))
+    once = firsts.where((F.col("n") > 1) & (F.col("n") <= HELD_OFTEN)).select("key", "same", "least")
+    met = found.join(often, ["key", "same"]).unionByName(found.join(often.select("key", "same"), ["key", "same"], "left_anti").join(once, ["key", "same"]))
+    copies = met.where(F.struct("id", "tie", "first") != F.col("least")).select("id", "tie", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))
     spans = [copies]
     if seen[0]:
         where = wanted.groupBy("id", "tie").agg(F.collect_list(F.struct("key", "first", "more", "different")).alias("wanted"))

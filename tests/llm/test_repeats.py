@@ -50,6 +50,7 @@ def text_rows(rnd):
 def test_digests_match_brute_force(spark, monkeypatch, most):
     rows = text_rows(random.Random(5))
     monkeypatch.setattr(repeats, "REGIONS_MOST", most)
+    monkeypatch.setattr(repeats, "HELD_OFTEN", most)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows.items()], "doc_id long, text string, spans int").repartition(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digests(docs).collect()}
     assert got == brute({i: (t or "").encode() for i, t in rows.items()}, 100)
