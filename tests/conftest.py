@@ -12,6 +12,7 @@ def spark():
         SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.local.dir", shared)
         .config("spark.sql.warehouse.dir", f"{shared}/warehouse")
