@@ -7,7 +7,8 @@ document overlaps the item if any `WINDOW` consecutive item words (all of a shor
 there (1 for 10 to 12 words, none for 8 or 9).
 
 The mask 11010011 meets every window of 13 words with 2 substitutions and of 10 to 12 with one (checked for all of them
-in the tests), so the search is exact. Items under 8 words can't be told from chance and match nothing.
+in the tests), so the search is exact. Items under 8 words can't be told from chance: they match nothing, unless `short` is
+set; then a document that holds all their words in a row overlaps them.
 
 A hash can collide without harm: only compared words count. Null texts have no words. Rows are told apart by doc_id and
 text; repeated rows each give their own. Repeated items of one item_id and text count once.
@@ -78,9 +79,28 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     return sums.where(F.col("equal") >= F.col("width") - allowed(F.col("width"))).groupBy("doc_id", "version", "item_id").agg(F.max("equal").alias("best_equal"), F.count_distinct("shift").alias("n_places"))
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def short_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same columns for items of 1 to 7 words that stand whole in a document; n_places: how often.
+
+    Only runs of the lengths that such items have are made.
+    """
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    tests = items.select(items["item_id"].cast("long").alias("item_id"), words_of(items["text"]).alias("item")).distinct().where(F.size("item").between(1, SPAN - 1))
+    tests = stored(tests.select("item_id", F.size("item").alias("n"), F.array_join("item", " ").alias("run")), "short")
+    lengths = [r["n"] for r in tests.select("n").distinct().collect()]
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), once(words_of(text)).alias("w")).distinct()
+    none = F.array().cast("array<string>")
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(none)
+    met = texts.select("doc_id", "version", F.explode(F.concat(none, *map(runs, lengths))).alias("run")).join(small(tests), "run")
+    return met.groupBy("doc_id", "version", "item_id").agg(F.max("n").alias("best_equal"), F.count(F.lit(1)).alias("n_places"))
+
+
+def clean(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
     """The rows that overlap no item, with all their columns."""
-    bad = small(stored(overlaps(docs, items).select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct(), "bad"))
+    found = overlaps(docs, items)
+    if short:
+        found = found.unionByName(short_overlaps(docs, items))
+    bad = small(stored(found.select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct(), "bad"))
     version = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (version == bad["bad_version"]), "left_anti")
 

@@ -136,6 +136,10 @@ def test_decontamination(spark):
     assert got == {(1, 7): (13, 1), (2, 7): (11, 1), (None, 7): (13, 1)}
     assert {r.doc_id for r in decontam.clean(docs, items).collect()} == {3, 4, 5}
     assert decontam.clean(docs, items.where("false")).count() == 6
+    short = spark.createDataFrame([(8, "W4 w5"), (9, None), (10, "zz")], "item_id long, text string")
+    few = {(r.doc_id, r.item_id): (r.best_equal, r.n_places) for r in decontam.short_overlaps(docs, short).collect()}
+    assert few == {(1, 8): (2, 1), (None, 8): (2, 1), (2, 10): (1, 2), (3, 10): (1, 3)}
+    assert {r.doc_id for r in decontam.clean(docs, short, short=True).collect()} == {4, 5}
 
 
 def test_warc(spark, tmp_path):
