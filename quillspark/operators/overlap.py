@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.text import words
+from quillspark.operators.text import small, words
 
 #: A run in this many children's reports is allowed wording; words of a run that a draft may not repeat.
 ALLOWED, DRAFT_RUN = 3, 8
@@ -39,7 +39,7 @@ def overlap_warnings(texts: DataFrame, reports: DataFrame, n: int = DRAFT_RUN) -
     The texts' runs are met first: no index of the whole corpus is made, only of what both have.
     """
     own = runs(texts, n)
-    met = runs(reports.select(F.col("child").alias("id"), "text"), n).join(own.select("run").distinct(), "run", "left_semi")
+    met = runs(reports.select(F.col("child").alias("id"), "text"), n).join(small(own.select("run").distinct()), "run", "left_semi")
     index = met.select("id", "run").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") < ALLOWED).select("run")
     return own.join(index, "run").groupBy("id").agg(F.min(F.struct("at", "run")).alias("x")).select("id", "x.run")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.text import masks
+from quillspark.operators.text import masks, small
 
 #: Digits of other scripts (Arabic, Persian, Devanagari, full width), each set in order from zero.
 DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९０１２３４５６７８９"
@@ -246,7 +246,7 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, longest: int = 3) -> Dat
     for n in range(1, longest + 1):
         part = docs.where(F.size("words") >= n).select("doc_id", run(n).alias("x")).select("doc_id", "x.*")
         runs = part if runs is None else runs.unionByName(part)
-    found = runs.join(phrases.select("phrase").distinct(), "phrase")
+    found = runs.join(small(phrases.select("phrase").distinct()), "phrase")
     order = F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "phrase")))
     none = F.array().cast("array<struct<at:int,less:int,phrase:string>>")
     end = lambda out: F.when(F.size(out) == 0, F.lit(0)).otherwise(F.get(out, F.size(out) - 1)["at"] - F.get(out, F.size(out) - 1)["less"])
