@@ -62,7 +62,7 @@ def test_chains_pages_and_trees(spark):
 def test_scores_between_bands_have_none(spark):
     rows = spark.createDataFrame([(69.5,), (40.0,), (160.0,), (100.0,), (None,)], "v double").select(scores.band_label(F.col("v")).alias("b"), scores.percentile(F.col("v")).alias("p")).collect()
     assert [r.b for r in rows] == [None, "very low", "very high", "average", None]
-    assert rows[3].p == 50.0 and rows[4].p is None
+    assert rows[3].p == "50" and rows[4].p is None
 
 
 def test_details_are_hidden(spark):
