@@ -17,6 +17,7 @@ their own, and each counts. Empty tables give no rows. Further columns are not l
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import re
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe
-from quillspark.llm.common import SLICE_ROWS, map_texts, small_batches, stored, table, texts_of
+from quillspark.llm.common import SLICE_ROWS, freed, map_texts, small_batches, stored, table, texts_of
 
 #: Bytes of text of a bundle, about. A bundle's task holds its different pieces in memory.
 BUNDLE_BYTES = 32 << 20
@@ -88,25 +89,47 @@ def encoded(texts: DataFrame, a_path: str | None = None, b_path: str | None = No
     return map_texts(texts.select("id", "text"), start, TOKENS)
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """id, end, a, b, cut, grp: a row for each place where a token ends, with the token of either side that ends there."""
+@contextlib.contextmanager
+def joined_in_place(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile joins on further columns take rows as they are dealt out by document, and don't shuffle them by all columns."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-    def side(name: str) -> DataFrame:
-        rows = tokens.select("id", F.posexplode(F.arrays_zip(F.col(name).alias("token"), F.col(f"{name}_sizes").alias("size"))).alias("at", "t"))
+
+def aligned(dealt: DataFrame, side: str, other: str) -> DataFrame:
+    """id, end, token, linked, grp: a side's tokens, where each ends, the other side's token that ends there too (null: no cut), and the group.
+
+    dealt: see encoded, dealt out by id.
+    """
+
+    def ends(name: str) -> DataFrame:
+        rows = dealt.select("id", F.posexplode(F.arrays_zip(F.col(name).alias("token"), F.col(f"{name}_sizes").alias("size"))).alias("at", "t"))
         until = F.sum("t.size").over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-        return rows.select("id", until.cast("int").alias("end"), F.col("t.token").alias(name))
+        return rows.select("id", until.cast("int").alias("end"), F.col("t.token").alias("token"))
 
-    both = side("a").join(side("b"), ["id", "end"], "full").withColumn("cut", F.col("a").isNotNull() & F.col("b").isNotNull())
+    both = ends(side).join(ends(other).withColumnRenamed("token", "linked"), ["id", "end"], "left")
     before = Window.partitionBy("id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("grp", F.coalesce(F.sum(F.col("cut").cast("int")).over(before), F.lit(0)).cast("int"))
+    return both.withColumn("grp", F.coalesce(F.sum(F.col("linked").isNotNull().cast("int")).over(before), F.lit(0)).cast("int"))
+
+
+def grouped(tokens: DataFrame) -> DataFrame:
+    """id, groups (a1,a2|b1;a3|b2), links (array of a, b), n_a, n_b of tokens (see encoded).
+
+    Documents are dealt out once, with their tokens as arrays; under joined_in_place no token is shuffled as a row after that.
+    """
+    dealt = tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
 
+    def listed(side: str, other: str) -> DataFrame:
+        said = F.expr("listagg(CAST(token AS STRING), ',') WITHIN GROUP (ORDER BY end)")
+        return aligned(dealt, side, other).groupBy("id", "grp").agg(said.alias(f"of_{side}"), F.max(F.when(F.col("linked").isNotNull(), F.col("token"))).alias(side), F.count("token").alias(f"n_{side}"))
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """id, groups (a1,a2|b1;a3|b2), links (array of a, b): the aligned rows of each document put together in order."""
-    listed = lambda c: F.expr(f"listagg(CAST({c} AS STRING), ',') WITHIN GROUP (ORDER BY end)")
-    each = rows.groupBy("id", "grp").agg(listed("a").alias("of_a"), listed("b").alias("of_b"), F.max(F.when(F.col("cut"), F.col("a"))).alias("a"), F.max(F.when(F.col("cut"), F.col("b"))).alias("b"))
-    each = each.withColumn("said", F.concat_ws("|", "of_a", "of_b"))
-    return each.groupBy("id").agg(F.expr("listagg(said, ';') WITHIN GROUP (ORDER BY grp)").alias("groups"), F.collect_list(F.struct("a", "b")).alias("links"))
+    each = listed("a", "b").join(listed("b", "a"), ["id", "grp"]).withColumn("said", F.concat_ws("|", "of_a", "of_b"))
+    return each.groupBy("id").agg(F.expr("listagg(said, ';') WITHIN GROUP (ORDER BY grp)").alias("groups"), F.collect_list(F.struct("a", "b")).alias("links"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -117,15 +140,19 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 def piece_rows(counts: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """text, groups and numbers of pieces text, n (how often each stands in the corpus)."""
-    units = stored(counts.groupBy("text").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "pieces")
-    tokens = stored(encoded(units, a_path, b_path), "tokens")
-    put = stored(grouped(aligned(tokens)), "groups")
+    units = stored(counts.groupBy("text").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "pieces", "zstd")
+    tokens = stored(encoded(units, a_path, b_path), "tokens", "zstd")
+    with joined_in_place(counts.sparkSession):
+        put = stored(grouped(tokens), "groups", "zstd")
+    freed(tokens)
     links = put.select("id", F.explode("links").alias("l")).select("id", "l.a", "l.b")
     pairs = stored(pair_counts(links.join(units.select("id", "n"), "id")), "pairs")
     sums = links.join(pairs, ["a", "b"]).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("int")).alias("n_best"), F.sum("n").alias("count_sum"))
-    sizes = tokens.select("id", F.size("a").alias("n_a"), F.size("b").alias("n_b"))
-    rows = units.select("id", "text").join(sizes, "id").join(put.select("id", "groups", F.size("links").alias("n_groups")), "id").join(sums, "id")
-    return stored(rows.select("text", "groups", *NUMBERS), "piece_rows")
+    rows = units.select("id", "text").join(put.select("id", "groups", F.size("links").alias("n_groups"), "n_a", "n_b"), "id").join(sums, "id")
+    out = stored(rows.select("text", "groups", *NUMBERS), "piece_rows", "zstd")
+    for done in (units, put, pairs):
+        freed(done)
+    return out
 
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, digest: bool = False) -> DataFrame:
@@ -137,7 +164,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     bundles = -(-max(size, 1) // BUNDLE_BYTES)
     good = F.col("text").isNotNull() & (F.col("text") != "") & ~F.contains(F.col("text"), F.lit(SPACE))
     rows = rows.select("doc_id", F.when(good, F.col("text")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(bundles)).cast("int").alias("bundle"))
-    counts = stored(rows.where("text is not null").select("bundle", F.explode(F.split("text", CUT)).alias("text")).groupBy("bundle", "text").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = stored(rows.where("text is not null").select("bundle", F.explode(F.split("text", CUT)).alias("text")).groupBy("bundle", "text").agg(F.count(F.lit(1)).alias("n")), "counts", "zstd")
     known = counts.select("bundle", "text").join(piece_rows(counts, a_path, b_path), "text")
     known = known.select("bundle", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "text", "groups", *(F.col(c).cast("long").alias(c) for c in NUMBERS))
     texts = rows.select("bundle", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("string").alias("groups"), *(F.lit(None).cast("long").alias(c) for c in NUMBERS))

@@ -72,19 +72,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it again: later steps neither compute it again nor need this executor.
 
     What was shuffled to make it can go: the driver collects its garbage, so that Spark's cleaner drops those files now
     and not at some later time.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(table: DataFrame) -> None:
+    """Give the disk of a stored table back, once nothing that is still to run reads it: its rows are written over with none."""
+    files = table.inputFiles()
+    if files:
+        table.sparkSession.range(0).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
 #: Rows of a few longs or an id that are broadcast at most; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
