@@ -173,8 +173,11 @@ def paragraphs(texts: DataFrame, least: int = 12) -> DataFrame:
     return lines.where(F.size(F.filter(F.split("line", "[ \t\r]+"), lambda x: x != "")) >= least)
 
 
-def numbers_masked(text: Column) -> Column:
-    """Every number as a slot, but for those inside a tag or right after a letter."""
-    from quillspark.operators.privacy import TAG, in_pieces
+NUMBER = r"[0-9]+(?:[.:/,\-][0-9]+)*"
+#: Pieces of a text: brackets with what they hold (one more level inside, or open to the end), letters with a number, numbers, the rest.
+NUMBER_PIECES = rf"\[(?:[^\[\]]|\[[^\[\]]*\])*(?:\]|$)|[A-Za-z]+-?{NUMBER}|{NUMBER}|[^0-9A-Za-z\[]+|[A-Za-z]+|\["
+
 
-    return in_pieces(text, lambda x: F.when(x.rlike(f"^{TAG}$"), x).otherwise(F.regexp_replace(x, "(?<![A-Za-z0-9.,])[0-9]+(?:[.,][0-9]+)*", "#")))
+def numbers_masked(text: Column) -> Column:
+    """Every number as a slot, but for those inside brackets and those that go on after a Latin letter (an edition: "AB-5", "x2")."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER_PIECES), F.lit(0)), lambda x: F.when(x.rlike("^[0-9]"), "#").otherwise(x)), "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.text import masks, small
+from quillspark.operators.text import small
 
 #: Digits of other scripts (Arabic, Persian, Devanagari, full width), each set in order from zero.
 DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९０１２３４５６７８９"
@@ -33,7 +33,7 @@ RULES = {
 }
 #: A tag: words in square brackets on one line.
 TAG = r"\[[^\[\]\n]{1,60}\]"
-OWN_TAG = r"\[(?:" + "|".join(RULES) + r")(?:_[1-9][0-9]{0,3})?\]"
+OWN_TAG = r"\[(?:tag|" + "|".join(RULES) + r")(?:_[1-9][0-9]{0,17})?\]"
 #: Pieces of a text: its tags, what stands between them, and lone brackets.
 PIECES = rf"{TAG}|[^\[]+|\["
 
@@ -106,7 +106,7 @@ def remaining_tags(text: Column) -> Column:
 
 
 def is_mask_tag(tag: Column) -> Column:
-    return tag.rlike(r"^\[(?:" + "|".join(RULES) + r")_[1-9][0-9]{0,3}\]$")
+    return tag.rlike(r"^\[(?:tag|" + "|".join(RULES) + r")_[1-9][0-9]{0,17}\]$")
 
 
 def mask_base(tag: Column) -> Column:
@@ -178,24 +178,14 @@ def address_fields(text: Column, label: str = "Address") -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def masked(docs: DataFrame, kind: str = "email") -> tuple[DataFrame, DataFrame]:
-    """docs: doc_id, text. The texts with numbered tags in place of their details, and the book (value, tag).
-
-    Only texts with a detail meet the book; a text's own values are replaced in one expression, longest first.
-    """
-    book = masks(docs, kind)
-    found = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RULES[kind]), F.lit(0)))).alias("value")).distinct()
-    per = found.join(book, "value").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("l"), "value", "tag"))).alias("pairs"))
-    put = F.aggregate(F.coalesce("pairs", F.array().cast("array<struct<l:int,value:string,tag:string>>")), F.coalesce("text", F.lit("")), lambda t, p: F.replace(t, p["value"], p["tag"]))
-    return docs.join(per, "doc_id", "left").select("doc_id", put.alias("text")), book
-
-
 def restored(docs: DataFrame, book: DataFrame) -> DataFrame:
     """docs: doc_id, text with numbered tags; book: value, tag. The texts with the values again: each tag is read once."""
-    found = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(OWN_TAG), F.lit(0)))).alias("tag"))
-    per = found.join(book, "tag").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "value"))).alias("known"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    found = rows.select(F.col("doc_id").alias("tags_id"), F.col("version").alias("tags_version"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(OWN_TAG), F.lit(0)))).alias("tag")).distinct()
+    per = found.join(book.select("tag", "value"), "tag").groupBy("tags_id", "tags_version").agg(F.map_from_entries(F.collect_list(F.struct("tag", "value"))).alias("known"))
     back = in_pieces(F.col("text"), lambda x: F.coalesce(F.element_at("known", x), x))
-    return docs.join(per, "doc_id", "left").select("doc_id", F.when(F.col("known").isNull(), F.col("text")).otherwise(back).alias("text"))
+    both = rows.join(per, rows["doc_id"].eqNullSafe(per["tags_id"]) & (rows["version"] == per["tags_version"]), "left")
+    return both.select("doc_id", F.when(F.col("known").isNull(), F.col("text")).otherwise(back).alias("text"))
 
 
 def filled(template: Column, values: Column) -> Column:

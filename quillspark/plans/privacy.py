@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import privacy
+from quillspark.operators import privacy, spans
 from quillspark.operators.text import words
 from quillspark.plans.registry import TODAY, WORDS, query
 from quillspark.sources.records import table
@@ -88,16 +88,52 @@ def guessed_years(spark, d):
     return rows.withColumn("full_year", privacy.expand_year(F.col("yy"), day)).withColumn("latest_year", privacy.infer_year(F.col("m"), F.col("d"), day))
 
 
-@query("""SELECT doc_id, coalesce(text, '') AS text FROM documents""")
+def _spans(source: str, rules: dict[str, str]) -> str:
+    """CTEs up to `spans` (doc_id, start, stop, kind, value) of x(doc_id, text): kind by kind what is found is overwritten, letter for letter."""
+    ctes, any_mark = [source, f"t0 AS (SELECT *, {_fold('text')} AS m FROM x)"], f"[{chr(spans.MARK)}-{chr(spans.MARK + 0xFF)}]{spans.FILL}*"
+    for i, rule in enumerate(rules.values()):
+        r = _rule(spans._own(rule))
+        put = f"p[i] || CASE WHEN i <= len(h) THEN '{chr(spans.MARK + i)}' || repeat('{spans.FILL}', length(h[i]) - 1) ELSE '' END"
+        ctes.append(f"t{i + 1} AS (SELECT doc_id, text, array_to_string(list_transform(range(1, len(p) + 1), lambda i: {put}), '') AS m FROM (SELECT doc_id, text, regexp_split_to_array(m, '{r}') AS p, regexp_extract_all(m, '{r}') AS h FROM t{i}))")
+    ctes.append(f"cut AS (SELECT doc_id, text, regexp_split_to_array(m, '{any_mark}') AS g, regexp_extract_all(m, '{any_mark}') AS k FROM t{len(rules)})")
+    ctes.append("each AS (SELECT *, unnest(range(1, len(k) + 1)) AS i FROM cut)")
+    ctes.append("at_ AS (SELECT *, list_sum(list_transform(g[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(k[1:i - 1], lambda v: length(v))), 0) AS s FROM each)")
+    ctes.append(f"spans AS (SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(s + length(k[i]) AS INTEGER) AS stop, {list(rules)!r}[unicode(k[i]) - {spans.MARK} + 1] AS kind, substring(text, CAST(s AS INTEGER) + 1, length(k[i])) AS value FROM at_)")
+    return "WITH " + ", ".join(ctes)
+
+
+BOOK = "book AS (SELECT kind, value, '[' || kind || '_' || row_number() OVER (PARTITION BY kind ORDER BY min((doc_id, start)), value) || ']' AS tag FROM spans GROUP BY kind, value)"
+
+
+@query(f"{_spans(f'x AS ({DETAILED})', privacy.RULES)} SELECT doc_id, start, stop AS \"end\", kind, value FROM spans")
+def detail_spans(spark, d):
+    """Every personal detail with its place and its text as written."""
+    return spans.listed(spans.found(_detailed(spark, d)))
+
+
+@query(f"{_spans(f'x AS ({DETAILED})', privacy.RULES)}, o AS (SELECT doc_id, string_agg('[' || kind || ']', ' ' ORDER BY start) AS tags, CAST(sum(stop - start) AS BIGINT) AS letters FROM spans GROUP BY doc_id) SELECT x.doc_id, coalesce(tags, '') AS tags, length(coalesce(text, '')) - coalesce(letters, 0) + coalesce(length(replace(tags, ' ', '')), 0) AS letters FROM x LEFT JOIN o USING (doc_id)")
+def details_tagged(spark, d):
+    """The tags that stand in each text once its details are hidden, and how long it is then."""
+    text = F.col("text")
+    tags = F.regexp_extract_all(text, F.lit(r"\[(?:" + "|".join(privacy.RULES) + r")\]"), F.lit(0))
+    return spans.hidden(_detailed(spark, d)).select("doc_id", F.array_join(tags, " ").alias("tags"), F.length(text).alias("letters"))
+
+
+@query(f"{_spans(f'x AS ({DETAILED})', spans.MASKED)}, {BOOK} SELECT * FROM book")
+def mask_numbers(spark, d):
+    """The book of all kinds: each detail's number."""
+    return spans.masked(_detailed(spark, d))[1]
+
+
+@query(f"WITH x AS ({DETAILED}) SELECT doc_id, coalesce(text, '') AS text FROM x")
 def masks_put_and_restored(spark, d):
-    """Details become numbered tags and come back: the round trip gives the texts as they were."""
-    return privacy.restored(*privacy.masked(table(spark, d, "documents").select("doc_id", "text")))
+    """Details of every kind become numbered tags and come back: the round trip gives the texts as they were."""
+    return privacy.restored(*spans.masked(_detailed(spark, d)))
 
 
-@query(f"""WITH e AS (SELECT doc_id, regexp_extract_all(text, '{privacy.RULES["email"]}') AS f FROM documents), p AS (SELECT doc_id, unnest(f) AS value, unnest(range(0, len(f))) AS place FROM e),
-m AS (SELECT value, '[email_' || row_number() OVER (ORDER BY min((doc_id, place))) || ']' AS tag FROM p GROUP BY value), g AS (SELECT doc_id, list(DISTINCT tag) AS tags FROM p JOIN m USING (value) GROUP BY 1) SELECT doc_id, array_to_string(list_sort(tags), ',') AS tags FROM g""")
+@query(f"{_spans(f'x AS ({DETAILED})', spans.MASKED)}, {BOOK}, g AS (SELECT doc_id, list(DISTINCT tag) AS tags FROM spans JOIN book USING (kind, value) GROUP BY 1) SELECT doc_id, array_to_string(list_sort(tags), ',') AS tags FROM g")
 def mask_tags_used(spark, d):
-    texts, _ = privacy.masked(table(spark, d, "documents").select("doc_id", "text"))
+    texts, _ = spans.masked(_detailed(spark, d))
     return texts.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.filter(privacy.remaining_tags(F.col("text")), privacy.is_mask_tag))), ",").alias("tags")).where("tags <> ''")
 
 

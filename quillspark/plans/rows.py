@@ -128,10 +128,10 @@ def methods_in_order(spark, d):
     return insights.method_order(payments(spark, d).where("not voided"), ("cash", "transfer", "check", "card"))
 
 
-@query(r"""SELECT doc_id AS id, regexp_replace(regexp_replace(coalesce(text, ''), '(^|[^A-Za-z0-9.,])[0-9]+(?:[.,][0-9]+)*', '\1#', 'g'), '(^|[^A-Za-z0-9.,])[0-9]+(?:[.,][0-9]+)*', '\1#', 'g') AS text FROM documents WHERE NOT contains(coalesce(text, ''), '[')""")
+@query(f"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') || ' [see 12] AB-5.1 and ' || doc_id || ', 3-9.' AS text FROM documents) SELECT id, array_to_string(list_transform(regexp_extract_all(text, '{overlap.NUMBER_PIECES}'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '#' ELSE x END), '') AS text FROM d""")
 def numbers_masked(spark, d):
-    docs = table(spark, d, "documents").where(~F.contains(F.coalesce("text", F.lit("")), F.lit("[")))
-    return docs.select(F.col("doc_id").alias("id"), overlap.numbers_masked(F.coalesce("text", F.lit(""))).alias("text"))
+    added = F.concat(F.coalesce("text", F.lit("")), F.lit(" [see 12] AB-5.1 and "), F.col("doc_id").cast("string"), F.lit(", 3-9."))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), overlap.numbers_masked(added).alias("text"))
 
 
 @query(f"""WITH w AS (SELECT conv_id AS id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> ''))) AS written FROM conversations), g AS (SELECT unnest({[{'g': g, 'written': v} for g, vs in GROUPS.items() for v in vs]}, recursive := true)), h AS (SELECT * FROM (VALUES ('join', 'and'), ('aim', 'for')) v(g, usual))
