@@ -7,8 +7,8 @@ document overlaps the item if any `WINDOW` consecutive item words (all of a shor
 there (1 for 10 to 12 words, none for 8 or 9).
 
 The mask 11010011 meets every window of 13 words with 2 substitutions and of 10 to 12 with one (checked for all of them
-in the tests), so the search is exact. Items under 8 words can't be told from chance: they match nothing, unless `short` is
-set; then a document that holds all their words in a row overlaps them.
+in the tests), so the search is exact. Items of 1 to 7 words have no seed: a document overlaps them if it holds all their
+words in a row. Items without a word match nothing.
 
 A hash can collide without harm: only compared words count. Null texts have no words. Rows are told apart by doc_id and
 text; repeated rows each give their own. Repeated items of one item_id and text count once.
@@ -88,18 +88,25 @@ def short_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     tests = items.select(items["item_id"].cast("long").alias("item_id"), words_of(items["text"]).alias("item")).distinct().where(F.size("item").between(1, SPAN - 1))
     tests = stored(tests.select("item_id", F.size("item").alias("n"), F.array_join("item", " ").alias("run")), "short")
     lengths = [r["n"] for r in tests.select("n").distinct().collect()]
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), once(words_of(text)).alias("w")).distinct()
+    if not lengths:
+        return docs.sparkSession.range(0).selectExpr("id AS doc_id", "id AS version", "id AS item_id", "CAST(id AS INT) AS best_equal", "id AS n_places")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), once(words_of(text)).alias("w"))
     none = F.array().cast("array<string>")
     runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(none)
-    met = texts.select("doc_id", "version", F.explode(F.concat(none, *map(runs, lengths))).alias("run")).join(small(tests), "run")
+    met = texts.select("doc_id", "version", F.posexplode(F.concat(none, *map(runs, lengths))).alias("at", "run")).join(small(tests), "run")
+    # rows of one id and text are one
+    met = met.select("doc_id", "version", "item_id", "n", "at").distinct()
     return met.groupBy("doc_id", "version", "item_id").agg(F.max("n").alias("best_equal"), F.count(F.lit(1)).alias("n_places"))
 
 
-def clean(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
+def all_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """overlaps and short_overlaps together."""
+    return overlaps(docs, items).unionByName(short_overlaps(docs, items))
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows that overlap no item, with all their columns."""
-    found = overlaps(docs, items)
-    if short:
-        found = found.unionByName(short_overlaps(docs, items))
+    found = all_overlaps(docs, items)
     bad = small(stored(found.select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct(), "bad"))
     version = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (version == bad["bad_version"]), "left_anti")
@@ -107,7 +114,7 @@ def clean(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, best_equal, n_places of every overlap."""
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "best_equal", "n_places")
+    return all_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "best_equal", "n_places")
 
 
 #: Four of a window's words stand together unchanged, so pairs of places with four equal words hold every alignment.
@@ -124,4 +131,7 @@ win AS (SELECT doc_id, item_id, shift, m, q, sum(same) OVER (PARTITION BY doc_id
 ok AS (SELECT doc_id, item_id, shift, max(equal) AS equal, least(m, 13) AS width FROM win WHERE q <= greatest(m - 12, 1) GROUP BY doc_id, item_id, shift, m)
 SELECT doc_id, item_id, CAST(max(equal) AS INTEGER) AS best_equal, count(DISTINCT shift) AS n_places FROM ok
 WHERE equal >= width - CASE WHEN width >= 13 THEN 2 WHEN width >= 10 THEN 1 ELSE 0 END GROUP BY doc_id, item_id
+UNION ALL
+SELECT doc_id, item_id, CAST(max(m) AS INTEGER), count(*) FROM (SELECT doc_id, item_id, len(b.w) AS m, unnest(range(1, len(d.w) - len(b.w) + 2)) AS i, d.w AS dw, b.w AS iw FROM b JOIN d ON len(b.w) BETWEEN 1 AND least(7, len(d.w)))
+WHERE dw[i:i + m - 1] = iw GROUP BY doc_id, item_id
 """

@@ -31,8 +31,6 @@ from quillspark.llm.common import crc_of, labelled, map_texts, stored, table, te
 FIT_ROWS = 20_000
 #: Pseudo-counts of a token; standard errors that a log-odds must exceed zero by; what a token without evidence costs.
 PRIOR, ERRORS, DRIFT = 1.0, 2.5, -0.4
-#: Tokens with a positive score that the model keeps, the highest first: the bound of what is sent to the tasks.
-MODEL_TOKENS = 50_000
 FOLDS = 4
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -90,8 +88,7 @@ def log_odds(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> dict
     t, c = np.minimum(y[:, 0] + a, toxic + a - 0.5 * a), np.minimum(y[:, 1] + b, other + b - 0.5 * b)
     delta = np.log(t / (toxic + 2 * a - t)) - np.log(c / (other + 2 * b - c))
     low = delta - ERRORS * np.sqrt(1 / t + 1 / c)
-    order = np.lexsort((np.array(words, dtype=object), -low)) if len(words) else []
-    return {words[i]: float(low[i]) for i in order[:MODEL_TOKENS] if low[i] > 0}
+    return {words[i]: float(low[i]) for i in np.flatnonzero(low > 0)}
 
 
 def _lower_bound(t: Column, c: Column, toxic: int, other: int) -> Column:

@@ -139,7 +139,20 @@ def test_decontamination(spark):
     short = spark.createDataFrame([(8, "W4 w5"), (9, None), (10, "zz")], "item_id long, text string")
     few = {(r.doc_id, r.item_id): (r.best_equal, r.n_places) for r in decontam.short_overlaps(docs, short).collect()}
     assert few == {(1, 8): (2, 1), (None, 8): (2, 1), (2, 10): (1, 2), (3, 10): (1, 3)}
-    assert {r.doc_id for r in decontam.clean(docs, short, short=True).collect()} == {4, 5}
+    assert {r.doc_id for r in decontam.clean(docs, short).collect()} == {4, 5}
+
+
+def test_short_items_count_once_for_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b a b"), (1, "a b a b"), (1, "other a b"), (2, "b a c")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "A b"), (6, "c"), (7, "b a c d e f g")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.best_equal, r.n_places) for r in decontam.all_overlaps(docs, items).collect())
+    assert got == [(1, 5, 2, 1), (1, 5, 2, 2), (2, 6, 1, 1)] and decontam.clean(docs, items).count() == 0
+
+
+def test_every_token_with_evidence_is_kept():
+    # 60,000 tokens, each in one toxic text of a hundred and in none of the many others
+    odds = toxicity.log_odds({f"t{i}": (1, 0) for i in range(60_000)} | {"common": (50, 15_000)}, 100, 19_900)
+    assert len(odds) == 60_000 and "common" not in odds and len(set(odds.values())) == 1
 
 
 def test_warc(spark, tmp_path):
