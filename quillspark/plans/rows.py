@@ -49,16 +49,12 @@ def assembled_messages(spark, d):
     return messages.assembled(e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), kind.alias("event"), data.alias("data")))
 
 
-ELAPSED = "(29 * ((235 * ({y}) - 234) // 19) + (12084 + 13753 * ((235 * ({y}) - 234) // 19)) // 25920)"
-
-
-def _elapsed(y: str) -> str:
-    e = ELAPSED.replace("{y}", y)
-    return f"({e} + CASE WHEN {e} % 7 IN (2, 4, 6) THEN 1 ELSE 0 END)"
-
-
 def _start(y: str) -> str:
-    return f"(-2092590 + {_elapsed(y)} + CASE WHEN {_elapsed(y + ' + 1')} - {_elapsed(y)} = 356 THEN 2 WHEN {_elapsed(y)} - {_elapsed(y + ' - 1')} = 382 THEN 1 ELSE 0 END)"
+    """The year's first day by Gauss's rule for Passover of the spring before it, 163 days earlier (Julian dates are 13 days behind)."""
+    a, b, m = f"((12 * ({y} - 1) + 17) % 19)", f"(({y} - 1) % 4)", f"(32.0440932 + 1.5542418 * ((12 * ({y} - 1) + 17) % 19) + 0.25 * (({y} - 1) % 4) - 0.003177794 * ({y} - 1))"
+    c = f"((CAST(floor({m}) AS BIGINT) + 3 * ({y} - 1) + 5 * {b} + 5) % 7)"
+    late = f"CASE WHEN {c} IN (2, 4, 6) THEN 1 WHEN {c} = 1 AND {a} > 6 AND {m} - floor({m}) >= 0.63287037 THEN 2 WHEN {c} = 0 AND {a} > 11 AND {m} - floor({m}) >= 0.89772376 THEN 1 ELSE 0 END"
+    return f"(date_diff('day', DATE '1970-01-01', make_date(CAST({y} - 3761 AS BIGINT), 3, 1)) + CAST(floor({m}) AS BIGINT) - 1 + {late} + 13 + 163)"
 
 
 #: Month by month from the year's first day, where the operator counts the spring from the next year's.
@@ -70,9 +66,13 @@ DAYS = [("0", "New Year", True), ("1", "New Year", True), ("8", "Eve of Atonemen
 
 @query(f"""WITH y AS (SELECT y, {_start("y")} AS s, {_start("y + 1")} - {_start("y")} AS n FROM (SELECT unnest(range(5750, 5765)) AS y)), a AS (SELECT *, 30 + CASE WHEN n % 10 = 5 THEN 30 ELSE 29 END AS kislev FROM y), b AS (SELECT *, kislev + CASE WHEN n % 10 = 3 THEN 29 ELSE 30 END + 29 AS shevat FROM a),
 c AS (SELECT *, shevat + 30 + CASE WHEN n > 355 THEN 30 ELSE 0 END AS adar FROM b), e AS (SELECT *, adar + 29 AS nisan, adar + 59 AS iyar FROM c), f AS (SELECT *, CASE (s + iyar + 4 + 4) % 7 WHEN 5 THEN -1 WHEN 6 THEN -2 WHEN 1 THEN 1 ELSE 0 END AS m FROM e),
-h AS (SELECT unnest([{", ".join("{'date': CAST(DATE '1970-01-01' + CAST(s + " + at + " AS INTEGER) AS DATE), 'name': '" + name + "', 'closed': " + str(closed).lower() + "}" for at, name, closed in DAYS)}], recursive := true) FROM f) SELECT date, name, closed FROM h WHERE date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'""")
+h AS (SELECT unnest([{", ".join("{'date': CAST(DATE '1970-01-01' + CAST(s + " + at + " AS INTEGER) AS DATE), 'name': '" + name + "', 'closed': " + str(closed).lower() + "}" for at, name, closed in DAYS)}], recursive := true) FROM f) SELECT date, name, closed, count(o_orderkey) AS orders FROM h LEFT JOIN orders ON CAST(o_orderdate AS DATE) = date WHERE year(date) IN (SELECT DISTINCT year(o_orderdate) FROM orders) GROUP BY date, name, closed""")
 def hebrew_holidays(spark, d):
-    return holidays.holidays(spark, "1995-01-01", "2001-12-31")
+    """Holidays of all years with orders, and the orders of each day."""
+    orders = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"))
+    per = orders.groupBy("date").agg(F.count(F.lit(1)).alias("orders"))
+    days = holidays.holidays(per.select(F.year("date").alias("year")))
+    return days.join(per, "date", "left").select("date", "name", "closed", F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
 @query("""WITH e AS (SELECT strftime(ts, '%Y-%m') AS month, event_type AS model, CAST(round(value * 100) AS BIGINT) AS v FROM events), s AS (SELECT month, model, sum(v) AS i, sum(v * 2) AS o, sum(v // 3) AS w, sum(v // 5) AS r FROM e GROUP BY 1, 2)
