@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe
@@ -101,35 +101,39 @@ def joined_in_place(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def aligned(dealt: DataFrame, side: str, other: str) -> DataFrame:
-    """id, end, token, linked, grp: a side's tokens, where each ends, the other side's token that ends there too (null: no cut), and the group.
+def cuts(dealt: DataFrame) -> DataFrame:
+    """id, grp, at_a, at_b: where both sides end, numbered along the document, with the place of the token of either side that ends there.
 
     dealt: see encoded, dealt out by id.
     """
 
-    def ends(name: str) -> DataFrame:
-        rows = dealt.select("id", F.posexplode(F.arrays_zip(F.col(name).alias("token"), F.col(f"{name}_sizes").alias("size"))).alias("at", "t"))
-        until = F.sum("t.size").over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-        return rows.select("id", until.cast("int").alias("end"), F.col("t.token").alias("token"))
+    def ends(side: str) -> DataFrame:
+        rows = dealt.select("id", F.posexplode(f"{side}_sizes").alias(f"at_{side}", "size"))
+        until = F.sum("size").over(Window.partitionBy("id").orderBy(f"at_{side}").rowsBetween(Window.unboundedPreceding, 0))
+        return rows.select("id", f"at_{side}", until.cast("int").alias("end"))
 
-    both = ends(side).join(ends(other).withColumnRenamed("token", "linked"), ["id", "end"], "left")
-    before = Window.partitionBy("id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("grp", F.coalesce(F.sum(F.col("linked").isNotNull().cast("int")).over(before), F.lit(0)).cast("int"))
+    both = ends("a").join(ends("b"), ["id", "end"])
+    return both.select("id", F.count(F.lit(1)).over(Window.partitionBy("id").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("grp"), "at_a", "at_b")
 
 
 def grouped(tokens: DataFrame) -> DataFrame:
     """id, groups (a1,a2|b1;a3|b2), links (array of a, b), n_a, n_b of tokens (see encoded).
 
     Documents are dealt out once, with their tokens as arrays; under joined_in_place no token is shuffled as a row after that.
+    A group's tokens are those from the cut before it up to its own.
     """
     dealt = tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    at = cuts(dealt).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("grp", "at_a", "at_b"))).alias("cuts"))
+    rows = dealt.select("id", "a", "b").join(at, "id")
 
-    def listed(side: str, other: str) -> DataFrame:
-        said = F.expr("listagg(CAST(token AS STRING), ',') WITHIN GROUP (ORDER BY end)")
-        return aligned(dealt, side, other).groupBy("id", "grp").agg(said.alias(f"of_{side}"), F.max(F.when(F.col("linked").isNotNull(), F.col("token"))).alias(side), F.count("token").alias(f"n_{side}"))
+    def said(c: Column, i: Column, side: str) -> Column:
+        begin = F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)[f"at_{side}"] + 1)
+        return F.array_join(F.slice(f"said_{side}", begin + 1, c[f"at_{side}"] - begin + 1), ",")
 
-    each = listed("a", "b").join(listed("b", "a"), ["id", "grp"]).withColumn("said", F.concat_ws("|", "of_a", "of_b"))
-    return each.groupBy("id").agg(F.expr("listagg(said, ';') WITHIN GROUP (ORDER BY grp)").alias("groups"), F.collect_list(F.struct("a", "b")).alias("links"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    told = rows.select("*", F.explode(F.array(F.struct(F.col("a").cast("array<string>").alias("said_a"), F.col("b").cast("array<string>").alias("said_b")))).alias("s")).select("id", "a", "b", "cuts", "s.*")
+    groups = F.array_join(F.transform("cuts", lambda c, i: F.concat_ws("|", said(c, i, "a"), said(c, i, "b"))), ";")
+    links = F.transform("cuts", lambda c: F.struct(F.get("a", c["at_a"]).alias("a"), F.get("b", c["at_b"]).alias("b")))
+    return told.select("id", groups.alias("groups"), links.alias("links"), F.size("a").alias("n_a"), F.size("b").alias("n_b"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -139,8 +143,9 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 
 def piece_rows(counts: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """text, groups and numbers of pieces text, n (how often each stands in the corpus)."""
-    units = stored(counts.groupBy("text").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "pieces", "zstd")
+    """text, bundles, groups and numbers of pieces from bundle, text, n (how often each stands in a bundle)."""
+    units = counts.groupBy("text").agg(F.sum("n").alias("n"), F.collect_list("bundle").alias("bundles"))
+    units = stored(units.withColumn("id", F.monotonically_increasing_id()), "pieces", "zstd")
     tokens = stored(encoded(units, a_path, b_path), "tokens", "zstd")
     with joined_in_place(counts.sparkSession):
         put = stored(grouped(tokens), "groups", "zstd")
@@ -148,8 +153,8 @@ def piece_rows(counts: DataFrame, a_path: str | None = None, b_path: str | None
     links = put.select("id", F.explode("links").alias("l")).select("id", "l.a", "l.b")
     pairs = stored(pair_counts(links.join(units.select("id", "n"), "id")), "pairs")
     sums = links.join(pairs, ["a", "b"]).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("int")).alias("n_best"), F.sum("n").alias("count_sum"))
-    rows = units.select("id", "text").join(put.select("id", "groups", F.size("links").alias("n_groups"), "n_a", "n_b"), "id").join(sums, "id")
-    out = stored(rows.select("text", "groups", *NUMBERS), "piece_rows", "zstd")
+    rows = units.select("id", "text", "bundles").join(put.select("id", "groups", F.size("links").alias("n_groups"), "n_a", "n_b"), "id").join(sums, "id")
+    out = stored(rows.select("text", "bundles", "groups", *NUMBERS), "piece_rows", "zstd")
     for done in (units, put, pairs):
         freed(done)
     return out
@@ -165,9 +170,12 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     good = F.col("text").isNotNull() & (F.col("text") != "") & ~F.contains(F.col("text"), F.lit(SPACE))
     rows = rows.select("doc_id", F.when(good, F.col("text")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(bundles)).cast("int").alias("bundle"))
     counts = stored(rows.where("text is not null").select("bundle", F.explode(F.split("text", CUT)).alias("text")).groupBy("bundle", "text").agg(F.count(F.lit(1)).alias("n")), "counts", "zstd")
-    known = counts.select("bundle", "text").join(piece_rows(counts, a_path, b_path), "text")
-    known = known.select("bundle", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "text", "groups", *(F.col(c).cast("long").alias(c) for c in NUMBERS))
-    texts = rows.select("bundle", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("string").alias("groups"), *(F.lit(None).cast("long").alias(c) for c in NUMBERS))
+    pieces_of = piece_rows(counts, a_path, b_path)
+    freed(counts)
+    # both kinds of row in few columns: a piece's numbers go in one string before its groups
+    packed = F.concat_ws(" ", *(F.col(c).cast("string") for c in NUMBERS), "groups")
+    known = pieces_of.select(F.explode("bundles").alias("bundle"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "text", packed.alias("row"))
+    texts = rows.select("bundle", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("string").alias("row"))
     said = "groups_sha256" if digest else "groups"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +190,9 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
                         here, place, said_of, numbers, summed = bundle, {}, [], [], None
                     if not kind:
                         place[text] = len(said_of)
-                        said_of.append(part["groups"][i])
-                        numbers.append(tuple(part[c][i] for c in NUMBERS))
+                        *row, groups = part["row"][i].split(" ", len(NUMBERS))
+                        said_of.append(groups)
+                        numbers.append(tuple(map(int, row)))
                         continue
                     if summed is None:
                         summed, numbers = np.array(numbers, np.int64).reshape(-1, len(NUMBERS)), []
