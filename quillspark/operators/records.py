@@ -14,6 +14,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where}/steps-{uuid.uuid4().hex}"
@@ -21,6 +23,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with nth, from 1, in this order (which should be total). Rows are sorted in ranges; no task sees them all."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy("range").count()
+    # one row for each range
+    before = F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.join(F.broadcast(counts.select("range", before.alias("before"))), "range").withColumn("nth", nth).drop("range", "before")
+
+
 def keyset_page(rows: DataFrame, at: str, key: str, before: tuple, size: int) -> DataFrame:
     """The `size` newest rows before the cursor (at, key). Top-k by partition, then merged."""
     older = (F.col(at) < F.lit(before[0])) | ((F.col(at) == F.lit(before[0])) & (F.col(key) < F.lit(before[1])))
