@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import audit
+from quillspark.operators import audit, requests
 from quillspark.operators.records import numbered
 from quillspark.plans.registry import query
 from quillspark.sources.records import table
@@ -56,3 +56,29 @@ def audit_faults(spark, d):
     bad = rows.crossJoin(F.broadcast(last)).where((seq <= F.col("most") - 3) & (seq % 307 != 7)).drop("most")
     bad = bad.withColumn("meta", F.when(seq % 211 == 5, F.concat("meta", F.lit(" "))).otherwise(F.col("meta")))
     return audit.faults(bad.unionByName(bad.where(seq % 401 == 9)), anchors, KEY)
+
+
+FLOOR, MARGIN, MOST, REST = 120, 70, 900, 50
+_NOTE = len(requests.NOTE.encode())
+
+
+def _cut(text: str, keep: str) -> str:
+    """The part that is kept, as an expression: whole characters, then the last line end or blank in the second half, then no open bracket."""
+    head = f"left({text}, list_max(list_filter(range(0, length({text}) + 1), lambda n: strlen(left({text}, n)) <= {keep})))"
+    line, blank = f"regexp_extract({head}, '^((?s:.*))\\n', 1)", f"regexp_extract({head}, '^((?s:.*)) ', 1)"
+    part = f"CASE WHEN contains({head}, chr(10)) AND strlen({line}) >= strlen({head}) // 2 THEN {line} WHEN contains({head}, ' ') AND strlen({blank}) >= strlen({head}) // 2 THEN {blank} ELSE {head} END"
+    return f"regexp_replace({part}, '\\[[^\\[\\]]*$', '')"
+
+
+@query(f"""WITH b AS (SELECT conv_id AS request, turn AS block, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS total, sum(strlen(coalesce(text, ''))) OVER (PARTITION BY conv_id) + {REST} AS size FROM conversations),
+l AS (SELECT *, CASE WHEN size > {MOST} AND total > {FLOOR} THEN {_cut("text", str(FLOOR))} END AS least FROM b), s AS (SELECT *, CASE WHEN least IS NULL THEN 0 ELSE total - strlen(least) - {_NOTE} END AS saving FROM l),
+w AS (SELECT *, size - coalesce(sum(saving) OVER (PARTITION BY request ORDER BY total DESC, block DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+k AS (SELECT *, CASE WHEN least IS NOT NULL AND before > {MOST} THEN greatest(total - (before - {MOST} + {MARGIN}), {FLOOR}) END AS keep FROM w),
+c AS (SELECT *, CASE WHEN keep = {FLOOR} THEN least WHEN keep > {FLOOR} THEN {_cut("text", "keep")} END AS part FROM k),
+o AS (SELECT *, sum(CASE WHEN part IS NULL THEN total ELSE strlen(part) + {_NOTE} END) OVER (PARTITION BY request) + {REST} AS after FROM c),
+r AS (SELECT *, CASE WHEN size <= {MOST} THEN 'fits' WHEN after <= {MOST} THEN 'shrunk' ELSE 'refused' END AS outcome FROM o)
+SELECT request, block, CAST(total AS INTEGER) AS total, CAST(CASE WHEN outcome = 'shrunk' AND part IS NOT NULL THEN strlen(part) ELSE total END AS INTEGER) AS kept, outcome FROM r""")
+def requests_shrunk(spark, d):
+    """Conversations as requests of at most 900 bytes, a block for each turn."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("request"), F.col("turn").alias("block"), "text")
+    return requests.shrunk(rows, MOST, REST, FLOOR, MARGIN).drop("text")
