@@ -9,6 +9,7 @@ from quillspark.operators import audit, requests
 from quillspark.operators.records import numbered
 from quillspark.plans.registry import query
 from quillspark.sources.records import table
+from quillspark.streaming import finals
 
 #: A key for these queries alone.
 KEY, SIZE = b"a key that only these queries use", 100
@@ -82,3 +83,16 @@ def requests_shrunk(spark, d):
     """Conversations as requests of at most 900 bytes, a block for each turn."""
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("request"), F.col("turn").alias("block"), "text")
     return requests.shrunk(rows, MOST, REST, FLOOR, MARGIN).drop("text")
+
+
+@query(f"""WITH a AS (SELECT o_custkey % 25 AS author, o_orderkey AS seq, CAST(o_custkey AS VARCHAR) AS "case", CASE o_orderstatus WHEN 'P' THEN 'forget' ELSE 'final' END AS action, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS n, CAST(floor(o_totalprice) AS BIGINT) AS x FROM orders),
+r AS (SELECT *, sum(CASE WHEN action = 'final' AND n > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY author ORDER BY seq ROWS UNBOUNDED PRECEDING) AS at_ FROM a), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY author, "case" ORDER BY seq DESC) = 1),
+m AS (SELECT author, max(at_) AS most FROM r GROUP BY 1), w AS (SELECT l.*, CASE WHEN action = 'final' AND n > 0 THEN pow({finals.FADE}, most - at_) ELSE 0 END AS w FROM l JOIN m USING (author)),
+s AS (SELECT author, CAST(sum(CASE WHEN action = 'final' AND n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS finished, sum(w) AS n, sum(w * x) AS t, sum(w * x * x) AS q FROM w GROUP BY 1)
+SELECT author, finished, round(n, 4) AS n, round(t / n, 2) AS mean, round(CASE WHEN n > 1 THEN sqrt(greatest(q - t * t / n, 0) / (n - 1)) ELSE 0 END, 1) AS sd FROM s""")
+def finals_learned(spark, d):
+    """Orders as finished reports of 25 authors, a case for each customer; pending ones take back what the case taught."""
+    o, x = table(spark, d, "orders"), F.floor("o_totalprice").cast("long")
+    n = F.when(F.col("o_orderkey") % 7 == 0, 0).otherwise(1)
+    rows = o.select((F.col("o_custkey") % 25).alias("author"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").cast("string").alias("case"), F.when(F.col("o_orderstatus") == "P", "forget").otherwise("final").alias("action"), n.alias("n"), x.alias("total"), (x * x).alias("squares"))
+    return finals.moments(rows).select("author", "finished", F.round("n", 4).alias("n"), F.round("mean", 2).alias("mean"), F.round("sd", 1).alias("sd"))
