@@ -26,18 +26,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe
-from quillspark.llm.common import SLICE_ROWS, freed, map_texts, small_batches, stored, table, texts_of
+from quillspark.llm.common import SLICE_ROWS, freed, small, small_batches, stored, table, texts_of
 
 #: Bytes of text of a bundle, about. A bundle's task holds its different pieces in memory.
 BUNDLE_BYTES = 32 << 20
 #: A space of which neither neighbour is a space, with no white space of any kind behind it. Java's form and Python's.
 CUT, PY_CUT = r" (?<=[^ ] )(?=[^\s\p{Z}\x{85}\x1c-\x1f])", re.compile(r" (?<=[^ ] )(?=\S)")
+#: What a text must hold for it to matter which of its spaces are cut at: in others all are.
+ODD, PY_ODD = r" (?:[\s\p{Z}\x{85}\x1c-\x1f]|\z)|\A ", re.compile(r" (?:\s|\Z)|\A ")
 SPACE = "▁"
-TOKENS = "id long, a array<int>, a_sizes array<int>, b array<int>, b_sizes array<int>"
+TOKENS = ("a", "a_sizes", "b", "b_sizes")
+#: Letters under which a text is encoded by rank: that takes time by the square of a word's length.
+QUICK = 1_000
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -63,30 +68,58 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Bytes:
+    """The A tokenizer. Where its ids stand in the order of its merges, a library encodes short texts by rank, in less time."""
+
+    def __init__(self, path: str):
+        self.own = bpe.tokenizer(path)
+        self.bytes_of = self.own.bytes_of
+        made = [i for i, rank in enumerate(self.own.rank) if rank >= 0]
+        in_order = all(self.own.rank[i] < self.own.rank[j] for i, j in zip(made, made[1:], strict=False)) and (not made or made[0] >= 256)
+        ranks = {x: i for i, x in enumerate(self.bytes_of) if x and i not in self.own.special.values()}
+        self.quick = tiktoken.Encoding("a", pat_str=bpe.WORDS, mergeable_ranks=ranks, special_tokens={}) if in_order else None
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a space and the text; strings of special tokens are plain text."""
+        if self.quick and len(text) < QUICK:
+            return self.quick.encode_ordinary(" " + text)
+        return np.frombuffer(self.own._encode_plain(" " + text), np.int32).tolist()
+
+
+@functools.lru_cache(2)
+def byte_tokens(path: str) -> Bytes:
+    return Bytes(path)
+
+
 def encoded(texts: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """id, a, a_sizes, b, b_sizes of rows id, text: the ids of both sides and how many bytes each token has. Texts go without the space."""
+    """The rows (id, text and other columns) with a, a_sizes, b, b_sizes: the ids of both sides and how many bytes each token has. Texts go without the space."""
     a_path, b_path = a_path or bpe.default_path(), b_path or default_path()
+    small_batches(texts.sparkSession)
+    at = texts.columns.index("text")
 
-    def start():
-        a, b = bpe.tokenizer(a_path), pieces(b_path)
-
-        def work(ids, texts):
-            out = {"id": ids, "a": [], "a_sizes": [], "b": b.model.encode(texts, num_threads=1), "b_sizes": []}
-            for text, of_b in zip(texts, out["b"], strict=True):
-                of_a = np.frombuffer(a._encode_plain(" " + text), np.int32).tolist()
-                whole = b" " + text.encode()
-                bytes_a, bytes_b = [a.bytes_of[i] for i in of_a], [b.bytes_of[i] for i in of_b]
-                if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
-                    raise ValueError(f"tokens don't give back the bytes of {text[:50]!r}")
-                out["a"].append(of_a)
-                out["a_sizes"].append([len(x) for x in bytes_a])
-                out["b_sizes"].append([len(x) for x in bytes_b])
-            return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = byte_tokens(a_path), pieces(b_path)
+        for batch in batches:
+            said = batch.column(at).to_pylist()
+            of_b = b.model.encode(said, num_threads=1)
+            of_a = [a.encode(text) for text in said]
+            sizes = []
+            for ids, bytes_of in ((of_a, a.bytes_of), (of_b, b.bytes_of)):
+                each = [[bytes_of[i] for i in x] for x in ids]
+                for text, x in zip(said, each, strict=True):
+                    if b"".join(x) != b" " + text.encode():
+                        raise ValueError(f"tokens don't give back the bytes of {text[:50]!r}")
+                sizes.append([list(map(len, x)) for x in each])
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (of_a, sizes[0], of_b, sizes[1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], schema=arrow)
+        a.own.forget()
 
-        work.done = a.forget
-        return work
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    return map_texts(texts.select("id", "text"), start, TOKENS)
+    schema = StructType([*texts.schema.fields, *(StructField(c, ArrayType(IntegerType())) for c in TOKENS)])
+    arrow = to_arrow_schema(schema)
+    return texts.mapInArrow(run, schema)
 
 
 @contextlib.contextmanager
@@ -117,23 +150,24 @@ def cuts(dealt: DataFrame) -> DataFrame:
 
 
 def grouped(tokens: DataFrame) -> DataFrame:
-    """id, groups (a1,a2|b1;a3|b2), links (array of a, b), n_a, n_b of tokens (see encoded).
+    """id and other columns, groups (a1,a2|b1;a3|b2), links (array of a, b), n_a, n_b of tokens (see encoded).
 
     Documents are dealt out once, with their tokens as arrays; under joined_in_place no token is shuffled as a row after that.
     A group's tokens are those from the cut before it up to its own.
     """
     dealt = tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    more = [c for c in tokens.columns if c not in ("id", *TOKENS)]
     at = cuts(dealt).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("grp", "at_a", "at_b"))).alias("cuts"))
-    rows = dealt.select("id", "a", "b").join(at, "id")
+    rows = dealt.select("id", *more, "a", "b").join(at, "id")
 
     def said(c: Column, i: Column, side: str) -> Column:
         begin = F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)[f"at_{side}"] + 1)
         return F.array_join(F.slice(f"said_{side}", begin + 1, c[f"at_{side}"] - begin + 1), ",")
 
-    told = rows.select("*", F.explode(F.array(F.struct(F.col("a").cast("array<string>").alias("said_a"), F.col("b").cast("array<string>").alias("said_b")))).alias("s")).select("id", "a", "b", "cuts", "s.*")
+    told = rows.select("*", F.explode(F.array(F.struct(F.col("a").cast("array<string>").alias("said_a"), F.col("b").cast("array<string>").alias("said_b")))).alias("s")).select("id", *more, "a", "b", "cuts", "s.*")
     groups = F.array_join(F.transform("cuts", lambda c, i: F.concat_ws("|", said(c, i, "a"), said(c, i, "b"))), ";")
     links = F.transform("cuts", lambda c: F.struct(F.get("a", c["at_a"]).alias("a"), F.get("b", c["at_b"]).alias("b")))
-    return told.select("id", groups.alias("groups"), links.alias("links"), F.size("a").alias("n_a"), F.size("b").alias("n_b"))
+    return told.select("id", *more, groups.alias("groups"), links.alias("links"), F.size("a").alias("n_a"), F.size("b").alias("n_b"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -150,13 +184,14 @@ def piece_rows(counts: DataFrame, a_path: str | None = None, b_path: str | None
     with joined_in_place(counts.sparkSession):
         put = stored(grouped(tokens), "groups", "zstd")
     freed(tokens)
-    links = put.select("id", F.explode("links").alias("l")).select("id", "l.a", "l.b")
-    pairs = stored(pair_counts(links.join(units.select("id", "n"), "id")), "pairs")
-    sums = links.join(pairs, ["a", "b"]).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("int")).alias("n_best"), F.sum("n").alias("count_sum"))
-    rows = units.select("id", "text", "bundles").join(put.select("id", "groups", F.size("links").alias("n_groups"), "n_a", "n_b"), "id").join(sums, "id")
+    freed(units)
+    links = put.select("id", "n", F.explode("links").alias("l")).select("id", "n", "l.a", "l.b")
+    pairs = stored(pair_counts(links), "pairs")
+    sums = links.drop("n").join(small(pairs), ["a", "b"]).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("int")).alias("n_best"), F.sum("n").alias("count_sum"))
+    rows = put.select("id", "text", "bundles", "groups", F.size("links").alias("n_groups"), "n_a", "n_b").join(sums, "id")
     out = stored(rows.select("text", "bundles", "groups", *NUMBERS), "piece_rows", "zstd")
-    for done in (units, put, pairs):
-        freed(done)
+    freed(put)
+    freed(pairs)
     return out
 
 
@@ -169,7 +204,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     bundles = -(-max(size, 1) // BUNDLE_BYTES)
     good = F.col("text").isNotNull() & (F.col("text") != "") & ~F.contains(F.col("text"), F.lit(SPACE))
     rows = rows.select("doc_id", F.when(good, F.col("text")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(bundles)).cast("int").alias("bundle"))
-    counts = stored(rows.where("text is not null").select("bundle", F.explode(F.split("text", CUT)).alias("text")).groupBy("bundle", "text").agg(F.count(F.lit(1)).alias("n")), "counts", "zstd")
+    counts = stored(rows.where("text is not null").select("bundle", F.explode(F.when(F.col("text").rlike(ODD), F.split("text", CUT)).otherwise(F.split("text", " "))).alias("text")).groupBy("bundle", "text").agg(F.count(F.lit(1)).alias("n")), "counts", "zstd")
     pieces_of = piece_rows(counts, a_path, b_path)
     freed(counts)
     # both kinds of row in few columns: a piece's numbers go in one string before its groups
@@ -196,7 +231,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
                         continue
                     if summed is None:
                         summed, numbers = np.array(numbers, np.int64).reshape(-1, len(NUMBERS)), []
-                    found = [] if text is None else [place[x] for x in PY_CUT.split(text)]
+                    found = [] if text is None else [place[x] for x in (PY_CUT.split(text) if PY_ODD.search(text) else text.split(" "))]
                     for c, v in zip(NUMBERS, summed[found].sum(axis=0).tolist() if found else [0] * len(NUMBERS), strict=True):
                         out[c].append(v)
                     groups = ";".join([said_of[x] for x in found])

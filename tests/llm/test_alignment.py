@@ -23,6 +23,10 @@ TEXTS = [
     "holds ▁ itself",
     "<0x41> <0x0A>\n<unk>",
     "a\x00b \x85 \x1c c",
+    "x \u00a0y z\u2003 w",
+    " lead",
+    "trail ",
+    "ééé" * 700 + " " + "long" * 600,
     "unbelievable internationalisation ciónñ ÉCHMENTTRE!! 555-7405 was.\nerwhatst",
 ]
 
@@ -87,7 +91,7 @@ def test_whole_texts_align_as_by_the_libraries(spark, monkeypatch):
 
 
 def test_groups_and_links_of_two_sides(spark):
-    tokens = spark.createDataFrame([(1, [10, 11, 12], [1, 2, 1], [20, 21], [3, 1]), (2, [10], [2], [20, 21], [1, 1])], alignment.TOKENS)
+    tokens = spark.createDataFrame([(1, [10, 11, 12], [1, 2, 1], [20, 21], [3, 1]), (2, [10], [2], [20, 21], [1, 1])], "id long, a array<int>, a_sizes array<int>, b array<int>, b_sizes array<int>")
     rows = {r.id: r for r in alignment.grouped(tokens).collect()}
     assert rows[1].groups == "10,11|20;12|21" and {tuple(x) for x in rows[1].links} == {(11, 20), (12, 21)}
     assert rows[2].groups == "10|20,21" and [tuple(x) for x in rows[2].links] == [(10, 21)]
