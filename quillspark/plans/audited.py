@@ -9,7 +9,7 @@ from quillspark.operators import audit, requests
 from quillspark.operators.records import numbered
 from quillspark.plans.registry import query
 from quillspark.sources.records import table
-from quillspark.streaming import finals
+from quillspark.streaming import blocks, finals
 
 #: A key for these queries alone.
 KEY, SIZE = b"a key that only these queries use", 100
@@ -96,3 +96,21 @@ def finals_learned(spark, d):
     n = F.when(F.col("o_orderkey") % 7 == 0, 0).otherwise(1)
     rows = o.select((F.col("o_custkey") % 25).alias("author"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").cast("string").alias("case"), F.when(F.col("o_orderstatus") == "P", "forget").otherwise("final").alias("action"), n.alias("n"), x.alias("total"), (x * x).alias("squares"))
     return finals.moments(rows).select("author", "finished", F.round("n", 4).alias("n"), F.round("mean", 2).alias("mean"), F.round("sd", 1).alias("sd"))
+
+
+@query(r"""WITH c AS (SELECT conv_id || '/' || turn AS stream_id, (conv_id + turn) % 6 AS k, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations), t AS (SELECT *, CASE WHEN k = 0 THEN text ELSE left(text, 2 * (n // 3)) END AS said FROM c)
+SELECT stream_id, CASE k WHEN 0 THEN 'done' WHEN 1 THEN 'bad event' WHEN 2 THEN 'block started twice' WHEN 3 THEN 'cut' WHEN 4 THEN 'error: overloaded' ELSE 'delta before its block' END AS state, said AS text, '' AS thinking, '[]' AS inputs, CASE WHEN k = 0 THEN 'end_turn' END AS stop_reason, CASE WHEN k = 0 THEN n END AS output_tokens,
+CAST(len(list_filter(regexp_split_to_array(said, '\s+'), lambda x: x <> '')) AS BIGINT) AS words FROM t""")
+def assembled_blocks(spark, d):
+    """Each turn of a conversation as a message in events, five of six with something wrong in the middle."""
+    c = table(spark, d, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("stream_id"), ((F.col("conv_id") + F.col("turn")) % 6).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    event = lambda kind, *more: F.to_json(F.struct(F.lit(kind).alias("type"), *more))
+    index = lambda i: F.lit(i).alias("index")
+    text = lambda piece, i=0: event("content_block_delta", index(i), F.struct(F.lit("text_delta").alias("type"), piece.alias("text")).alias("delta"))
+    begin = event("content_block_start", index(0), F.struct(F.lit("text").alias("type")).alias("content_block"))
+    wrong = F.when(F.col("k") == 1, F.lit("{bad")).when(F.col("k") == 2, begin).when(F.col("k") == 4, event("error", F.struct(F.lit("overloaded").alias("type")).alias("error"))).when(F.col("k") == 5, text(F.lit("x"), 7)).otherwise(event("ping"))
+    end = event("message_delta", F.struct(F.lit("end_turn").alias("stop_reason")).alias("delta"), F.struct(F.length("text").alias("output_tokens")).alias("usage"))
+    parts = F.array(event("message_start"), begin, text(F.substring("text", F.lit(1), third)), text(F.substring("text", third + 1, third)), wrong, text(F.substring("text", 2 * third + 1, F.length("text"))), event("content_block_stop", index(0)), end, event("message_stop"))
+    rows = c.select("stream_id", "k", F.posexplode(parts).alias("seq", "data")).where("not (k = 3 and seq = 4)")
+    return blocks.assembled(rows.select("stream_id", F.col("seq").cast("long").alias("seq"), "data"))
