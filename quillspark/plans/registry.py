@@ -330,6 +330,19 @@ def request_limit(spark, d):
     return folds.limited(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").alias("at")), 2, DAY_S)
 
 
+WAIT_S = 20_000
+_BEGINS = f"CASE WHEN len(a.sent) < 2 THEN x.t ELSE greatest(x.t, a.sent[len(a.sent) - 1] + {DAY_S}000000) END"
+
+
+@query(f"""WITH k AS (SELECT user_id AS key, list({{'id': event_id, 't': epoch_us(ts), 'sent': []::BIGINT[], 'out': []::STRUCT(id BIGINT, ok BOOLEAN, w BIGINT)[]}} ORDER BY ts, event_id) AS l FROM events GROUP BY 1),
+f AS (SELECT key, list_reduce(list_prepend({{'id': -1::BIGINT, 't': 0::BIGINT, 'sent': []::BIGINT[], 'out': []::STRUCT(id BIGINT, ok BOOLEAN, w BIGINT)[]}}, l),
+  lambda a, x: {{'id': x.id, 't': x.t, 'sent': CASE WHEN {_BEGINS} - x.t <= {WAIT_S}000000 THEN list_append(a.sent, {_BEGINS}) ELSE a.sent END, 'out': list_append(a.out, {{'id': x.id, 'ok': {_BEGINS} - x.t <= {WAIT_S}000000, 'w': {_BEGINS} - x.t}})}}).out AS o FROM k),
+u AS (SELECT key, unnest(o) AS o FROM f) SELECT o.id AS id, key, o.ok AS accepted, o.w AS wait_us FROM u""")
+def request_waits(spark, d):
+    """Two requests a day for each user; others wait for up to 20,000 seconds, or are refused."""
+    return folds.waited(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").alias("at")), 2, DAY_S, WAIT_S)
+
+
 @query(f"""WITH e AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) AS t, CASE WHEN event_type = 'error' THEN 'busy' WHEN event_type <> 'signup' THEN 'up' ELSE 'none' END AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 l AS (SELECT key, list({{'id': id, 't': t, 'o': o}} ORDER BY i) AS l FROM e GROUP BY 1),
 f AS (SELECT key, list_reduce(list_prepend({{'id': -1::BIGINT, 't': 0::BIGINT, 'o': '', 'busy': 0, 'until': NULL::BIGINT, 'out': []::STRUCT(id BIGINT, ok BOOLEAN, w BIGINT)[]}}, list_transform(l, lambda x: {{'id': x.id, 't': x.t, 'o': x.o, 'busy': 0, 'until': NULL::BIGINT, 'out': []::STRUCT(id BIGINT, ok BOOLEAN, w BIGINT)[]}})),

@@ -27,6 +27,35 @@ def test_refused_requests_do_not_count(spark):
     assert {tuple(r) for r in folds.limited(rows).collect()} == {(large, 1, True, None), (None, None, False, None)}
 
 
+def test_waiting_requests_go_in_turn_or_are_refused(spark):
+    rows = [(1, 1, at(0)), (2, 1, at(10)), (3, 1, at(11)), (4, 1, at(12)), (5, 1, at(13)), (6, 1, at(100)), (7, 2, at(0)), (8, 1, None), (9, None, at(5))]
+    got = answers(folds.waited(spark.createDataFrame(rows, "id long, key long, at timestamp"), 2, 60, 50))
+    # 3 and 4 wait for 1 and 2 to leave; 5 would wait until 120; 6 comes when only 4 is still in
+    assert got == {1: (True, 0), 2: (True, 0), 3: (True, 49), 4: (False, 58), 5: (False, 57), 6: (True, 0), 7: (True, 0), 8: (False, None), 9: (True, 0)}
+    assert folds.waited(spark.createDataFrame([], "id long, key long, at timestamp")).count() == 0
+
+
+def test_a_key_with_most_rows_is_cut_where_its_state_is_empty(spark):
+    import random
+
+    rnd, now, rows = random.Random(4), 0, []
+    for i in range(6_000):
+        now += rnd.choice([0, 1, 3, 20, 160])
+        rows.append((i, 1 if rnd.random() < 0.8 else rnd.choice([2, 3, None]), None if rnd.random() < 0.01 else at(now)))
+    df = spark.createDataFrame(rows, "id long, key long, at timestamp").repartition(5)
+    micros = df.select("id", "key", F.unix_micros("at").alias("at"))
+    cut = folds.pieces(micros, 150 * folds.SECOND)
+    sizes = sorted(r["count"] for r in cut.groupBy("piece").count().collect())
+    assert sum(sizes) == 6_000 and sizes[-1] < 200 and not cut.groupBy("piece").agg(F.count_distinct(F.coalesce("key", F.lit(-1))).alias("n")).where("n > 1").count()
+    order = lambda r: (r[1] if r[1] is not None else -1, r[2] is not None, r[2] or T, r[0])
+    for most, mine, step in ((2, folds.limited(df, 2, 60), lambda s, t: folds.take(s, t, 2, 60_000_000)), (3, folds.waited(df, 3, 60, 90), lambda s, t: folds.place(s, t, 3, 60_000_000, 90_000_000))):
+        want, state, key = {}, [], object()
+        for i, k, t in sorted(rows, key=order):
+            state, key = (state, key) if k == key else ([], k)
+            want[i] = step(state, None if t is None else round((t - T).total_seconds() * 1e6))
+        assert {r.id: (r.accepted, r.wait_us) for r in mine.collect()} == want, most
+
+
 def test_a_stream_keeps_its_window(spark, tmp_path):
     schema = "id long, key long, at timestamp"
     for rows in ([(1, 1, at(0)), (2, 1, at(10))], [(3, 1, at(59)), (4, 1, at(60))]):
