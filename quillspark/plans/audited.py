@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import audit, requests
+from quillspark.operators import audit, nested, requests
 from quillspark.operators.records import numbered
 from quillspark.plans.registry import query
 from quillspark.sources.records import table
@@ -114,3 +114,14 @@ def assembled_blocks(spark, d):
     parts = F.array(event("message_start"), begin, text(F.substring("text", F.lit(1), third)), text(F.substring("text", third + 1, third)), wrong, text(F.substring("text", 2 * third + 1, F.length("text"))), event("content_block_stop", index(0)), end, event("message_stop"))
     rows = c.select("stream_id", "k", F.posexplode(parts).alias("seq", "data")).where("not (k = 3 and seq = 4)")
     return blocks.assembled(rows.select("stream_id", F.col("seq").cast("long").alias("seq"), "data"))
+
+
+@query("""WITH b AS (SELECT conv_id AS id, CASE WHEN conv_id % 7 = 0 THEN '{' ELSE CAST(to_json({'conv': conv_id, 'turns': list({'role': role, 'parts': [[{'text': coalesce(text, ''), 'n': turn}]]} ORDER BY turn, role, text)}) AS VARCHAR) END AS body FROM conversations GROUP BY conv_id)
+SELECT t.id, j.fullkey AS path, j.value ->> '$' AS value FROM (SELECT * FROM b WHERE body <> '{') t, json_tree(t.body) j WHERE j.type = 'VARCHAR' UNION ALL SELECT id, 'bad', NULL FROM b WHERE body = '{'""")
+def nested_strings(spark, d):
+    """All strings of conversations as nested JSON, and the bodies that are no JSON."""
+    turn = F.struct(F.col("turn"), F.col("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), F.array(F.array(F.struct(t["text"].alias("text"), t["turn"].alias("n")))).alias("parts")))
+    per = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(turns.alias("turns"))
+    bodies = per.select("id", F.when(F.col("id") % 7 == 0, "{").otherwise(F.to_json(F.struct(F.col("id").alias("conv"), "turns"))).alias("body"))
+    return nested.strings(bodies).unionByName(nested.bad(bodies).select("id", F.lit("bad").alias("path"), F.lit(None).cast("string").alias("value")))
