@@ -21,6 +21,41 @@ def document_date(text: Column) -> Column:
     return F.array_max(F.filter(F.concat(ours, iso), lambda d: F.year(d).between(1900, 2100)))
 
 
+#: Fixed values.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+#: Digits in up to three parts, and a month by name with what may be a year.
+DATE_RUN, MONTH_RUN = r"[0-9]+(?:[./\-][0-9]+){0,2}", rf"(?:{'|'.join(MONTHS)})[ ,]*[0-9]+"
+
+
+def document_month(text: Column) -> Column:
+    """yyyy-MM of the latest date written on a line that isn't about a birth; null where there is none.
+
+    Reads d.m.yyyy and d.m.yy (with dots, slashes or hyphens), m/yyyy, and a month by name before a year. Years are from 1990 to 2099;
+    two digits are of this century under 50, else of the last.
+    """
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~F.lower(x).rlike("|".join(BIRTH)))
+    kept = F.array_join(lines, "\n")
+
+    def month(m: Column, year: Column) -> Column:
+        return F.when(m.between(1, 12) & year.between(1990, 2099), year * 100 + m)
+
+    def numeric(run: Column) -> Column:
+        parts = F.split(run, r"[./\-]")
+        n = lambda i: F.get(parts, F.lit(i)).try_cast("int")
+        size = lambda i: F.length(F.get(parts, F.lit(i)))
+        short = n(2) + F.when(n(2) < 50, 2000).otherwise(1900)
+        full = F.when(n(0).between(1, 31), month(n(1), F.when(size(2) == 4, n(2)).when(size(2) == 2, short)))
+        return F.when(F.size(parts) == 3, full).when((F.size(parts) == 2) & (size(1) == 4), month(n(0), n(1)))
+
+    def named(run: Column) -> Column:
+        year, name = F.regexp_extract(run, "[0-9]+$", 0), F.regexp_extract(run, "^[A-Za-z]+", 0)
+        return F.when(F.length(year) == 4, month(F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("int"), year.try_cast("int")))
+
+    found = F.concat(F.transform(F.regexp_extract_all(kept, F.lit(DATE_RUN), F.lit(0)), numeric), F.transform(F.regexp_extract_all(kept, F.lit(MONTH_RUN), F.lit(0)), named))
+    latest = F.array_max(found)
+    return F.concat(F.floor(latest / 100).cast("string"), F.lit("-"), F.lpad((latest % 100).cast("string"), 2, "0"))
+
+
 def guess(text: Column, keywords: dict[str, list[str]], head: int = 800) -> Column:
     """The first kind one of whose words stands in the text's head; 'table' where over a fifth of its tokens are numbers, else 'other'."""
     start = F.lower(F.left(F.coalesce(text, F.lit("")), F.lit(head)))

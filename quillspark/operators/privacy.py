@@ -66,8 +66,8 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def kinds_found(text: Column) -> Column:
-    """The kinds of detail that stand in a text, in order; tags are blanked first."""
-    rest = blank_tags(folded(text))
+    """The kinds of detail that stand in a text, in order; characters that show nothing are taken out and tags blanked first."""
+    rest = blank_tags(without_invisible(folded(text)))
     out = []
     for kind, rule in RULES.items():
         out.append(F.when(rest.rlike(rule), F.lit(kind)))
@@ -134,6 +134,33 @@ def gate(bodies: DataFrame, own_tags: list[str], canaries: list[str], max_bytes:
     return rows.select("id", F.array_join("reasons", ",").alias("reasons"), F.when(F.size("reasons") == 0, F.sha2(text.cast("binary"), 256)).alias("sha256"))
 
 
+def gate_with_names(bodies: DataFrame, gated: DataFrame, known: DataFrame, suspects: DataFrame, past: DataFrame, key: str) -> DataFrame:
+    """gated: see gate, of the same bodies (id, text; ids are distinct). id, reasons, sha256 with what patterns can't know.
+
+    known: name, payload, rank, declared names (identity, where one stands in the text in any form); suspects: id, word, resolved (suspect,
+    where one isn't resolved and its word still stands in the text); past: hash, keyed hashes of names of erased people, word by word, as
+    past_hash makes them (past_name). Invisible characters are taken out first.
+    """
+    from quillspark.operators import names
+    from quillspark.operators.edits import raw_words
+
+    texts = bodies.select("id", without_invisible(F.coalesce("text", F.lit(""))).alias("text"))
+    told = names.declared(texts.withColumnRenamed("id", "doc_id"), known).select(F.col("doc_id").alias("id"), F.lit("identity").alias("reason")).distinct()
+    words = texts.select("id", F.explode(F.array_distinct(F.transform(raw_words(F.col("text")), F.lower))).alias("word"))
+    open_ = suspects.where(~F.coalesce("resolved", F.lit(False))).select("id", F.lower("word").alias("word")).distinct()
+    left = words.join(open_, ["id", "word"], "left_semi").select("id", F.lit("suspect").alias("reason")).distinct()
+    gone = words.withColumn("hash", past_hash(F.col("word"), key)).join(small(past.select("hash").distinct()), "hash", "left_semi").select("id", F.lit("past_name").alias("reason")).distinct()
+    more = told.unionByName(left).unionByName(gone).groupBy("id").agg(F.array_sort(F.collect_list("reason")).alias("more"))
+    both = gated.join(more, "id", "left")
+    reasons = F.concat_ws(",", F.when(F.col("reasons") != "", F.col("reasons")), F.array_join("more", ","))
+    return both.select("id", F.when(F.col("more").isNull(), F.col("reasons")).otherwise(reasons).alias("reasons"), F.when(F.col("more").isNull(), F.col("sha256")).alias("sha256"))
+
+
+def past_hash(word: Column, key: str) -> Column:
+    """A keyed hash of a word in lower case."""
+    return F.sha2(F.concat(F.lit(key), F.lower(word)), 256)
+
+
 def without_refused_lines(text: Column) -> Column:
     """The lines in which the gate finds no detail."""
     clear = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~folded(x).rlike("|".join(RULES.values())))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import privacy, spans
+from quillspark.operators import edits, privacy, spans
 from quillspark.operators.text import words
 from quillspark.plans.registry import TODAY, WORDS, query
 from quillspark.sources.records import table
@@ -66,6 +66,28 @@ def gate_clear(spark, d):
     return privacy.gate(_detailed(spark, d).select(F.col("doc_id").alias("id"), body.alias("text")), ["[email]", "[role_1]"], ["zebrafish"], 4000)
 
 
+_WORD = edits.WORD.replace("'", "''")
+
+
+@query(rf"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text, list_transform(regexp_extract_all(coalesce(text, ''), '{_WORD}'), lambda x: lower(x)) AS l FROM documents),
+n AS (SELECT DISTINCT list_transform(regexp_extract_all(text, '{_WORD}'), lambda x: lower(x))[1:2 + item_id % 3] AS nw FROM benchmark), h AS (SELECT DISTINCT lower(list_last(regexp_extract_all(text, '{_WORD}'))) AS w FROM benchmark WHERE item_id % 10 = 0),
+e AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM d), a AS (SELECT DISTINCT id FROM e JOIN n ON l[i] = nw[1] WHERE l[i:i + len(nw) - 2] = nw[1:len(nw) - 1] AND regexp_replace(l[i + len(nw) - 1], '[''’][sס]$', '') = nw[len(nw)]),
+b AS (SELECT DISTINCT id FROM d WHERE id % 11 = 3 AND id % 22 <> 3 AND list_contains(l, 'the')), c AS (SELECT DISTINCT id FROM e JOIN h ON l[i] = w), s AS (SELECT id, 'identity' AS r FROM a UNION ALL SELECT id, 'suspect' FROM b UNION ALL SELECT id, 'past_name' FROM c),
+m AS (SELECT id, string_agg(r, ',' ORDER BY r) AS more FROM s GROUP BY id), g AS (SELECT id, text, CASE WHEN strlen(text) > 3000 THEN 'too_large' ELSE '' END AS reasons FROM d)
+SELECT id, CASE WHEN more IS NULL THEN reasons WHEN reasons = '' THEN more ELSE reasons || ',' || more END AS reasons, CASE WHEN more IS NULL AND reasons = '' THEN sha256(text) END AS sha256 FROM g LEFT JOIN m USING (id)""")
+def gate_names(spark, d):
+    """What stops each document beyond patterns: declared names, suspects that nobody resolved, names of erased people; and its size."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    bodies = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    w = edits.raw_words(F.col("text"))
+    known = items.select(F.array_join(F.slice(w, F.lit(1), (2 + F.col("item_id") % 3).cast("int")), " ").alias("name"), F.lit("x").alias("payload"), F.col("item_id").alias("rank"))
+    suspects = docs.where("doc_id % 11 = 3").select(F.col("doc_id").alias("id"), F.lit("The").alias("word"), (F.col("doc_id") % 22 == 3).alias("resolved"))
+    past = items.where("item_id % 10 = 0").select(privacy.past_hash(F.element_at(w, -1), "k").alias("hash"))
+    large = F.octet_length("text") > 3000
+    sized = bodies.select("id", F.when(large, "too_large").otherwise("").alias("reasons"), F.when(~large, F.sha2(F.col("text").cast("binary"), 256)).alias("sha256"))
+    return privacy.gate_with_names(bodies, sized, known, suspects, past, "k")
+
+
 @query("""WITH n AS (SELECT o_orderkey AS id, lpad(CAST((o_orderkey * 104729 + 17) % 1000000000 AS VARCHAR), 9, '0') AS digits FROM orders), s AS (SELECT *, list_transform(range(1, 10), lambda i: CAST(digits[i] AS INTEGER) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) AS v FROM n)
 SELECT id, digits, list_sum(list_transform(v, lambda x: CASE WHEN x > 9 THEN x - 9 ELSE x END)) % 10 = 0 AS valid FROM s""")
 def id_checksum(spark, d):

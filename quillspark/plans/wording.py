@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import edits, names
+from quillspark.operators import checks, edits, names
 from quillspark.operators.text import small
 from quillspark.plans.registry import query
 from quillspark.sources.records import table
@@ -58,3 +58,31 @@ def declared_names(spark, d):
     words = edits.raw_words(F.col("text"))
     rows = table(spark, d, "benchmark").select(F.array_join(F.slice(words, F.lit(1), (1 + F.col("item_id") % 6).cast("int")), " ").alias("name"), F.concat(F.lit("item_"), "item_id").alias("payload"), F.col("item_id").alias("rank"))
     return names.declared(table(spark, d, "documents"), rows)
+
+
+_DATED = """SELECT doc_id AS id, coalesce(text, '') || chr(10) || 'Born 1.1.2050' || chr(10) || CASE doc_id % 6 WHEN 0 THEN 'seen ' || (doc_id % 28 + 1) || '-' || (doc_id % 12 + 1) || '-' || (1990 + doc_id % 40) WHEN 1 THEN (doc_id % 31 + 1) || '.' || (doc_id % 14) || '.' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0')
+  WHEN 2 THEN 'of March, ' || (1985 + doc_id % 30) WHEN 3 THEN (doc_id % 12 + 1) || '/' || (2000 + doc_id % 20) || ' and 40/1/2001' WHEN 4 THEN 'in May 20011 or 1.2.3.2004' ELSE 'no date 12/5/85' END AS text FROM documents"""
+_RUN, _NAMED = checks.DATE_RUN, checks.MONTH_RUN
+
+
+@query(f"""WITH d AS ({_DATED}), k AS (SELECT id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(lower(x), 'born|birth|dob')), chr(10)) AS text FROM d),
+r AS (SELECT id, unnest(regexp_extract_all(text, '{_RUN}')) AS run FROM k), p AS (SELECT id, regexp_split_to_array(run, '[./\\-]') AS p FROM r),
+n AS (SELECT id, CASE len(p) WHEN 3 THEN CASE WHEN try_cast(p[1] AS INTEGER) BETWEEN 1 AND 31 THEN try_cast(p[2] AS INTEGER) END WHEN 2 THEN CASE WHEN length(p[2]) = 4 THEN try_cast(p[1] AS INTEGER) END END AS m,
+  CASE len(p) WHEN 3 THEN CASE length(p[3]) WHEN 4 THEN try_cast(p[3] AS INTEGER) WHEN 2 THEN try_cast(p[3] AS INTEGER) + CASE WHEN try_cast(p[3] AS INTEGER) < 50 THEN 2000 ELSE 1900 END END WHEN 2 THEN try_cast(p[2] AS INTEGER) END AS y FROM p
+  UNION ALL SELECT id, list_position({list(checks.MONTHS)!r}, regexp_extract(x, '^[A-Za-z]+')), CASE WHEN length(regexp_extract(x, '[0-9]+$')) = 4 THEN try_cast(regexp_extract(x, '[0-9]+$') AS INTEGER) END FROM (SELECT id, unnest(regexp_extract_all(text, '{_NAMED}')) AS x FROM k)),
+b AS (SELECT id, max(y * 100 + m) AS v FROM n WHERE m BETWEEN 1 AND 12 AND y BETWEEN 1990 AND 2099 GROUP BY id) SELECT d.id, CASE WHEN v IS NOT NULL THEN CAST(v // 100 AS VARCHAR) || '-' || lpad(CAST(v % 100 AS VARCHAR), 2, '0') END AS month FROM d LEFT JOIN b USING (id)""")
+def document_months(spark, d):
+    """The month of the latest date in each document, with a line of dates of every form added."""
+    i = F.col("doc_id")
+    s = lambda x: x.cast("string")
+    form = i % 6
+    line = (
+        F.when(form == 0, F.concat(F.lit("seen "), s(i % 28 + 1), F.lit("-"), s(i % 12 + 1), F.lit("-"), s(1990 + i % 40)))
+        .when(form == 1, F.concat(s(i % 31 + 1), F.lit("."), s(i % 14), F.lit("."), F.lpad(s(i % 100), 2, "0")))
+        .when(form == 2, F.concat(F.lit("of March, "), s(1985 + i % 30)))
+        .when(form == 3, F.concat(s(i % 12 + 1), F.lit("/"), s(2000 + i % 20), F.lit(" and 40/1/2001")))
+        .when(form == 4, "in May 20011 or 1.2.3.2004")
+        .otherwise("no date 12/5/85")
+    )
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nBorn 1.1.2050\n"), line)
+    return table(spark, d, "documents").select(i.alias("id"), checks.document_month(text).alias("month"))
