@@ -110,3 +110,34 @@ def learned(values: DataFrame, kept: int = 120, span: int = 30) -> DataFrame:
     rows = values.withColumn("r", r).where(F.col("r") <= kept)
     mean = lambda a, b: F.round(F.avg(F.when(F.col("r").between(a, b), F.col("x"))), 4)
     return rows.groupBy("key").agg(mean(1, span).alias("latest"), mean(span + 1, 2 * span).alias("before"))
+
+
+def list_lines(reports: DataFrame, least_words: int = 2, most_chars: int = 160) -> DataFrame:
+    """reports: id, text. id, place, line: the lines that may be items of a list, without mark and end: no brackets, no figures, not too short or long."""
+    raw = reports.where("id is not null").select("id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "raw"))
+    line = F.trim(F.regexp_replace(F.trim(unmarked(F.col("raw"))), "[.,;]+$", ""))
+    return raw.select("id", "place", line.alias("line")).where((F.regexp_count("line", F.lit(r"\S+")) >= least_words) & (F.length("line") <= most_chars) & ~F.col("line").rlike(r"[\[\]0-9]"))
+
+
+def list_items(reports: DataFrame, least: int, similarity: float = 0.8, small_words: tuple[str, ...] = ()) -> DataFrame:
+    """reports: id, text. item, reports, share, place, nth: lines that are alike, as one item, where `least` reports or more have it.
+
+    Lines are alike whose sets of words (without small ones) are as similar as asked for, and so are those that others connect. The
+    item is the wording that most reports have (then the first by letters); place is the median of where a report has it first, and
+    items are numbered by it. share is of the reports that have a list line at all.
+    """
+    from quillspark.operators.overlap import similar_items
+    from quillspark.operators.records import components, numbered, written
+
+    kept = F.array_except(F.array_sort(F.array_distinct(words("line"))), F.array(*map(F.lit, small_words)).cast("array<string>"))
+    lines = written(list_lines(reports).withColumn("w", F.array_join(kept, " ")).where("w <> ''"))
+    sets = written(lines.select("w").distinct().withColumn("set", F.monotonically_increasing_id()))
+    near = similar_items(sets.select(F.col("set").alias("id"), F.lit("line").alias("kind"), F.col("w").alias("text")), similarity)
+    rooted = sets.join(components(near), F.col("set") == F.col("node"), "left").select("w", F.coalesce("root", "set").alias("group"))
+    own = lines.join(rooted, "w")
+    wordings = own.groupBy("group", "line").agg(F.count_distinct("id").alias("n")).groupBy("group").agg(F.min(F.struct((-F.col("n")).alias("less"), "line")).alias("best"))
+    first = own.groupBy("group", "id").agg(F.min("place").alias("place"))
+    whole = lines.agg(F.count_distinct("id").alias("of"))
+    found = first.groupBy("group").agg(F.count(F.lit(1)).alias("reports"), F.percentile("place", 0.5).alias("place")).where(F.col("reports") >= least)
+    out = found.join(wordings, "group").crossJoin(F.broadcast(whole)).select(F.col("best.line").alias("item"), "reports", (F.col("reports") / F.col("of")).alias("share"), "place")
+    return numbered(out, ["place", "item"])

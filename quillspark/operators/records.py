@@ -148,3 +148,28 @@ def version_chain(drafts: DataFrame) -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.desc("depth"), "version")
     depth = up.groupBy(F.col("id").alias("version")).agg(F.count(F.lit(1)).alias("depth"))
     return up.withColumnRenamed("at", "version").join(depth, "version").withColumn("at", F.row_number().over(order) - 1).select("id", "version", "at")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: a, b (longs). node, root: the least node that each node can reach. Nodes without an edge to another are left out.
+
+    Each node sends its larger neighbours to its least one, then its smaller ones, until nothing changes; a step is a minimum
+    and a join by node, and no list of neighbours is gathered.
+    """
+
+    def towards_least(pairs: DataFrame, larger: bool) -> DataFrame:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else pairs
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        moved = both.where("b > a" if larger else "b < a").join(least, "a").where("b <> m")
+        sent = moved.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        return sent if larger else sent.unionByName(least.where("m < a").select("a", F.col("m").alias("b")))
+
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        now = written(towards_least(written(towards_least(now, True).distinct()), False).distinct())
+        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if state == before or not state[0]:
+            break
+        before = state
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

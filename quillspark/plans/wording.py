@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import checks, edits, names
-from quillspark.operators.text import small
+from quillspark.operators import checks, edits, mining, names
+from quillspark.operators.text import NOT_WORD, small
 from quillspark.plans.registry import query
 from quillspark.sources.records import table
 
@@ -86,3 +86,15 @@ def document_months(spark, d):
     )
     text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nBorn 1.1.2050\n"), line)
     return table(spark, d, "documents").select(i.alias("id"), checks.document_month(text).alias("month"))
+
+
+@query(rf"""WITH RECURSIVE r AS (SELECT conv_id * 100 + turn AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM conversations), x AS (SELECT id, i - 1 AS place, trim(regexp_replace(trim(regexp_replace(trim(l[i]), '^([-–•*]|[0-9]{{1,2}}[.)]) *', '')), '[.,;]+$', '')) AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM r)),
+y AS (SELECT *, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '{NOT_WORD}'), lambda v: v <> ''))), ' ') AS w FROM x WHERE len(regexp_extract_all(line, '\S+')) >= 2 AND length(line) <= 160 AND NOT regexp_matches(line, '[\[\]0-9]')), z AS (SELECT * FROM y WHERE w <> ''),
+s AS (SELECT w, string_split(w, ' ') AS l, row_number() OVER (ORDER BY w) AS n FROM (SELECT DISTINCT w FROM z)), p AS (SELECT a.n AS a, b.n AS b FROM s a JOIN s b ON a.n <> b.n WHERE len(list_intersect(a.l, b.l)) >= 0.6 * (len(a.l) + len(b.l) - len(list_intersect(a.l, b.l))) - 1e-9),
+c AS (SELECT n, n AS root FROM s UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.n), g AS (SELECT n, min(root) AS g FROM c GROUP BY n), o AS (SELECT z.*, g.g FROM z JOIN s USING (w) JOIN g USING (n)),
+k AS (SELECT g, line, count(DISTINCT id) AS n FROM o GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY g ORDER BY count(DISTINCT id) DESC, line) = 1), f AS (SELECT g, id, min(place) AS place FROM o GROUP BY 1, 2), u AS (SELECT count(DISTINCT id) AS total FROM z),
+m AS (SELECT g, count(*) AS reports, quantile_cont(place, 0.5) AS place FROM f GROUP BY 1 HAVING count(*) >= 2) SELECT line AS item, reports, reports / total AS share, place, row_number() OVER (ORDER BY place, line) AS nth FROM m JOIN k USING (g), u""")
+def list_items(spark, d):
+    """Lines that turns of conversations share, wordings that are alike as one."""
+    c = table(spark, d, "conversations")
+    return mining.list_items(c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text"), 2, 0.6)
