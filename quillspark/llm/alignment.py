@@ -245,7 +245,8 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
 
     schema = f"doc_id long, {', '.join(f'{c} long' for c in NUMBERS)}, {said} string"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    dealt = known.unionByName(texts).repartition(bundles, "bundle").sortWithinPartitions("bundle", "kind")
+    # a task for each bundle
+    dealt = known.unionByName(texts).repartitionById(bundles, F.col("bundle")).sortWithinPartitions("bundle", "kind")
     return dealt.mapInArrow(run, schema)
 
 
