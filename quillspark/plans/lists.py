@@ -94,10 +94,10 @@ def grouped_sentences(spark, d):
     return lists.sentences_of(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), {"a": "the", "b": "und"})
 
 
-@query(f"""WITH a AS (SELECT item_id AS id, unnest(list_distinct({WORDS})) AS word FROM benchmark), b AS (SELECT conv_id * 100 + turn AS at_, unnest(list_distinct({WORDS})) AS word FROM conversations WHERE conv_id % 7 = 0), s AS (SELECT id, at_, count(*) AS shared FROM a JOIN b USING (word) GROUP BY 1, 2)
+@query(f"""WITH a AS (SELECT item_id AS id, unnest(list_distinct({WORDS})) AS word FROM benchmark), b AS (SELECT conv_id * 100 + turn AS at_, unnest(list_distinct({WORDS})) AS word FROM conversations), s AS (SELECT id, at_, count(*) AS shared FROM a JOIN b USING (word) GROUP BY 1, 2)
 SELECT id, at_ AS "at", shared, CAST(row_number() OVER (PARTITION BY id ORDER BY shared DESC, at_) AS INTEGER) AS rank FROM s""")
 def ranked_candidates(spark, d):
-    b = table(spark, d, "conversations").where("conv_id % 7 = 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("at"), "text")
+    b = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("at"), "text")
     return lists.ranked(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), b)
 
 

@@ -56,13 +56,13 @@ BLANKED, BLANK_SEEN = _chain(f"SELECT doc_id AS id, body, array_to_string(list_t
 OWN = "['[email]', '[role_1]']"
 
 
-@query(f"""WITH x AS ({DETAILED}), y AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN coalesce(text, '') || ' [role_1] [other_2] 1234567' WHEN doc_id % 5 = 2 THEN '[email] ZEBRAFISH ' || left(coalesce(text, ''), 200) ELSE coalesce(text, '') END AS body FROM x), {BLANKED},
+@query(f"""WITH x AS ({DETAILED}), y AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN coalesce(text, '') || ' [role_1] [other_2] 1234567' WHEN doc_id % 5 = 2 THEN '[email] ZEBRAFISH ' || coalesce(text, '') ELSE coalesce(text, '') END AS body FROM x), {BLANKED},
 k AS (SELECT id, body, [{", ".join(f"CASE WHEN regexp_matches({t}.text, '{_rule(privacy.RULES[k])}') THEN 'pattern:{k}' END" for k, t in BLANK_SEEN)}] AS kinds FROM {" JOIN ".join(["t0"] + [f"(SELECT id, text FROM {t}) {t} USING (id)" for _, t in BLANK_SEEN[1:]])}),
 r AS (SELECT id, body, list_filter(list_concat(list_concat([CASE WHEN strlen(body) > 4000 THEN 'too_large' END], kinds), [CASE WHEN len(list_filter(regexp_extract_all(body, '{privacy.TAG}'), lambda x: NOT list_contains({OWN}, x))) > 0 THEN 'foreign_tag' END, CASE WHEN contains(lower(body), 'zebrafish') THEN 'canary' END]), lambda x: x IS NOT NULL) AS reasons FROM k)
 SELECT id, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN sha256(body) END AS sha256 FROM r""")
 def gate_clear(spark, d):
     text, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 5
-    body = F.when(k == 1, F.concat(text, F.lit(" [role_1] [other_2] 1234567"))).when(k == 2, F.concat(F.lit("[email] ZEBRAFISH "), F.left(text, F.lit(200)))).otherwise(text)
+    body = F.when(k == 1, F.concat(text, F.lit(" [role_1] [other_2] 1234567"))).when(k == 2, F.concat(F.lit("[email] ZEBRAFISH "), text)).otherwise(text)
     return privacy.gate(_detailed(spark, d).select(F.col("doc_id").alias("id"), body.alias("text")), ["[email]", "[role_1]"], ["zebrafish"], 4000)
 
 
@@ -214,10 +214,10 @@ def span_recall(spark, d):
     return privacy.span_quality(gold, found)
 
 
-@query(f"""WITH a AS (SELECT DISTINCT unnest({WORDS}) AS word FROM benchmark), b AS (SELECT DISTINCT unnest({WORDS}) AS name FROM conversations WHERE conv_id % 10 = 0) SELECT word, name FROM a, b WHERE regexp_full_match(word, '[a-z]+') AND regexp_full_match(name, '[a-z]+') AND abs(length(word) - length(name)) <= 1 AND word <> name AND levenshtein(word, name) = 1""")
+@query(f"""WITH a AS (SELECT DISTINCT unnest({WORDS}) AS word FROM benchmark), b AS (SELECT DISTINCT unnest({WORDS}) AS name FROM conversations) SELECT word, name FROM a, b WHERE regexp_full_match(word, '[a-z]+') AND regexp_full_match(name, '[a-z]+') AND abs(length(word) - length(name)) <= 1 AND word <> name AND levenshtein(word, name) = 1""")
 def misreads(spark, d):
     a = table(spark, d, "benchmark").select(F.explode(words("text")).alias("word"))
-    b = table(spark, d, "conversations").where("conv_id % 10 = 0").select(F.explode(words("text")).alias("name"))
+    b = table(spark, d, "conversations").select(F.explode(words("text")).alias("name"))
     return privacy.misreads(a.where("word rlike '^[a-z]+$'"), b.where("name rlike '^[a-z]+$'"))
 
 

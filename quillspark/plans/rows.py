@@ -141,12 +141,12 @@ def other_terms(spark, d):
     return mining.other_terms(texts, GROUPS, spark.createDataFrame([("join", "and"), ("aim", "for")], "group string, variant string")).distinct()
 
 
-@query("""SELECT o_orderkey AS id, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate END DESC NULLS LAST, o_orderkey) AS place FROM orders WHERE o_custkey = 11""")
+@query("""SELECT o_orderkey AS id, o_custkey AS case_id, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate END DESC NULLS LAST, o_orderkey) AS place FROM orders""")
 def record_order(spark, d):
-    o = table(spark, d, "orders").where("o_custkey = 11")
+    o = table(spark, d, "orders")
     setting = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
-    rows = o.select(F.col("o_orderkey").alias("id"), F.lit(11).alias("case_id"), setting.alias("setting"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate")).alias("date"))
-    return schedule.record_order(rows, ["case_id"]).select("id", "place")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("case_id"), setting.alias("setting"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate")).alias("date"))
+    return schedule.record_order(rows, ["case_id"]).select("id", "case_id", "place")
 
 
 @query("""SELECT l_orderkey AS material, l_linenumber AS section, CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_suppkey % 3 = 0 THEN 'added' WHEN l_linestatus = 'F' AND l_returnflag <> 'A' THEN 'suggested' WHEN l_returnflag = 'A' THEN CASE WHEN l_linenumber = 1 THEN 'table' END ELSE 'table' END AS feed FROM lineitem""")

@@ -81,13 +81,13 @@ def heading_sections(spark, d):
 FEATURES = "list_distinct([c_mktsegment, 'n' || c_nationkey, 'k' || (c_custkey % 23)])"
 
 
-@query(f"""WITH f AS (SELECT c_custkey AS id, {FEATURES} AS f FROM customer), p AS (SELECT a.id AS case_id, b.id AS report_id, round(len(list_intersect(a.f, b.f)) / (len(a.f) + len(b.f) - len(list_intersect(a.f, b.f))), 6) AS score, array_to_string(list_sort(list_intersect(a.f, b.f)), ',') AS shared FROM f a JOIN f b ON a.id % 20 = 0 AND b.id % 7 = 1 AND list_has_any(a.f, b.f))
+@query(f"""WITH f AS (SELECT c_custkey AS id, {FEATURES} AS f FROM customer), p AS (SELECT a.id AS case_id, b.id AS report_id, round(len(list_intersect(a.f, b.f)) / (len(a.f) + len(b.f) - len(list_intersect(a.f, b.f))), 6) AS score, array_to_string(list_sort(list_intersect(a.f, b.f)), ',') AS shared FROM f a JOIN f b ON a.id % 20 = 0 AND b.id % 20 <> 0 AND list_has_any(a.f, b.f))
 SELECT case_id, report_id, CAST(rank AS INTEGER) AS rank, score, score >= 0.3 AS similar, shared FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, report_id) AS rank FROM p) WHERE rank <= 3""")
 def section_library(spark, d):
     key = F.col("c_custkey")
     f = F.array("c_mktsegment", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("k"), (key % 23).cast("string")))
     rows = table(spark, d, "customer").select(key.alias("id"), f.alias("features"))
-    return overlap.library(rows.where("id % 20 = 0"), rows.where("id % 7 = 1"))
+    return overlap.library(rows.where("id % 20 = 0"), rows.where("id % 20 <> 0"))
 
 
 @query(f"""WITH a AS (SELECT item_id AS id, unnest(list_distinct({WORDS})) AS word FROM benchmark), b AS (SELECT conv_id AS source, turn AS at_, unnest(list_distinct({WORDS})) AS word FROM conversations), s AS (SELECT id, source, at_, count(*) AS shared FROM a JOIN b USING (word) GROUP BY ALL),
@@ -181,12 +181,12 @@ def sorted_passages(spark, d):
     return ignored.join(n, "material", "left").select("material", F.coalesce("kept", F.lit(0)).alias("kept"), "ignored")
 
 
-@query("""WITH s AS (SELECT CAST(o_orderkey AS INTEGER) AS nth, o_orderkey AS paragraph FROM orders WHERE o_orderkey < 3000), a AS (SELECT o_orderkey AS paragraph, CASE o_orderkey % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'unsupported' ELSE 'maybe' END AS verdict, ['s' || (o_orderkey % 9), 's1'] AS src FROM orders WHERE o_orderkey % 5 <> 0)
+@query("""WITH s AS (SELECT CAST(o_orderkey AS INTEGER) AS nth, o_orderkey AS paragraph FROM orders), a AS (SELECT o_orderkey AS paragraph, CASE o_orderkey % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'unsupported' ELSE 'maybe' END AS verdict, ['s' || (o_orderkey % 9), 's1'] AS src FROM orders WHERE o_orderkey % 5 <> 0)
 SELECT nth, s.paragraph, CASE WHEN verdict IN ('supported', 'unsupported') THEN verdict ELSE 'unchecked' END AS verdict, coalesce(array_to_string(list_sort(list_distinct(list_filter(src, lambda x: x IN ('s1', 's2', 's3')))), ','), '') AS sources FROM s LEFT JOIN a USING (paragraph)""")
 def verdicts(spark, d):
     key = F.col("o_orderkey")
     o = table(spark, d, "orders")
-    sent = o.where("o_orderkey < 3000").select(key.cast("int").alias("nth"), key.alias("paragraph"))
+    sent = o.select(key.cast("int").alias("nth"), key.alias("paragraph"))
     verdict = F.when(key % 4 == 0, "supported").when(key % 4 == 1, "unsupported").otherwise("maybe")
     answers = o.where("o_orderkey % 5 <> 0").select(key.alias("paragraph"), verdict.alias("verdict"), F.array(F.concat(F.lit("s"), (key % 9).cast("string")), F.lit("s1")).alias("sources"))
     return checks.verdicts(sent, answers, spark.createDataFrame([("s1",), ("s2",), ("s3",)], "source string"), ("supported", "unsupported"))
@@ -209,10 +209,10 @@ def score_steps(spark, d):
     return rows.select("value", scores.score_step(F.when(v % 5 == 0, "cars").otherwise("standard")).alias("step"), scores.notable(scale, F.col("value") - 100).alias("notable"))
 
 
-@query("""WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'set' || (l_suppkey % 4) AS s, 'm' || (l_partkey % 50) AS m, l_discount * 30 - 0.5 + CASE WHEN l_linenumber = 3 THEN 0.001 ELSE 0 END AS value FROM lineitem WHERE l_orderkey < 600), f AS (SELECT s, m, min(id) AS first FROM v GROUP BY ALL)
+@query("""WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'set' || (l_suppkey % 4) AS s, 'm' || (l_partkey % 50) AS m, l_discount * 30 - 0.5 + CASE WHEN l_linenumber = 3 THEN 0.001 ELSE 0 END AS value FROM lineitem), f AS (SELECT s, m, min(id) AS first FROM v GROUP BY ALL)
 SELECT id, reason FROM (SELECT id, CASE WHEN s = 'set3' THEN 'unknown_set' WHEN CAST(m[2:] AS INTEGER) >= 40 THEN 'unknown_measure' WHEN id <> first THEN 'twice' WHEN value <= 0 OR value > 2 OR abs(round(value * 100) - value * 100) > 1e-6 THEN 'bad_value' END AS reason FROM v JOIN f USING (s, m)) WHERE reason IS NOT NULL""")
 def critical_values(spark, d):
-    line = table(spark, d, "lineitem").where("l_orderkey < 600")
+    line = table(spark, d, "lineitem")
     name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     value = F.col("l_discount") * 30 - 0.5 + F.when(F.col("l_linenumber") == 3, 0.001).otherwise(0.0)
     values = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), name("set", F.col("l_suppkey") % 4).alias("set"), name("m", F.col("l_partkey") % 50).alias("measure"), value.alias("value"))
