@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import audit, nested, requests
-from quillspark.operators.records import numbered
+from quillspark.operators import audit, nested, requests, upkeep
+from quillspark.operators.records import numbered, shared
 from quillspark.plans.registry import query
 from quillspark.sources.records import table
 from quillspark.streaming import blocks, finals
@@ -125,3 +127,15 @@ def nested_strings(spark, d):
     per = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(turns.alias("turns"))
     bodies = per.select("id", F.when(F.col("id") % 7 == 0, "{").otherwise(F.to_json(F.struct(F.col("id").alias("conv"), "turns"))).alias("body"))
     return nested.strings(bodies).unionByName(nested.bad(bodies).select("id", F.lit("bad").alias("path"), F.lit(None).cast("string").alias("value")))
+
+
+@query("""WITH o AS (SELECT o_custkey AS person, o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS value, o_orderdate >= TIMESTAMP '1998-01-01' AS late FROM orders), l AS (SELECT DISTINCT person FROM o WHERE late)
+SELECT person, count(*) AS sheets, max(value) AS most, min(id) AS first, CASE WHEN person IN (SELECT person FROM l) THEN 2 ELSE 1 END AS version FROM o GROUP BY person""")
+def comparisons_refreshed(spark, d):
+    """A figure of each customer's orders, made from those before 1998 and then kept up with the later ones: only customers with later orders are written again."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("person"), F.col("o_orderkey").alias("id"), F.floor("o_totalprice").cast("long").alias("value"), (F.to_date("o_orderdate") >= F.lit("1998-01-01")).alias("late"))
+    kept = upkeep.Derived(spark, f"{shared(spark)}/derived-{uuid.uuid4().hex}", "person", lambda rows: rows.groupBy("person").agg(F.count(F.lit(1)).alias("sheets"), F.max("value").alias("most"), F.min("id").alias("first")), "person long, sheets long, most long, first long")
+    early = o.where("not late")
+    kept.refresh(early, early.select("person"), 1)
+    kept.refresh(o, o.where("late").select("person"), 2)
+    return kept.current()
