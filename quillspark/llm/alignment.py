@@ -34,7 +34,7 @@ from quillspark.llm import bpe
 from quillspark.llm.common import SLICE_ROWS, freed, small, small_batches, stored, table, texts_of
 
 #: Bytes of text of a bundle, about. A bundle's task holds its different pieces in memory.
-BUNDLE_BYTES = 32 << 20
+BUNDLE_BYTES = 64 << 20
 #: A space of which neither neighbour is a space, with no white space of any kind behind it. Java's form and Python's.
 CUT, PY_CUT = r" (?<=[^ ] )(?=[^\s\p{Z}\x{85}\x1c-\x1f])", re.compile(r" (?<=[^ ] )(?=\S)")
 #: What a text must hold for it to matter which of its spaces are cut at: in others all are.
@@ -195,6 +195,18 @@ def piece_rows(counts: DataFrame, a_path: str | None = None, b_path: str | None
     return out
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of one bundle and kind, of SLICE_ROWS rows at most."""
+    keys = batch.column("bundle").to_numpy() * 2 + batch.column("kind").to_numpy()
+    ends = [*(np.flatnonzero(np.diff(keys)) + 1).tolist(), batch.num_rows]
+    at = 0
+    for end in ends:
+        while at < end:
+            size = min(SLICE_ROWS, end - at)
+            yield batch.slice(at, size)
+            at += size
+
+
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, digest: bool = False) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (with digest: groups_sha256 in its place) of each document."""
     spark = docs.sparkSession
@@ -207,38 +219,33 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     counts = stored(rows.where("text is not null").select("bundle", F.explode(F.when(F.col("text").rlike(ODD), F.split("text", CUT)).otherwise(F.split("text", " "))).alias("text")).groupBy("bundle", "text").agg(F.count(F.lit(1)).alias("n")), "counts", "zstd")
     pieces_of = piece_rows(counts, a_path, b_path)
     freed(counts)
-    # both kinds of row in few columns: a piece's numbers go in one string before its groups
-    packed = F.concat_ws(" ", *(F.col(c).cast("string") for c in NUMBERS), "groups")
-    known = pieces_of.select(F.explode("bundles").alias("bundle"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "text", packed.alias("row"))
-    texts = rows.select("bundle", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("string").alias("row"))
+    known = pieces_of.select(F.explode("bundles").alias("bundle"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "text", "groups", *(F.col(c).cast("long").alias(c) for c in NUMBERS))
+    texts = rows.select("bundle", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("string").alias("groups"), *(F.lit(None).cast("long").alias(c) for c in NUMBERS))
     said = "groups_sha256" if digest else "groups"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, place, said_of, numbers = None, {}, [], []
-        summed = None
+        here, place, said_of, numbers, summed = None, {}, [], [], None
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS).to_pydict()
-                out = {"doc_id": [], **{c: [] for c in NUMBERS}, said: []}
-                for i, (bundle, kind, text) in enumerate(zip(part["bundle"], part["kind"], part["text"], strict=True)):
-                    if bundle != here:
-                        here, place, said_of, numbers, summed = bundle, {}, [], [], None
-                    if not kind:
-                        place[text] = len(said_of)
-                        *row, groups = part["row"][i].split(" ", len(NUMBERS))
-                        said_of.append(groups)
-                        numbers.append(tuple(map(int, row)))
-                        continue
-                    if summed is None:
-                        summed, numbers = np.array(numbers, np.int64).reshape(-1, len(NUMBERS)), []
-                    found = [] if text is None else [place[x] for x in (PY_CUT.split(text) if PY_ODD.search(text) else text.split(" "))]
-                    for c, v in zip(NUMBERS, summed[found].sum(axis=0).tolist() if found else [0] * len(NUMBERS), strict=True):
-                        out[c].append(v)
-                    groups = ";".join([said_of[x] for x in found])
-                    out["doc_id"].append(part["doc_id"][i])
-                    out[said].append(hashlib.sha256(groups.encode()).hexdigest() if digest and found else groups)
-                if out["doc_id"]:
-                    yield pa.RecordBatch.from_pydict(out, schema=arrow)
+            for part in _runs(batch):
+                bundle, kind = part.column("bundle")[0].as_py(), part.column("kind")[0].as_py()
+                if bundle != here:
+                    here, place, said_of, numbers, summed = bundle, {}, [], [], None
+                text = part.column("text").to_pylist()
+                if kind == 0:
+                    place.update(zip(text, range(len(said_of), len(said_of) + len(text)), strict=True))
+                    said_of += part.column("groups").to_pylist()
+                    numbers.append(np.column_stack([part.column(c).to_numpy() for c in NUMBERS]))
+                    continue
+                if summed is None:
+                    summed, numbers = np.concatenate(numbers or [np.zeros((0, len(NUMBERS)), np.int64)]), []
+                sums, told = np.zeros((len(text), len(NUMBERS)), np.int64), []
+                for i, x in enumerate(text):
+                    found = [] if x is None else list(map(place.__getitem__, PY_CUT.split(x) if PY_ODD.search(x) else x.split(" ")))
+                    if found:
+                        sums[i] = summed[found].sum(axis=0)
+                    groups = ";".join([said_of[at] for at in found])
+                    told.append(hashlib.sha256(groups.encode()).hexdigest() if digest and found else groups)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(sums[:, c]) for c in range(len(NUMBERS))), pa.array(told)], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
