@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.text import words
+from quillspark.operators.text import small, words
 
 
 def consultations(talks: DataFrame, cases: DataFrame) -> DataFrame:
@@ -44,17 +44,28 @@ def trimmed(patterns: DataFrame, most: int) -> DataFrame:
     return patterns.orderBy(F.desc("decided"), F.desc("n"), "id").limit(most)
 
 
+def _standing(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """texts: text and more; phrases: phrase and more, once each. The rest of both, a row for each phrase that stands in a text as whole words.
+
+    A text's runs of the lengths that phrases have meet them by equality: no text goes along with its words, and none is moved.
+    """
+    phrases = phrases.where("phrase is not null")
+    lengths = sorted(r["n"] for r in phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect())
+    more = [c for c in texts.columns if c != "text"]
+    run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    w = texts.select(*more, F.explode(F.array(words("text"))).alias("w"))
+    runs = F.array_distinct(F.concat(F.array().cast("array<string>"), *map(run, lengths)))
+    return w.select(*more, F.explode(runs).alias("phrase")).join(small(phrases), "phrase")
+
+
 def marks(texts: DataFrame, patterns: DataFrame, most: int = 5) -> DataFrame:
     """texts: id, text; patterns: phrase, instead, sure. id, phrase, instead, rank: phrases that stand in a text as whole words, the surest first.
 
-    A phrase is met by its first word and then looked for in the text; of equal phrases the surest counts.
+    Of equal phrases the surest counts.
     """
-    one = patterns.groupBy("phrase").agg(F.max(F.struct("sure", "instead")).alias("x")).select("phrase", "x.sure", "x.instead").withColumn("first", F.get(F.split("phrase", " "), F.lit(0)))
-    w = texts.select("id", F.explode(F.array(words("text"))).alias("w"))
-    met = w.select("id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("line"), F.explode(F.array_distinct("w")).alias("first")).join(one, "first")
-    found = met.where(F.contains("line", F.concat(F.lit(" "), "phrase", F.lit(" "))))
+    one = patterns.groupBy("phrase").agg(F.max(F.struct("sure", "instead")).alias("x")).select("phrase", "x.sure", "x.instead")
     order = Window.partitionBy("id").orderBy(F.desc("sure"), "phrase")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("id", "phrase", "instead", "rank")
+    return _standing(texts.select("id", "text"), one).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("id", "phrase", "instead", "rank")
 
 
 def joined(parts: DataFrame, separator: str) -> DataFrame:
