@@ -135,9 +135,9 @@ def record_counts(**kinds: DataFrame) -> DataFrame:
 
 
 def exposures(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """texts: id, text, approved; patterns: phrase. phrase, exposed (approved texts that hold it), all (texts that hold it)."""
-    found = marks(texts, patterns.select("phrase", F.lit("").alias("instead"), F.lit(1.0).alias("sure")), 1 << 30)
-    return found.join(texts.select("id", "approved"), "id").groupBy("phrase").agg(F.count_if("approved").alias("exposed"), F.count(F.lit(1)).alias("all"))
+    """texts: text, approved; patterns: phrase. phrase, exposed (approved texts that hold it), all (texts that hold it); a row is a text, whatever its id."""
+    found = _standing(texts.select("approved", "text"), patterns.select("phrase").distinct())
+    return found.groupBy("phrase").agg(F.count_if("approved").alias("exposed"), F.count(F.lit(1)).alias("all"))
 
 
 def sheet_habits(scores: DataFrame, least_reports: int = 3, least_scores: int = 8, share: float = 0.1) -> DataFrame:

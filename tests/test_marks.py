@@ -12,3 +12,9 @@ def test_marks_meet_whole_words_and_move_no_text(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "and", "", 1), (1, "and", "", 2), (2, "and", "", 1), (4, "of the", "x", 1)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BuildLeft" not in plan
+
+
+def test_exposures_count_rows_of_one_id_once_each(spark):
+    texts = spark.createDataFrame(TEXTS, "id long, text string, approved boolean")
+    found = lists.exposures(texts, spark.createDataFrame(PATTERNS, "phrase string, instead string, sure double"))
+    assert sorted(map(tuple, found.collect())) == [("and", 2, 3), ("of the", 1, 2)]
