@@ -108,13 +108,16 @@ def income_months(visits: DataFrame, charges: DataFrame, payments: DataFrame, fi
 
 
 def diary_lines(visits: DataFrame, charges: DataFrame, payments: DataFrame, month: str) -> DataFrame:
-    """date, line (0: visit, 1: charge, 2: payment), id, patient_id, amount, place within the day. Voided lines are shown too."""
+    """date, line (0: visit, 1: charge, 2: payment), id, patient_id, amount, place within the day. Voided lines are shown too.
+
+    Lines of one id (the ids of charges and payments need not be distinct) stand by patient and amount, so that places are the same each time.
+    """
     zero = F.lit(0)
     inside = lambda x: x.where(F.col("date").between(*bounds(month, month)))
     rows = inside(visits).where("status <> 'planned'").select("date", zero.alias("line"), "start", "id", "patient_id", visit_charge().alias("amount"))
     for n, x in ((1, charges), (2, payments)):
         rows = rows.unionByName(inside(x).select("date", F.lit(n).alias("line"), zero.alias("start"), "id", "patient_id", "amount"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy("line", "start", "id"))).drop("start")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy("line", "start", "id", "patient_id", "amount"))).drop("start")
 
 
 def preceding(first: str, last: str) -> tuple[str, str]:
