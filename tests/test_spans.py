@@ -82,3 +82,26 @@ def test_numbers_in_brackets_and_editions_stay(spark):
     cases = {"12 [a 3 [b 4] 5] 6": "# [a 3 [b 4] 5] #", "WISC-5.2 x2 3:4/5, 1,000.": "WISC-5.2 x2 #, #.", "a-b 7 [open 8": "a-b # [open 8", None: "", "é5 - 6": "é# - #"}
     rows = spark.createDataFrame([(t, w) for t, w in cases.items()], "text string, want string")
     assert all(r.got == r.want for r in rows.select("want", overlap.numbers_masked(F.col("text")).alias("got")).collect())
+
+
+def test_only_lines_that_may_have_a_detail_are_looked_at(spark):
+    every = privacy.DIGITS + privacy.INVISIBLE + "0123456789@[" + "".join(map(chr, (0xE000, 0xE001, 0xE100, 0xE1FF)))
+    assert all(re.search(privacy.HINT, c) for c in every) and not re.search(privacy.HINT, "abc é ß – “ ש 中 .:/-_\\]")
+    finds = [m[0] for t in TEXTS if t for r in spans.MASKED.values() for m in re.finditer(r, t)]
+    assert finds and all(re.search(privacy.HINT, x) or "://" in x or "www." in x for x in finds)
+    text = "plain line\n\nsee 10.0.0.1​, 123​45\nmore\n" + "w www.x.org\n[email_1]\n"
+    rows = spark.createDataFrame([(1, text), (2, "none\nat all"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in rows.select("doc_id", privacy.suspects(F.col("text")).alias("s")).collect()}
+    assert got == {1: "\n\nsee 10.0.0.1​, 123​45\n\nw www.x.org\n[email_1]\n", 2: "", 3: ""}
+    found = [(s.start, s.end, s.kind, s.value) for s in spans.found(rows, spans.MASKED).where("doc_id = 1").first().spans]
+    assert found == brute(text, spans.MASKED) and len(found) == 4
+
+
+def test_batches_to_python_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    spans.found(docs_of(spark, [(1, "x")]))
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, before)
+    assert now == 2000
