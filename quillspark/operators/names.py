@@ -1,8 +1,8 @@
 """Declared names in running texts: an index by first word, names of any length, short prefixes and endings.
 
 A text's words meet the index by their first word alone, in each form that a word may have (itself, or without prefix letters).
-Where a name has more words, the rest is compared with the words that follow, in the text's own row, so no run of words is
-made or moved. What overlaps is settled from the left, the longest first, within stretches of matches that touch each other.
+Where a name has more words, the rest is compared with the words that follow: each word carries as many as the longest name has
+after its first, so a text is not moved for its names. What overlaps is settled from the left, the longest first, within stretches of matches that touch each other.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.edits import WORD, raw_words
+from quillspark.operators.records import written
 from quillspark.operators.text import small
 
 #: Letters that are written together with the word after them, in the orders in which they may stand.
@@ -39,7 +40,9 @@ def word_places(text: Column) -> Column:
 def forms(word: Column) -> Column:
     """(prefix letters, rest) of a word: itself, and what is left of it without 1 to 3 letters that may be a prefix."""
     rest = lambda n: F.struct(F.lit(n).alias("prefix"), F.substring(word, F.lit(n + 1), F.length(word)).alias("head"))
-    split = lambda n: F.when((F.length(word) >= n + 2) & F.substring(word, F.lit(1), F.lit(n)).rlike(f"^{PREFIXES}$"), rest(n))
+    # few words begin with such a letter
+    could = F.substring(word, 1, 1).isin(*"ושכלמבה")
+    split = lambda n: F.when(could & (F.length(word) >= n + 2) & F.substring(word, F.lit(1), F.lit(n)).rlike(f"^{PREFIXES}$"), rest(n))
     return F.array_compact(F.array(rest(0), *(split(n) for n in (1, 2, 3))))
 
 
@@ -53,25 +56,20 @@ def index(names: DataFrame) -> DataFrame:
 def _candidates(texts: DataFrame, known: DataFrame) -> DataFrame:
     """key..., at, n, prefix, tail, payload: every place where a name stands."""
     key = ["doc_id", "version"]
-    bare = lambda w: F.regexp_replace(w, POSSESSIVE, "")
-    heads = texts.select(*key, F.posexplode("words").alias("at", "word")).select(*key, "at", "word", F.explode(forms(F.col("word"))).alias("f")).select(*key, "at", "f.prefix", "f.head")
-    both = heads.select(*key, "at", "prefix", "head", F.explode(F.array_distinct(F.array(F.col("head"), bare(F.col("head"))))).alias("first"))
-    met = both.join(small(known), "first")
-    one = met.where(F.size("words") == 1).select(*key, "at", F.lit(1).alias("n"), "prefix", (F.length("head") - F.length("first")).alias("tail"), "payload")
-    # longer names: the first word as it is, the rest in the text's own row
-    more = met.where((F.size("words") > 1) & (F.col("head") == F.col("first"))).groupBy(*key).agg(F.collect_list(F.struct("at", "prefix", F.col("words").alias("name"), "payload")).alias("asked"))
-    asked = more.withColumnsRenamed({c: f"asked_{c}" for c in key})
-    own = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_doc_id")) & (F.col("version") == F.col("asked_version"))).select(*key, "words", "asked")
-
-    def holds(x: Column) -> Column:
-        n = F.size(x["name"])
-        there, last = F.slice("words", x["at"] + 2, n - 1), F.get("words", x["at"] + n - 1)
-        body = F.slice(there, F.lit(1), n - 2) == F.slice(x["name"], F.lit(2), n - 2)
-        end = F.element_at(x["name"], -1)
-        return (F.size(there) == n - 1) & body & ((last == end) | (bare(last) == end))
-
-    hits = own.select(*key, F.explode(F.transform(F.filter("asked", holds), lambda x: F.struct(x["at"].alias("at"), F.size(x["name"]).alias("n"), x["prefix"].alias("prefix"), (F.length(F.get("words", x["at"] + F.size(x["name"]) - 1)) - F.length(F.element_at(x["name"], -1))).alias("tail"), x["payload"].alias("payload")))).alias("x"))
-    return one.unionByName(hits.select(*key, "x.*"))
+    ends = lambda w: F.when(w.endswith("s") | w.endswith("ס"), F.regexp_replace(w, POSSESSIVE, "")).otherwise(w)
+    known = written(known)
+    after = (known.agg(F.max(F.size("words"))).first()[0] or 1) - 1
+    each = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"), F.slice("words", i + 2, F.lit(after)).alias("next")))
+    heads = texts.select(*key, F.explode(each).alias("x")).select(*key, "x.*").select(*key, "at", "next", F.explode(forms(F.col("word"))).alias("f")).select(*key, "at", "next", "f.prefix", "f.head")
+    both = heads.select(*key, "at", "next", "prefix", "head", F.explode(F.array_distinct(F.array(F.col("head"), ends(F.col("head"))))).alias("first"))
+    met = both.join(small(known), "first").withColumn("n", F.size("words"))
+    n, end = F.col("n"), F.element_at("words", -1)
+    # longer names: the first word as it is, then the words that follow it
+    last = F.get("next", n - 2)
+    there = (n > 1) & (F.col("head") == F.col("first")) & (F.size("next") >= n - 1)
+    same = (F.slice("next", F.lit(1), F.greatest(n - 2, F.lit(0))) == F.slice("words", F.lit(2), F.greatest(n - 2, F.lit(0)))) & ((last == end) | (ends(last) == end))
+    tail = F.when(n == 1, F.length("head") - F.length("first")).otherwise(F.length(last) - F.length(end))
+    return met.where((n == 1) | (there & same)).select(*key, "at", "n", "prefix", tail.alias("tail"), "payload")
 
 
 def declared(docs: DataFrame, names: DataFrame) -> DataFrame:

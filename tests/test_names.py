@@ -160,3 +160,12 @@ def test_what_is_learned_counts_how_often_it_stood_there(spark):
 
     got = [tuple(r)[:4] for r in edits.learned(edits.changes(pairs), spark.createDataFrame(texts, "id long, before string, after string"), small).collect()]
     assert got == [("displays", "shows", 4, 5)]
+
+
+def test_no_text_is_moved_to_look_for_names(spark):
+    docs = spark.createDataFrame([(1, "seen Noam Levi Bar's dog"), (1, "seen Noam Levi Bar's dog"), (None, "noam levi"), (2, "Noam Levi")], "doc_id long, text string")
+    known = spark.createDataFrame([("Noam Levi Bar", "a", 0), ("Noam Levi", "b", 1)], "name string, payload string, rank int")
+    texts = docs.selectExpr("doc_id", "xxhash64(text) as version", "split(lower(text), ' ') as words")
+    found = names._candidates(texts, names.index(known))
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r.doc_id), r["at"], r.n, r.tail, r.payload) for r in found.distinct().collect()) == [("1", 1, 2, 0, "b"), ("1", 1, 3, 2, "a"), ("2", 0, 2, 0, "b"), ("None", 0, 2, 0, "b")]
