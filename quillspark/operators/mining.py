@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.text import wilson_lower, words
+from quillspark.operators.records import written
+from quillspark.operators.text import recurring_runs, wilson_lower, words
 
 
 def widest_phrases(reports: DataFrame, lengths: tuple[int, ...], least: int, subsume: float) -> DataFrame:
@@ -13,12 +14,7 @@ def widest_phrases(reports: DataFrame, lengths: tuple[int, ...], least: int, sub
 
     A longer phrase is met by the shorter ones that it holds: an equality, no pairs of all phrases.
     """
-    w = reports.select("id", F.explode(F.array(words("text"))).alias("w"))
-    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
-    per = w.select("id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("phrase"))
-    # counted by hash first: partial sums of longs, and only what may be often enough moves as words
-    maybe = per.groupBy(F.xxhash64("phrase").alias("h")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("h")
-    often = per.withColumn("h", F.xxhash64("phrase")).join(maybe, "h", "left_semi").groupBy("phrase").agg(F.count_distinct("id").alias("reports")).where(F.col("reports") >= least)
+    often = written(recurring_runs(reports, lengths, least))
     inner = lambda n: F.when(F.size("p") > n, F.transform(F.sequence(F.lit(0), F.size("p") - n), lambda i: F.array_join(F.slice("p", i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
     held = often.select(F.split("phrase", " ").alias("p"), F.col("reports").alias("wide")).select("wide", F.explode(F.concat(*map(inner, lengths))).alias("phrase"))
     return often.join(held.groupBy("phrase").agg(F.max("wide").alias("wide")), "phrase", "left").where(F.coalesce(F.col("wide") < subsume * F.col("reports"), F.lit(True))).select("phrase", "reports")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.records import written
+from quillspark.operators.records import bounded_batches, written
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What counts as a personal detail, in the order in which they are hidden.
@@ -55,20 +59,108 @@ def top_of(rows: DataFrame, group: str, score: str, key: str, k: int) -> DataFra
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def phrases(reports: DataFrame, n: int, least: int) -> DataFrame:
-    """reports: id, section, text. section, phrase, reports: phrases of n words in `least` reports of a section or more.
+#: Hashes of a task that are packed at a time and of a part at most, as estimated; bits of the filter. They bear on speed, not on results.
+PACKED, PART_RUNS, FILTER_BITS = 4_000_000, 4_000_000, 1 << 28
+
+
+def _run_hashes(n: int, by: tuple[str, ...]) -> Column:
+    """A 64-bit hash of each n words in a row of w, with what else tells runs apart."""
+    return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*by, *(F.get("w", i + k) for k in range(n))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _maybe_often(rows: DataFrame, hashes: Column, least: int, parts: int) -> np.ndarray:
+    """A bit for each place of the hashes that `least` rows or more have: parts by places.
+
+    Hashes are dealt out by their upper half and move as the lower halves, sorted, as differences whose bytes stand by weight: two to
+    four bytes each. What comes back is the filter, of FILTER_BITS at most.
+    """
+    places = max(8, 1 << ((FILTER_BITS // parts).bit_length() - 1))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            h = np.concatenate(held)
+            spots = np.sort((h >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | h & np.uint64(0xFFFFFFFF))
+            edges = np.searchsorted(spots >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(edges))
+            tails = [np.diff(spots[edges[p] : edges[p + 1]].astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for p in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(tails, pa.binary())], names=["part", "tails"])
+
+        for batch in batches:
+            h = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            if len(h):
+                held.append(h)
+                size += len(h)
+            if size >= PACKED:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    def often(key: tuple, part: pa.Table) -> pa.Table:
+        tails = [np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().cumsum(dtype=np.uint32) for x in part.column("tails")]
+        found, n = np.unique(np.concatenate(tails), return_counts=True)
+        bits = np.zeros(places, np.uint8)
+        bits[found[n >= least] % np.uint32(places)] = 1
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    bounded_batches(rows.sparkSession)
+    got = rows.select(hashes.alias("h")).mapInArrow(pack, "part int, tails binary").groupBy("part").applyInArrow(often, "part int, bits binary").collect()
+    out = np.zeros((parts, places // 8), np.uint8)
+    for row in got:
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def recurring_runs(reports: DataFrame, lengths: tuple[int, ...], least: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """reports: id, by, text. by, phrase, reports: runs of these lengths that `least` reports or more have (of one section, or what `by` names).
 
-    Phrases are counted by a 64-bit hash of section and words, which partial sums shrink before the shuffle; only those that are often
-    enough are read as words again and told apart. Rows of one id and section are one report; rows without an id are left out.
+    Runs are counted by hash first, which leaves a filter of bounded size; only what passes it moves as words, and is counted exactly.
+    Rows of one id and section are one report; rows without an id are left out.
     """
-    # a generator of one row: the lambda below then reads the words and doesn't split the text again at each step
-    rows = reports.where("id is not null").select("id", "section", F.explode(F.array(words("text"))).alias("w")).where(F.size("w") >= n)
-    w = F.col("w")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
-    per = rows.select("id", "section", F.explode(runs).alias("phrase"))
-    often = per.select(F.xxhash64("section", "phrase").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("h")
-    kept = per.withColumn("h", F.xxhash64("section", "phrase")).join(often, "h", "left_semi")
-    return kept.groupBy("section", "phrase").agg(F.count_distinct("id").alias("reports")).where(F.col("reports") >= least)
+    spark = reports.sparkSession
+    reports = reports.where("id is not null")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(reports.agg(F.sum(F.length("text"))).first()[0] or 0) * len(lengths) // (2 * PART_RUNS)))
+    # a generator of one row: the lambdas then read the words and don't split the text again at each step
+    rows = reports.select("id", *by, F.explode(F.array(words("text"))).alias("w")).where(F.size("w") >= min(lengths))
+    sent = spark.sparkContext.broadcast(_maybe_often(rows, F.array_distinct(F.concat(*(_run_hashes(n, by) for n in lengths))), least, parts))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        size = np.uint32(bits.shape[1] * 8)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            picked = []
+            for c in batch.columns[-len(lengths) :]:
+                h = c.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                place = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32) % size
+                hit = np.flatnonzero(bits[(h >> np.uint64(32)) % np.uint64(parts), place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
+                starts = c.offsets.to_numpy().astype(np.int64) - c.offsets[0].as_py()
+                ends = np.searchsorted(hit, starts)
+                own = np.repeat(starts[:-1], np.diff(ends))
+                picked.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hit - own, pa.int32())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: -len(lengths)], *picked], schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = dict(rows.dtypes)
+    schema = StructType.fromDDL(", ".join([f"`{c}` {kinds[c]}" for c in rows.columns] + [f"at{n} array<int>" for n in lengths]))
+    arrow = to_arrow_schema(schema)
+    found = rows.select("*", *(_run_hashes(n, by).alias(f"h{n}") for n in lengths)).mapInArrow(pick, schema)
+    said_of = lambda n: F.transform(f"at{n}", lambda i: F.array_join(F.slice("w", i + 1, n), " "))
+    said = F.array_distinct(F.concat(*map(said_of, lengths)))
+    per = found.select("id", *by, F.explode(said).alias("phrase"))
+    once = reports.groupBy("id", *by).agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
+    n = F.count(F.lit(1)) if once else F.count_distinct("id")
+    return per.groupBy(*by, "phrase").agg(n.alias("reports")).where(F.col("reports") >= least)
+
+
+def phrases(reports: DataFrame, n: int, least: int) -> DataFrame:
+    """reports: id, section, text. section, phrase, reports: phrases of n words in `least` reports of a section or more."""
+    return recurring_runs(reports, (n,), least, ("section",))
 
 
 def closest(scored: DataFrame, least_words: int = 8, boost: float = 1.5) -> DataFrame:
