@@ -144,16 +144,19 @@ def changes(pairs: DataFrame, small: tuple[str, ...] = SMALL_WORDS) -> DataFrame
 def learned(found: DataFrame, texts: DataFrame, small_side) -> DataFrame:
     """found: id, from, to of changes; texts: id, before. from, to, count (changes), exposed (texts that held the words, in any case), lower.
 
-    Texts are looked through for runs of the lengths that changes have, and only for runs whose first word begins some change.
+    Changes are written, so texts are aligned once. Texts are looked through for runs of the lengths that changes have; a filter of
+    their hashes, of bounded size, lets through what may be some change's words, and only that is compared as words.
     """
-    from quillspark.operators.text import wilson_lower
+    from quillspark.operators.records import written
+    from quillspark.operators.text import filter_of, picked_runs, run_hashes, wilson_lower
 
-    counts = found.groupBy(F.lower("from").alias("from"), F.lower("to").alias("to")).agg(F.count(F.lit(1)).alias("count"))
+    counts = written(found.groupBy(F.lower("from").alias("from"), F.lower("to").alias("to")).agg(F.count(F.lit(1)).alias("count")))
     said = counts.select("from").distinct()
-    most = max(MOST_DELETED, MOST_REPLACED)
-    w = F.transform(raw_words(F.col("before")), F.lower)
-    runs = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))))
-    held = texts.select("id", F.explode(F.array(w)).alias("w")).where(F.size("w") > 0).select("id", runs.alias("from"))
-    exposed = held.join(small_side(said), "from").groupBy("from").agg(F.count_distinct("id").alias("exposed"))
+    lengths = tuple(range(1, max(MOST_DELETED, MOST_REPLACED) + 1))
+    none = F.array().cast("array<bigint>")
+    own = F.concat(*(F.when(F.size("w") == n, run_hashes(n)).otherwise(none) for n in lengths))
+    bits = filter_of(said.select(F.split("from", " ").alias("w")), own, 1, int(said.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = texts.select("id", F.explode(F.array(F.transform(raw_words(F.col("before")), F.lower))).alias("w")).where(F.size("w") > 0)
+    exposed = picked_runs(held, lengths, bits).withColumnRenamed("phrase", "from").join(small_side(said), "from").groupBy("from").agg(F.count_distinct("id").alias("exposed"))
     rows = counts.join(exposed, "from", "left").withColumn("exposed", F.greatest(F.coalesce("exposed", F.lit(0)), F.col("count")))
     return rows.withColumn("lower", wilson_lower(F.col("count"), F.col("exposed")))

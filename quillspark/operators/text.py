@@ -63,12 +63,12 @@ def top_of(rows: DataFrame, group: str, score: str, key: str, k: int) -> DataFra
 PACKED, PART_RUNS, FILTER_BITS = 4_000_000, 4_000_000, 1 << 28
 
 
-def _run_hashes(n: int, by: tuple[str, ...]) -> Column:
+def run_hashes(n: int, by: tuple[str, ...] = ()) -> Column:
     """A 64-bit hash of each n words in a row of w, with what else tells runs apart."""
     return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*by, *(F.get("w", i + k) for k in range(n))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _maybe_often(rows: DataFrame, hashes: Column, least: int, parts: int) -> np.ndarray:
+def filter_of(rows: DataFrame, hashes: Column, least: int, parts: int) -> np.ndarray:
     """A bit for each place of the hashes that `least` rows or more have: parts by places.
 
     Hashes are dealt out by their upper half and move as the lower halves, sorted, as differences whose bytes stand by weight: two to
@@ -113,21 +113,14 @@ def _maybe_often(rows: DataFrame, hashes: Column, least: int, parts: int) -> np.
     return out
 
 
-def recurring_runs(reports: DataFrame, lengths: tuple[int, ...], least: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """reports: id, by, text. by, phrase, reports: runs of these lengths that `least` reports or more have (of one section, or what `by` names).
-
-    Runs are counted by hash first, which leaves a filter of bounded size; only what passes it moves as words, and is counted exactly.
-    Rows of one id and section are one report; rows without an id are left out.
-    """
-    spark = reports.sparkSession
-    reports = reports.where("id is not null")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(reports.agg(F.sum(F.length("text"))).first()[0] or 0) * len(lengths) // (2 * PART_RUNS)))
-    # a generator of one row: the lambdas then read the words and don't split the text again at each step
-    rows = reports.select("id", *by, F.explode(F.array(words("text"))).alias("w")).where(F.size("w") >= min(lengths))
-    sent = spark.sparkContext.broadcast(_maybe_often(rows, F.array_distinct(F.concat(*(_run_hashes(n, by) for n in lengths))), least, parts))
+def picked_runs(rows: DataFrame, lengths: tuple[int, ...], bits: np.ndarray, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows: id, by, w (words, at least one). id, by, phrase: each row's different runs whose hashes have a bit; others may share one."""
+    bounded_batches(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
+        parts = bits.shape[0]
         size = np.uint32(bits.shape[1] * 8)
         for batch in batches:
             if not batch.num_rows:
@@ -149,10 +142,25 @@ def recurring_runs(reports: DataFrame, lengths: tuple[int, ...], least: int, by:
     kinds = dict(rows.dtypes)
     schema = StructType.fromDDL(", ".join([f"`{c}` {kinds[c]}" for c in rows.columns] + [f"at{n} array<int>" for n in lengths]))
     arrow = to_arrow_schema(schema)
-    found = rows.select("*", *(_run_hashes(n, by).alias(f"h{n}") for n in lengths)).mapInArrow(pick, schema)
+    found = rows.select("*", *(run_hashes(n, by).alias(f"h{n}") for n in lengths)).mapInArrow(pick, schema)
     said_of = lambda n: F.transform(f"at{n}", lambda i: F.array_join(F.slice("w", i + 1, n), " "))
     said = F.array_distinct(F.concat(*map(said_of, lengths)))
-    per = found.select("id", *by, F.explode(said).alias("phrase"))
+    return found.select("id", *by, F.explode(said).alias("phrase"))
+
+
+def recurring_runs(reports: DataFrame, lengths: tuple[int, ...], least: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """reports: id, by, text. by, phrase, reports: runs of these lengths that `least` reports or more have (of one section, or what `by` names).
+
+    Runs are counted by hash first, which leaves a filter of bounded size; only what passes it moves as words, and is counted exactly.
+    Rows of one id and section are one report; rows without an id are left out.
+    """
+    spark = reports.sparkSession
+    reports = reports.where("id is not null")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(reports.agg(F.sum(F.length("text"))).first()[0] or 0) * len(lengths) // (2 * PART_RUNS)))
+    # a generator of one row: the lambdas then read the words and don't split the text again at each step
+    rows = reports.select("id", *by, F.explode(F.array(words("text"))).alias("w")).where(F.size("w") >= min(lengths))
+    bits = filter_of(rows, F.array_distinct(F.concat(*(run_hashes(n, by) for n in lengths))), least, parts)
+    per = picked_runs(rows, lengths, bits, by)
     once = reports.groupBy("id", *by).agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
     n = F.count(F.lit(1)) if once else F.count_distinct("id")
     return per.groupBy(*by, "phrase").agg(n.alias("reports")).where(F.col("reports") >= least)

@@ -50,5 +50,22 @@ def test_only_phrases_that_recur_move_as_words(spark):
     assert [tuple(r) for r in out.collect()] == [("x", "one two three", 2)]
     # every phrase met the frequent ones by a join before
     assert "LeftSemi" not in out._jdf.queryExecution().optimizedPlan().toString()
-    bits = text._maybe_often(table.select(F.explode(F.array(text.words("text"))).alias("w")), text._run_hashes(3, ()), 2, 4)
+    bits = text.filter_of(table.select(F.explode(F.array(text.words("text"))).alias("w")), text.run_hashes(3, ()), 2, 4)
     assert np.unpackbits(bits).sum() == 1
+
+
+def test_changes_are_aligned_once_and_their_words_found_by_hash(spark):
+    from quillspark.operators import edits
+
+    rows = [(i, f"the Old house w{i} stood here", f"the new house w{i} stood here") for i in range(6)] + [(50, "old OLD [an old tag]", "old"), (51, None, "x"), (52, "house", "Old house")]
+    pairs = spark.createDataFrame(rows, "id long, before string, after string")
+    runs = spark.sparkContext.accumulator(0)
+
+    def aligned(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    found = edits.changes(edits.aligned(pairs)).mapInArrow(aligned, "id long, at int, `from` string, `to` string")
+    got = {(r["from"], r["to"]): (r["count"], r["exposed"]) for r in edits.learned(found, pairs, text.small).collect()}
+    assert got[("old", "new")] == (6, 7) and len(found.collect()) * 2 == runs.value
