@@ -35,4 +35,4 @@ def similar_paragraph(spark, d):
 @query()
 def similar_paragraph_reads(spark, d):
     """How many postings each item's words have, and how many were read to find candidates."""
-    return retrieval.closest(*_both(spark, d))[1]
+    return retrieval.reads(*_both(spark, d))
