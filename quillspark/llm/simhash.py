@@ -225,13 +225,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ones first. So passages that many texts share aren't among the keys, and two copies of one text that differ too much to
 # count meet by their own edits alone, that is, not at all.
 #
+# Shingles are also folded into a few hundred parity bits: each shingle that only one of two texts has turns one bit, so bits
+# that differ are as many as those shingles at most, and pairs with more than the similarity allows fall where they meet.
+#
 # Only components are asked for. First texts that link by fingerprint, and each key's texts with a few of them, are compared;
-# then all pairs that share a key, pass the filters and aren't in one component yet.
+# then all pairs that share a key, pass the filters and aren't in one component yet. The few are those that meet the most
+# texts: of edited copies, those with the fewest edits, which are alike enough to most of the others.
 
 #: Shingles that are counted in one part, and shingles that come last at most. They bear on speed, not on results.
 PART_SHINGLES, COMMON_MOST = 4_000_000, 500_000
 #: Texts of each key that its others are compared with before all pairs are.
 HUBS = 6
+#: Words of 64 bits that a text's shingles are folded into.
+WORDS = 8
 #: A key's texts are dealt out to tasks by this many.
 SALT_ROWS = 2_000
 _EPS = 1e-9
@@ -361,21 +367,27 @@ def _prefix(h: np.ndarray, common: tuple[int, np.ndarray, np.ndarray], similarit
     return np.sort(key)[: n - math.ceil(similarity * n - _EPS) + 1].view(np.int64)
 
 
+def _bits(h: np.ndarray) -> np.ndarray:
+    """Of each of 64 * WORDS classes of shingles, whether a text's distinct ones in it are odd in number."""
+    odd = np.bincount((np.unique(h) >> np.uint64(16)) % np.uint64(64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(rows: DataFrame, width: int, similarity: float, total: int) -> DataFrame:
-    """id, tie, keys."""
+    """id, tie, keys, bits."""
     sent = rows.sparkSession.sparkContext.broadcast(_common(rows, width, total))
 
     def start():
         common = sent.value
 
         def work(ids, ties, texts):
-            keys = [_prefix(shingles(x, width), common, similarity) for x in texts]
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            return {"id": ids, "tie": ties, "keys": pa.ListArray.from_arrays(ends, np.concatenate(keys))}
+            hashes = [shingles(x, width) for x in texts]
+            packed = lambda x: pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x))
+            return {"id": ids, "tie": ties, "keys": packed([_prefix(h, common, similarity) for h in hashes]), "bits": packed([_bits(h) for h in hashes])}
 
         return work
 
-    return map_texts(rows.select("id", "tie", "text"), start, "id long, tie int, keys array<long>")
+    return map_texts(rows.select("id", "tie", "text"), start, "id long, tie int, keys array<long>, bits array<long>")
 
 
 def _similar(pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -402,6 +414,12 @@ def _meets(n: Column, at: Column, m: Column, to: Column, similarity: float) -> C
     return alike & (F.least(n - at, m - to) >= similarity / (1 + similarity) * (n + m) - _EPS)
 
 
+def _near(n: Column, bits: Column, m: Column, other: Column, similarity: float) -> Column:
+    """Parity filter: bits that differ are at most the shingles that one of two texts of n and m shingles has and the other has not."""
+    differ = sum((F.bit_count(bits[k].bitwiseXOR(other[k])) for k in range(1, WORDS)), F.bit_count(bits[0].bitwiseXOR(other[0])))
+    return differ <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
+
+
 def _could_be(n: str, keys: str, m: str, other: str, similarity: float) -> Column:
     """Length and evidence filter of two texts of n and m shingles with these prefixes."""
     ends = F.least(F.element_at(keys, -1), F.element_at(other, -1))
@@ -416,24 +434,31 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _with_hubs(shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of each key's texts with some of them: HUBS of those whose keys most texts have, such as what edited copies come from."""
-    weight = shared.groupBy("node").agg((F.sum("holders") / F.count(F.lit(1))).alias("weight"))
-    hubs = shared.join(weight, "node").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("class")).agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub"))
-    met = shared.join(hubs, "key").where(_meets(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), similarity))
+    """Pairs a, b of each key's texts with some of them: HUBS of those that meet the most texts, such as copies with the fewest edits."""
+    weight = shared.groupBy("node").agg(F.sum("holders").alias("weight"))
+    hubs = shared.join(weight, "node").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("class")).agg(F.max(F.struct("weight", "node", "n", "pos", "bits")).alias("hub"))
+    alike = _near(F.col("n"), F.col("bits"), F.col("hub.n"), F.col("hub.bits"), similarity)
+    met = shared.join(hubs, "key").where(_meets(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), similarity) & alike)
     return met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
 
 
 def _unlinked(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs a, b that share a key, pass the filters and aren't in one component. A key with many texts goes to several tasks."""
+    """All pairs a, b that share a key, pass the filters and aren't in one component. A key with many texts goes to several tasks.
+
+    Two texts that share a run of keys meet at its first one only: at the others the key before is the same in both, and all
+    filters that let them pass there let them pass at that key too.
+    """
     rows = stored(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     mixed = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
     rows = rows.join(mixed, "key", "left_semi").withColumn("salts", F.ceil(F.col("holders") / SALT_ROWS).cast("int"))
-    x = rows.select("key", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "root")))
+    x = rows.select("key", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "before", "bits", "root")))
     # the text with fewer shingles has the first one they share within a shorter prefix
     shorter = rows.where(F.col("n") - F.col("pos") >= 2 * similarity / (1 + similarity) * F.col("n") - _EPS)
-    y = shorter.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "root")))
+    y = shorter.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "before", "bits", "root")))
     first = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") > F.col("y_node")))
-    met = x.join(y, ["key", "salt"]).where((F.col("x_root") != F.col("y_root")) & first & _meets(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), similarity))
+    alike = _meets(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), similarity) & _near(F.col("x_n"), F.col("x_bits"), F.col("y_n"), F.col("y_bits"), similarity)
+    starts = ~F.coalesce(F.col("x_before") == F.col("y_before"), F.lit(False))
+    met = x.join(y, ["key", "salt"]).where((F.col("x_root") != F.col("y_root")) & first & starts & alike)
     return met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
 
@@ -459,15 +484,16 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     wide = named.join(fps.select(F.col("fp").alias("root"), F.col("least").alias("b")), "root").select(F.col("least").alias("a"), "b")
     # texts that share a key
     made = _prefixes(rows, width, similarity, seen.agg(F.sum("n")).first()[0] or 0).dropDuplicates(["id", "tie"])
-    prefixes = stored(made.join(texts.select("id", "tie", "node", "n"), ["id", "tie"]).select("node", "n", "keys"), "prefixes")
-    keys = prefixes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    prefixes = stored(made.join(texts.select("id", "tie", "node", "n"), ["id", "tie"]).select("node", "n", "keys", "bits"), "prefixes")
+    keys = prefixes.select("node", "n", "bits", "keys", F.posexplode("keys").alias("pos", "key"))
+    keys = keys.select("node", "n", "bits", "pos", "key", F.get("keys", F.col("pos") - 1).alias("before"))
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     keys = stored(keys.join(often, "key"), "shared")
 
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = stored(_ordered(pairs), "candidates")
         asked = small(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked"))
-        side = prefixes.join(asked, "node", "left_semi")
+        side = prefixes.drop("bits").join(asked, "node", "left_semi")
         side = stored(side, "sides")
         a, b = (side.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"k{c}")) for c in "ab")
         pairs = stored(pairs.join(a, "a").join(b, "b").where(_could_be("na", "ka", "nb", "kb", similarity)).select("a", "b"), "pairs")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quillspark.llm import simhash
 
@@ -116,3 +118,30 @@ def test_repeated_lines_do_not_hide_copies(spark):
     texts = numbered(rnd, all_)
     want = brute(texts)
     assert len(want) == 24 and kept(spark, texts) == want
+
+
+def test_pairs_met_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    met, real = [], simhash._unlinked
+
+    def counted(*a, **k):
+        met.append(real(*a, **k).count())
+        return real(*a, **k)
+
+    monkeypatch.setattr(simhash, "_unlinked", counted)
+    rnd = random.Random(9)
+    base = words(rnd, 150)
+    # copies with different edits are alike enough only where one of the two has few; the base itself is not there
+    texts = numbered(rnd, [edited(rnd, base, 1 + k % 4) for k in range(160)])
+    assert kept(spark, texts) == brute(texts)
+    assert met[0] <= 4 * len(texts)
+
+
+def test_parity_bits_never_differ_more_than_shingles():
+    rnd = random.Random(10)
+    for n in (3, 40, 150, 2000):
+        base = words(rnd, n)
+        for edits in (0, 1, 3):
+            one, other = (simhash.shingles(" ".join(edited(rnd, base, k) * 2), 5) for k in (0, edits))
+            apart = len(set(one.tolist()) ^ set(other.tolist()))
+            differ = int(np.bitwise_count((simhash._bits(one) ^ simhash._bits(other)).view(np.uint64)).sum())
+            assert differ <= apart and (differ - apart) % 2 == 0
