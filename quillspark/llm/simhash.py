@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_sample, components, keyed, map_texts, small, stored, table, texts_of
+from quillspark.llm.common import bounded_sample, components, keyed, map_texts, small, small_batches, stored, table, texts_of
+from quillspark.operators.text import filter_of, in_filter
 
 SEED = 42
 WIDTH = 3
@@ -234,6 +235,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Shingles that are counted in one part, and shingles that come last at most. They bear on speed, not on results.
 PART_SHINGLES, COMMON_MOST = 4_000_000, 500_000
+#: Bits of the filter of keys, for each key. They bear on what moves, not on results.
+KEY_BITS = 2
 #: Texts of each key that its others are compared with before all pairs are.
 HUBS = 6
 #: Words of 64 bits that a text's shingles are folded into.
@@ -390,6 +393,40 @@ def _prefixes(rows: DataFrame, width: int, similarity: float, total: int) -> Dat
     return map_texts(rows.select("id", "tie", "text"), start, "id long, tie int, keys array<long>, bits array<long>")
 
 
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """prefixes: node, n, keys, bits. node, n, bits, pos, key, before (the key before it), holders: keys that several texts have, where those may meet.
+
+    Keys are counted packed first, which leaves a filter of bounded size; only what passes it moves with its text, and is counted exactly.
+    A key whose texts all have one key before it is left out: they meet at that one.
+    """
+    spark = prefixes.sparkSession
+    small_batches(spark)
+    total = prefixes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SHINGLES))
+    sent = spark.sparkContext.broadcast(filter_of(prefixes, F.col("keys"), 2, parts, max(KEY_BITS * total, 8 * parts)))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n, keys, bits = batch.columns
+            h = keys.flatten().to_numpy()
+            hit = in_filter(h.view(np.uint64), sent.value)
+            starts = keys.offsets.to_numpy().astype(np.int64) - keys.offsets[0].as_py()
+            row = np.searchsorted(starts, hit, "right") - 1
+            pos = hit - starts[row]
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays([node.take(own), n.take(own), bits.take(own), pa.array(pos, pa.int32()), pa.array(h[hit], pa.int64()), pa.array(h[hit - 1], pa.int64(), mask=pos == 0)], schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("node long, n int, bits array<long>, pos int, key long, before long")
+    arrow = to_arrow_schema(schema)
+    keys = prefixes.select("node", "n", "keys", "bits").mapInArrow(pick, schema)
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.count("before").alias("after"), F.min("before").alias("least"), F.max("before").alias("most"))
+    often = often.where("holders > 1 and not (after = holders and least = most)").select("key", "holders")
+    return stored(keys.join(often, "key"), "shared")
+
+
 def _similar(pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """a, b of the rows a, b, left, right (texts) that are as similar as asked for."""
 
@@ -485,10 +522,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     # texts that share a key
     made = _prefixes(rows, width, similarity, seen.agg(F.sum("n")).first()[0] or 0).dropDuplicates(["id", "tie"])
     prefixes = stored(made.join(texts.select("id", "tie", "node", "n"), ["id", "tie"]).select("node", "n", "keys", "bits"), "prefixes")
-    keys = prefixes.select("node", "n", "bits", "keys", F.posexplode("keys").alias("pos", "key"))
-    keys = keys.select("node", "n", "bits", "pos", "key", F.get("keys", F.col("pos") - 1).alias("before"))
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    keys = stored(keys.join(often, "key"), "shared")
+    keys = _shared(prefixes)
 
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = stored(_ordered(pairs), "candidates")

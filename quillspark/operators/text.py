@@ -68,13 +68,13 @@ def run_hashes(n: int, by: tuple[str, ...] = ()) -> Column:
     return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*by, *(F.get("w", i + k) for k in range(n))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def filter_of(rows: DataFrame, hashes: Column, least: int, parts: int) -> np.ndarray:
+def filter_of(rows: DataFrame, hashes: Column, least: int, parts: int, most: int | None = None) -> np.ndarray:
     """A bit for each place of the hashes that `least` rows or more have: parts by places.
 
     Hashes are dealt out by their upper half and move as the lower halves, sorted, as differences whose bytes stand by weight: two to
-    four bytes each. What comes back is the filter, of FILTER_BITS at most.
+    four bytes each. What comes back is the filter, of `most` or FILTER_BITS at most.
     """
-    places = max(8, 1 << ((FILTER_BITS // parts).bit_length() - 1))
+    places = max(8, 1 << ((min(most or FILTER_BITS, FILTER_BITS) // parts).bit_length() - 1))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -113,23 +113,25 @@ def filter_of(rows: DataFrame, hashes: Column, least: int, parts: int) -> np.nda
     return out
 
 
+def in_filter(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the hashes (unsigned) that have a bit; others may share one."""
+    parts, size = np.uint64(bits.shape[0]), np.uint32(bits.shape[1] * 8)
+    place = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32) % size
+    return np.flatnonzero(bits[(h >> np.uint64(32)) % parts, place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
+
+
 def picked_runs(rows: DataFrame, lengths: tuple[int, ...], bits: np.ndarray, by: tuple[str, ...] = ()) -> DataFrame:
     """rows: id, by, w (words, at least one). id, by, phrase: each row's different runs whose hashes have a bit; others may share one."""
     bounded_batches(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(bits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        parts = bits.shape[0]
-        size = np.uint32(bits.shape[1] * 8)
         for batch in batches:
             if not batch.num_rows:
                 continue
             picked = []
             for c in batch.columns[-len(lengths) :]:
-                h = c.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                place = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32) % size
-                hit = np.flatnonzero(bits[(h >> np.uint64(32)) % np.uint64(parts), place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
+                hit = in_filter(c.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sent.value)
                 starts = c.offsets.to_numpy().astype(np.int64) - c.offsets[0].as_py()
                 ends = np.searchsorted(hit, starts)
                 own = np.repeat(starts[:-1], np.diff(ends))

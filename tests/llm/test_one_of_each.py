@@ -145,3 +145,18 @@ def test_parity_bits_never_differ_more_than_shingles():
             apart = len(set(one.tolist()) ^ set(other.tolist()))
             differ = int(np.bitwise_count((simhash._bits(one) ^ simhash._bits(other)).view(np.uint64)).sum())
             assert differ <= apart and (differ - apart) % 2 == 0
+
+
+def test_keys_that_only_go_on_in_a_run_do_not_move(spark, monkeypatch):
+    rnd = random.Random(12)
+    all_ = [words(rnd, 200) for _ in range(40)]
+    texts = numbered(rnd, all_ + [edited(rnd, x, 1) for x in all_[:20]])
+    want = brute(texts)
+    for bits in (simhash.KEY_BITS, 0):
+        tables, real = {}, simhash.stored
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "KEY_BITS", bits)
+            m.setattr(simhash, "stored", lambda df, name, *a: tables.setdefault(name, real(df, name, *a)) if name in ("prefixes", "shared") else real(df, name, *a))  # noqa: B023
+            assert kept(spark, texts) == want and len(want) == 40
+        holders = tables["prefixes"].selectExpr("explode(keys) as key").groupBy("key").count().where("count > 1").agg({"count": "sum"}).first()[0]
+        assert 40 <= tables["shared"].count() < holders / 3
